@@ -18,9 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import ascii_lower, checked_broadcast, shuffle_partitions, staged, unstage, words_of
+from voxframe.llm.common import ascii_lower, checked_broadcast, fresh, shuffle_partitions, staged, unstage, words_of
 
 SHINGLE = 5
 PERCENT = 85
@@ -237,8 +238,6 @@ def _wide_clusters(members: DataFrame) -> DataFrame:
     """
     rows = staged(members.mapInArrow(_explode_sets, "cluster long, doc_id long, size int, shingle long"), "near-sets")
     common = rows.groupBy("cluster", "shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    from pyspark.sql import Window as W
-
     ranked = rows.join(common, ["cluster", "shingle"], "left").select(
         *rows.columns, "df", F.row_number().over(W.partitionBy("doc_id").orderBy(F.coalesce("df", F.lit(1)), "shingle")).alias("_rank")
     )
@@ -266,7 +265,7 @@ def _wide_clusters(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, n_members-free `kept`.
+    """One row for each row of docs: doc_id, n_shingles, component_id and kept.
 
     Documents are linked if 100 * shared >= PERCENT * united shingles. Null or wordless texts have no shingles
     and are linked with nothing; a row without doc_id keeps a null component and stays; rows that repeat a
@@ -298,3 +297,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = signed.select("doc_id", "digest", "n_shingles").join(groups.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one document of each near-duplicate component, of the least doc_id, and all columns of docs.
+
+    Rows that share a doc_id are one document, of which the least text stays; rows without doc_id all stay.
+    """
+    verdict = near_duplicates(docs)
+    gone = staged(verdict.filter("not kept").select(F.col("doc_id").alias(fresh("gone", docs))).distinct(), "near-gone")
+    out = docs.join(checked_broadcast(gone), F.col("doc_id") == F.col(gone.columns[0]), "left_anti")
+    ids = docs.filter("doc_id is not null").select("doc_id")
+    if ids.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        rank = fresh("rank", docs)
+        order = W.partitionBy(F.coalesce(F.col("doc_id"), F.lit(0)), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
+        out = out.select("*", F.row_number().over(order).alias(rank)).filter(F.col("doc_id").isNull() | (F.col(rank) == 1)).drop(rank)
+    return out

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from voxframe.llm import minhash, quality, sharding, substrings
+from voxframe.llm import fingerprints, minhash, packing, pages, quality, secrets, sentencepieces, sharding, substrings, toxicity
 from voxframe.llm.common import documents
 
 
@@ -15,6 +16,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), 24)
 
@@ -27,5 +32,86 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.passage_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_sharding, op4_minhash, op5_passages)}
-ORACLE_SQL: dict[str, str] = {}
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_fingerprints(documents(spark, sf_dir))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(documents(spark, sf_dir))
+
+
+def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(documents(spark, sf_dir, "pages"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encoding_digests(documents(spark, sf_dir))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_toxicity, op3_sharding, op4_minhash, op5_passages, op6_fingerprints, op7_packing, op8_pages, op9_sentencepiece, op10_secrets)
+}
+
+_VALUE = {m: f"CASE WHEN {low} > 0 THEN ({top} * 1000) // {low} ELSE 0 END" for m, (top, low, _, _) in quality.METRICS.items()}
+_BACK = "CASE WHEN {0} <= 0 THEN 0.0 ELSE pow(CAST(1.02 AS DOUBLE), CAST({0} AS DOUBLE) - CAST(0.5 AS DOUBLE)) END"
+_LIMITS = ", ".join(
+    f"max(CASE WHEN metric = '{m}' THEN q5 + 3 * (q9 - q5) + {slack} END) AS hi_{m}, "
+    f"max(CASE WHEN metric = '{m}' THEN {f'q5 - 3 * (q5 - q1) - {slack}' if both else '-1.0'} END) AS lo_{m}"
+    for m, (_, _, slack, both) in quality.METRICS.items()
+)
+_OUT = " OR ".join(f"({_VALUE[m]}) > hi_{m} OR ({_VALUE[m]}) < lo_{m}" for m in quality.METRICS)
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality": rf"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), g AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+), twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) AS r(k) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN covered USING (doc_id)
+), b AS (
+  {" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {v} AS v FROM m" for m, v in _VALUE.items())}
+), s AS (
+  SELECT lang, source, metric, CASE WHEN v <= 0 THEN 0 ELSE 1 + CAST(floor(ln(CAST(v AS DOUBLE)) / CAST({math.log(1.02)!r} AS DOUBLE)) AS INT) END AS bucket, count(*) AS n
+  FROM b GROUP BY ALL
+), u AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS whole FROM s
+), q AS (
+  SELECT lang, source, metric, {", ".join(f"{_BACK.format(f'min(CASE WHEN upto * 10 >= whole * {k} THEN bucket END)')} AS q{k}" for k in (1, 5, 9))}
+  FROM u GROUP BY lang, source, metric
+), lim AS (SELECT lang, source, {_LIMITS} FROM q GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT ({_OUT}) AS kept
+FROM m JOIN lim ON m.lang IS NOT DISTINCT FROM lim.lang AND m.source IS NOT DISTINCT FROM lim.source""",
+    "op4_minhash": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), r AS (SELECT doc_id AS v, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.v)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(root) AS root FROM r GROUP BY v) c ON c.v = d.doc_id""",
+}

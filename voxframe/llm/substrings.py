@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from voxframe.llm.common import checked_broadcast, shuffle_partitions, staged, unstage
+from voxframe.llm.common import checked_broadcast, fresh, shuffle_partitions, staged
 
 MIN_BYTES = 400
 GRAM = 64
@@ -362,3 +362,49 @@ def passage_digests(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "no
     spans = staged(spans, "passages-spans")
     got = own.join(spans, (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     return got.select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans shrunk to whole characters of UTF-8."""
+    inside = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
+    out = []
+    for a, b in spans:
+        while inside(a):
+            a += 1
+        while inside(b):
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "first") -> DataFrame:
+    """docs without the bytes of repeated passages, in whole characters; by default each passage's first place stays.
+
+    All rows and columns of docs stay; n_chars, if there, follows the text; null texts stay null.
+    """
+    own = _with_uid(docs)
+    spans = repeated_spans(own, min_bytes, keep)
+    u, d, s = fresh("uid", docs), fresh("doc", docs), fresh("spans", docs)
+    spans = staged(spans.select(F.col("uid").alias(u), F.col("doc_id").alias(d), F.col("spans").alias(s)), "passages-spans")
+    key = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
+    names, schema = docs.columns, docs.schema
+    got = docs.join(spans, (key == F.col(u)) & F.col("doc_id").eqNullSafe(F.col(d)), "left").select(*[F.col(f"`{c}`") for c in names], s)
+    at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = b.columns[:-1]
+            texts = []
+            for text, found in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                if found:
+                    raw = text.encode("utf-8", "surrogatepass")
+                    text = cut_text(raw, whole_characters(raw, merged(found))).decode("utf-8", "replace")
+                texts.append(text)
+            if count is not None:
+                sizes = [len(x or "") if f else n for x, f, n in zip(texts, b.column(len(names)).to_pylist(), cols[count].to_pylist(), strict=True)]
+                cols[count] = pa.array(sizes, cols[count].type)
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return got.mapInArrow(cut, schema)

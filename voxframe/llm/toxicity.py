@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.llm.common import staged
+from voxframe.llm.common import fresh, staged
 
 # What a character may stand for besides itself.
 LOOKALIKES = {
@@ -283,3 +283,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs."""
     got = scored(docs.select("doc_id", "text"), labels)
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that aren't predicted to be toxic, with the columns of docs."""
+    name = fresh("score", docs)
+    return scored(docs, labels, name).filter(F.col(name) < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
