@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def _quantile(q: float, at: str = "v") -> Column:
     """Exact linear percentile over (value, frequency) rows."""
-    return F.percentile(at, q, "n")
+    return F.percentile(F.col(at), q, F.col("n"))
 
 
 def value_counts(values: DataFrame, by: list[str], v: str = "v") -> DataFrame:
@@ -80,9 +80,8 @@ def histogram(bins: DataFrame, by: list[str], g: str = "g") -> DataFrame:
     at = lambda k: c.select(*by, (F.col("g") - k).alias("g"), F.col("n").alias(f"_n{k + 1}"))
     near = near.join(at(0), [*by, "g"], "left").join(at(-1), [*by, "g"], "left").join(at(1), [*by, "g"], "left").fillna(0, ["_n0", "_n1", "_n2"])
     slope = F.when(F.col("g") == F.col("_lo"), F.col("_n2") - F.col("_n1")).when(F.col("g") == F.col("_hi"), F.col("_n1") - F.col("_n0")).otherwise((F.col("_n2") - F.col("_n0")) / 2)
-    flat = F.col("_hi") - F.col("_lo") + 1 > F.count("*").over(W.partitionBy(*by))  # some bin has no filled neighbour: its gradient is 0
-    # np.gradient's first extreme: among equal slopes the lowest bin; a far empty bin counts only where 0 is the extreme, which it never is.
-    s = near.select(*by, "g", slope.cast("double").alias("s"), flat.alias("_flat"))
+    # Bins far from any filled one have gradient 0, which is never the extreme: counts rise and fall between the ends.
+    s = near.select(*by, "g", slope.cast("double").alias("s"))
     ends = s.groupBy(*by).agg(
         F.max("s").alias("max_grad"), F.max_by("g", F.struct("s", -F.col("g"))).alias("max_grad_at"), F.min("s").alias("min_grad"), F.min_by("g", F.struct("s", "g")).alias("min_grad_at")
     )

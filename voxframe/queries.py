@@ -1,6 +1,609 @@
-"""Queries of the engine over the test tables, and their SQL."""
+"""Queries of the engine over the test tables, and their SQL.
+
+Vectors are 4x4x4 volumes; line items, orders and events are regions of values; customers, orders and line items
+stand for patients, studies and instances. Rounded columns are rounded alike on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxframe.functions.intensity import HISTOGRAM, INTENSITY, IVH
+from voxframe.functions.texture import DIRECTIONS, NAMES, NEIGHBOURS
+from voxframe.operators import geometry, lattice, metadata, results, stats, steps
+from voxframe.plans import catalogue, run
+from voxframe.plans.config import Config, Configs, plan
+from voxframe.sources.volumes import embedding_volumes, voxels
+from voxframe.streaming.ingest import windowed
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+MASK = 0.12  # a voxel below minus this lies outside the region of the queries that have one
+
+
+NUDGE = 1e-9  # before rounding: keeps exact halves from falling either way
+
+
+def query(sql: str | None = None, nudge: bool = False) -> Callable:
+    if nudge:
+        sql = sql.replace(", 6)", f" + {NUDGE!r}, 6)")
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = voxels(embedding_volumes(spark, sf_dir))
+    inside = F.when(F.col("v") > -MASK, 1).otherwise(0)
+    return v.withColumn("morph_mask", inside).withColumn("intensity_mask", inside)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+_VOX = f"""vox AS (SELECT vec_id AS volume_id, CAST((p - 1) // 16 AS INT) AS x, CAST(((p - 1) // 4) % 4 AS INT) AS y, CAST((p - 1) % 4 AS INT) AS z,
+  CAST(embedding[p] AS DOUBLE) AS v, CASE WHEN CAST(embedding[p] AS DOUBLE) > -{MASK} THEN 1 ELSE 0 END AS m FROM embeddings, range(1, 65) r(p))"""
+_FBN = """ends AS (SELECT volume_id, min(v) AS lo, max(v) AS hi FROM vox GROUP BY volume_id),
+fbn AS (SELECT volume_id, x, y, z, v, m, CAST(CASE WHEN v >= hi THEN 8 ELSE least(greatest(floor(8 * (v - lo) / (hi - lo)) + 1, 1), 8) END AS INT) AS g FROM vox JOIN ends USING (volume_id))"""
+
+
+def _offsets(offsets: list) -> str:
+    return "(VALUES " + ", ".join(map(str, offsets)) + ") o(dx, dy, dz)"
+
+
+# --- steps -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_VOX} SELECT volume_id, count(*) AS n, round(sum(v), 6) + 0.0 AS total FROM vox WHERE m = 1 GROUP BY volume_id")
+def apply_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(steps.apply_mask(masked(spark, sf_dir)).groupBy("volume_id").agg(F.count("*").alias("n"), F.sum("v").alias("total")))
+
+
+@query(f"WITH {_VOX} SELECT volume_id, count(*) AS n, CAST(count(*) FILTER (m = 0) AS BIGINT) AS outside FROM vox GROUP BY volume_id")
+def extract_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.extract_roi(masked(spark, sf_dir)).groupBy("volume_id").agg(F.count("*").alias("n"), F.count_if(F.isnan("v")).alias("outside"))
+
+
+@query(f"WITH {_VOX} SELECT volume_id, x, y, z, CASE WHEN v < -0.1 OR v > 0.15 THEN 0 ELSE m END AS intensity_mask FROM vox")
+def resegment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.resegment(masked(spark, sf_dir), -0.1, 0.15).select("volume_id", "x", "y", "z", "intensity_mask")
+
+
+@query(f"""WITH {_VOX}, s AS (SELECT volume_id, avg(v) AS a, stddev_pop(v) AS d FROM vox WHERE m = 1 GROUP BY volume_id)
+SELECT volume_id, CAST(sum(CASE WHEN abs(v - a) > 1.5 * d THEN 0 ELSE m END) AS BIGINT) AS kept FROM vox JOIN s USING (volume_id) GROUP BY volume_id""")
+def filter_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.filter_outliers(masked(spark, sf_dir), 1.5).groupBy("volume_id").agg(F.sum("intensity_mask").alias("kept"))
+
+
+@query("SELECT o_orderkey, round_even(o_totalprice / 2, 0) + 0.0 AS v FROM orders")
+def round_intensities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.round_intensities(table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 2).alias("v")))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber BETWEEN 2 AND 4 THEN 1 ELSE 0 END AS morph_mask FROM lineitem")
+def binarize_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("morph_mask"))
+    return steps.binarize_mask(d, values=(2, 4), apply_to="morph")
+
+
+@query("""WITH RECURSIVE w AS (SELECT o_custkey AS volume_id, CASE WHEN o_orderkey % 7 = 0 THEN -1000.0 WHEN o_orderkey % 11 = 0 THEN 0.0 ELSE o_totalprice END AS v FROM orders),
+n AS (SELECT volume_id, count(*) AS n, count(*) FILTER (v = -1000) AS a, count(*) FILTER (v = 0) AS b FROM w GROUP BY volume_id)
+SELECT volume_id, CAST(CASE WHEN a > 0 AND a >= 0.01 * n THEN -1000 WHEN b > 0 AND b >= 0.01 * n THEN 0 END AS DOUBLE) AS sentinel FROM n""")
+def detect_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    v = F.when(k % 7 == 0, -1000.0).when(k % 11 == 0, 0.0).otherwise(F.col("o_totalprice"))
+    return steps.detect_sentinel(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("volume_id"), v.alias("v"), F.lit(1).alias("intensity_mask")))
+
+
+@query("SELECT event_id, abs(value - 10) > 0.5 AS source_valid FROM events")
+def source_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.source_mask(table(spark, sf_dir, "events").select("event_id", F.col("value").alias("v")), 10.0, 0.5).select("event_id", "source_valid")
+
+
+@query(f"WITH {_VOX}, {_FBN} SELECT volume_id, x, y, z, g FROM fbn")
+def discretise_fbn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.discretise(voxels(embedding_volumes(spark, sf_dir)), "FBN", 8).select("volume_id", "x", "y", "z", "g")
+
+
+@query("""WITH e AS (SELECT l_returnflag AS f, min(l_extendedprice) AS lo FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_linenumber, CAST(greatest(floor((l_extendedprice - lo) / 1000) + 1, 1) AS INT) AS g FROM lineitem JOIN e ON l_returnflag = f""")
+def discretise_fbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("volume_id"), "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("v"), F.lit(1).alias("intensity_mask"))
+    return steps.discretise(d, "FBS", bin_width=1000.0).select("l_orderkey", "l_linenumber", "g")
+
+
+@query("SELECT event_id, (value >= 1)::INT + (value >= 5)::INT + (value >= 20)::INT AS g FROM events")
+def discretise_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.discretise(table(spark, sf_dir, "events").select("event_id", F.col("value").alias("v")), "FIXED_CUTOFFS", cutoffs=[1.0, 5.0, 20.0]).select("event_id", "g")
+
+
+@query(f"WITH {_VOX} SELECT volume_id, coalesce(max(CASE WHEN v > 0.3 THEN 1 END), 0) = 0 AS empty FROM vox GROUP BY volume_id")
+def empty_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = masked(spark, sf_dir).withColumn("intensity_mask", F.when(F.col("v") > 0.3, 1).otherwise(0))
+    return steps.empty_regions(v)
+
+
+@query(f"""WITH RECURSIVE {_VOX}, own AS (SELECT volume_id, x, y, z, x * 16 + y * 4 + z AS id FROM vox WHERE v > 0),
+e AS (SELECT a.volume_id, a.id AS a, b.id AS b FROM own a JOIN own b ON a.volume_id = b.volume_id AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1),
+r AS (SELECT volume_id, id, id AS root FROM own UNION SELECT e.volume_id, e.b, r.root FROM r JOIN e ON e.volume_id = r.volume_id AND e.a = r.id),
+c AS (SELECT volume_id, id, min(root) AS root FROM r GROUP BY ALL), s AS (SELECT volume_id, root, count(*) AS n FROM c GROUP BY ALL),
+b AS (SELECT volume_id, root FROM (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY n DESC, root) AS k FROM s) WHERE k = 1)
+SELECT volume_id, id AS voxel FROM c JOIN b USING (volume_id, root)""")
+def keep_largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    def kernel(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            ids, out = [], []
+            for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = np.flatnonzero(run.largest_component((np.array(x).reshape(4, 4, 4) > 0).astype(int)))
+                ids += [key] * len(at)
+                out += at.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int32())], names=["volume_id", "voxel"])
+
+    return run.spread(embedding_volumes(spark, sf_dir).select("volume_id", "data")).mapInArrow(kernel, "volume_id long, voxel int")
+
+
+@query(f"WITH {_VOX} SELECT volume_id, x, y, z, CAST(trunc((greatest(least(v, 0.2), -0.2) - -0.2) / 0.4 * 255) AS INT) AS grey FROM vox")
+def window_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.window_level(voxels(embedding_volumes(spark, sf_dir)), 0.0, 0.4).select("volume_id", "x", "y", "z", "grey")
+
+
+@query(f"""WITH {_VOX}, e AS (SELECT volume_id, min(v) AS lo, max(v) AS hi FROM vox GROUP BY volume_id),
+g AS (SELECT volume_id, x, y, z, m, CAST(trunc((v - lo) / (hi - lo) * 255) AS INT) AS grey FROM vox JOIN e USING (volume_id))
+SELECT volume_id, x, y, z, CASE WHEN m > 0 THEN CAST(floor(0.75 * grey + 0.25 * 255) AS INT) ELSE grey END AS r,
+ CASE WHEN m > 0 THEN CAST(floor(0.75 * grey + 0.25 * 64) AS INT) ELSE grey END AS g_, CASE WHEN m > 0 THEN CAST(floor(0.75 * grey + 0.25 * 0) AS INT) ELSE grey END AS b FROM g WHERE z % 2 = 0""")
+def slice_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = steps.select_slices(4, "every_2")
+    grey = steps.normalise(masked(spark, sf_dir).filter("true")).filter(F.col("z").isin(wanted))
+    return steps.overlay(grey, [(255, 64, 0), (0, 128, 255)]).select("volume_id", "x", "y", "z", "r", "g_", "b")
+
+
+# --- first-order families ------------------------------------------------------------------------------------
+
+
+def _first_order_sql(source: str, by: str, v: str) -> str:
+    return f"""WITH d AS (SELECT {by} AS k, CAST({v} AS DOUBLE) AS v FROM {source}),
+q AS (SELECT k, count(*) AS n, avg(v) AS mean, min(v) AS lo, max(v) AS hi, sum(v * v) AS energy, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS med,
+ quantile_cont(v, 0.75) AS p75, quantile_cont(v, 0.9) AS p90 FROM d GROUP BY k),
+m AS (SELECT k, avg((v - mean) ** 2) AS var, avg((v - mean) ** 3) AS m3, avg((v - mean) ** 4) AS m4, avg(abs(v - mean)) AS mad, avg(abs(v - med)) AS medad,
+ avg(v) FILTER (v BETWEEN p10 AND p90) AS mid FROM d JOIN q USING (k) GROUP BY k),
+r AS (SELECT k, avg(abs(v - mid)) FILTER (v BETWEEN p10 AND p90) AS rmad FROM d JOIN q USING (k) JOIN m USING (k) GROUP BY k)
+SELECT k AS region, n AS count, round(mean, 6) + 0.0 AS mean, round(var, 4) + 0.0 AS var, round(m3 / nullif(var, 0) ** 1.5, 6) + 0.0 AS skew, round(m4 / nullif(var, 0) ** 2 - 3, 6) + 0.0 AS kurt,
+ round(med, 6) + 0.0 AS median, lo AS min, round(p10, 6) + 0.0 AS p10, round(p90, 6) + 0.0 AS p90, hi AS max, round(p75 - p25, 6) + 0.0 AS iqr, round(hi - lo, 6) + 0.0 AS range, round(mad, 6) + 0.0 AS mad,
+ round(rmad, 6) + 0.0 AS rmad, round(medad, 6) + 0.0 AS medad, round(sqrt(var) / mean, 6) + 0.0 AS cov, round((p75 - p25) / (p75 + p25), 6) + 0.0 AS qcod, round(energy / n, 2) + 0.0 AS energy,
+ round(sqrt(energy / n), 6) + 0.0 AS rms FROM q JOIN m USING (k) JOIN r USING (k)"""
+
+
+def _first_order(df: DataFrame) -> DataFrame:
+    out = stats.first_order(df, ["region"]).withColumn("energy", F.col("energy") / F.col("count"))
+    digits = {"var": 4, "energy": 2}
+    return out.select("region", "count", "min", "max", *[(F.round(c, digits.get(c, 6)) + 0.0).alias(c) for c in out.columns if c not in ("region", "count", "min", "max")])
+
+
+@query(_first_order_sql("lineitem", "l_returnflag || l_linestatus", "l_extendedprice"))
+def intensity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first_order(table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("region"), F.col("l_extendedprice").alias("v")))
+
+
+@query(_first_order_sql("events", "event_type", "value"))
+def intensity_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first_order(table(spark, sf_dir, "events").select(F.col("event_type").alias("region"), F.col("value").alias("v")))
+
+
+@query(f"""WITH {_VOX}, {_FBN}, c AS (SELECT volume_id, g, count(*) AS n FROM fbn GROUP BY ALL),
+b AS (SELECT volume_id, arg_max(g, n * 100 - g) AS mode, round(-sum(n / 64 * log2(n / 64)), 6) + 0.0 AS entropy, round(sum((n / 64) ** 2), 6) + 0.0 AS uniformity FROM c GROUP BY volume_id),
+f AS (SELECT i.volume_id, k AS g, coalesce(n, 0) AS n FROM (SELECT DISTINCT volume_id FROM c) i CROSS JOIN range(1, 9) r(k) LEFT JOIN c ON c.volume_id = i.volume_id AND c.g = k),
+s AS (SELECT volume_id, g, CASE WHEN g = 1 THEN lead(n) OVER w - n WHEN g = 8 THEN n - lag(n) OVER w ELSE (lead(n) OVER w - lag(n) OVER w) / 2 END AS s FROM f WINDOW w AS (PARTITION BY volume_id ORDER BY g)),
+x AS (SELECT volume_id, max(s) AS hi, min(s) AS lo FROM s GROUP BY volume_id)
+SELECT b.volume_id, mode, entropy, uniformity, CAST(hi AS DOUBLE) AS max_grad, min(g) FILTER (s = hi) AS max_grad_at, CAST(lo AS DOUBLE) AS min_grad, min(g) FILTER (s = lo) AS min_grad_at
+FROM b JOIN s USING (volume_id) JOIN x USING (volume_id) GROUP BY ALL""")
+def histogram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = steps.discretise(voxels(embedding_volumes(spark, sf_dir)), "FBN", 8)
+    return rounded(stats.histogram(g, ["volume_id"])).withColumn("mode", F.col("mode").cast("int")).withColumn("max_grad_at", F.col("max_grad_at").cast("int")).withColumn("min_grad_at", F.col("min_grad_at").cast("int"))
+
+
+@query("""WITH c AS (SELECT l_returnflag AS region, l_extendedprice AS v, count(*) AS n FROM lineitem GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY region) AS whole, sum(n) OVER (PARTITION BY region ORDER BY v DESC) AS held, min(v) OVER (PARTITION BY region) AS lo, max(v) OVER (PARTITION BY region) AS hi FROM c),
+p AS (SELECT *, lag(v) OVER (PARTITION BY region ORDER BY v) AS pv, lag(held) OVER (PARTITION BY region ORDER BY v) AS ph FROM w),
+a AS (SELECT region, sum(n) FILTER (v >= lo + 0.1 * (hi - lo)) / max(whole) AS v10, sum(n) FILTER (v >= lo + 0.9 * (hi - lo)) / max(whole) AS v90,
+ min(v) FILTER (held <= floor(0.1 * whole)) AS i10, min(v) FILTER (held <= floor(0.9 * whole)) AS i90, sum((v - pv) * (held + ph) / 2 / whole) AS auc FROM p GROUP BY region)
+SELECT region, round(v10, 6) AS v10, round(v90, 6) AS v90, round(v10 - v90, 6) AS vdiff, i10, i90, round(i10 - i90, 6) AS idiff, round(auc, 4) AS auc FROM a""")
+def ivh_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = stats.ivh(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("region"), F.col("l_extendedprice").alias("v")), ["region"])
+    return rounded(got).withColumn("auc", F.round("auc", 4))
+
+
+# --- lattice -------------------------------------------------------------------------------------------------
+
+_PAIRS = f"pairs AS (SELECT a.volume_id, a.g AS i, b.g AS j FROM fbn a, {_offsets(DIRECTIONS)} JOIN fbn b ON b.volume_id = a.volume_id AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz)"
+_GLCM = f"WITH {_VOX}, {_FBN}, {_PAIRS}, duo AS (SELECT volume_id, i, j FROM pairs UNION ALL SELECT volume_id, j, i FROM pairs), m AS (SELECT volume_id, i, j, count(*) AS n FROM duo GROUP BY ALL)"
+_NEAR = f"""near AS (SELECT a.volume_id, a.x, a.y, a.z, a.g, count(*) AS k, sum(b.g) AS s, count(*) FILTER (b.g = a.g) + 1 AS dep FROM fbn a, {_offsets(NEIGHBOURS)}
+ JOIN fbn b ON b.volume_id = a.volume_id AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY ALL)"""
+
+
+def _family(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
+    return run.matrices(embedding_volumes(spark, sf_dir)).filter(F.col("family") == family).select("volume_id", "i", "j", "n")
+
+
+@query(f"{_GLCM} SELECT volume_id, i, j, n FROM m")
+def glcm_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _family(spark, sf_dir, "glcm").withColumn("i", F.col("i").cast("int")).withColumn("j", F.col("j").cast("int"))
+
+
+@query(f"{_GLCM} SELECT volume_id, i, j, n FROM m")
+def glcm_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.glcm(steps.discretise(voxels(embedding_volumes(spark, sf_dir)), "FBN", 8))
+
+
+@query(f"WITH {_VOX}, {_FBN}, {_NEAR} SELECT volume_id, g AS i, count(*) AS n, round(sum(abs(g - s / k)), 6) AS s FROM near GROUP BY ALL")
+def ngtdm_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(lattice.ngtdm(steps.discretise(voxels(embedding_volumes(spark, sf_dir)), "FBN", 8)))
+
+
+@query(f"WITH {_VOX}, {_FBN}, {_NEAR} SELECT volume_id, CAST(g AS BIGINT) AS i, CAST(dep AS BIGINT) AS j, count(*) AS n FROM near GROUP BY ALL")
+def ngldm_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _family(spark, sf_dir, "ngldm")
+
+
+@query(f"""WITH {_VOX}, {_FBN}, o AS (SELECT row_number() OVER () AS d, * FROM {_offsets(DIRECTIONS)}),
+t AS (SELECT volume_id, d, g, CASE WHEN dx = 1 THEN x WHEN dy = 1 THEN y ELSE z END AS t, x, y, z, dx, dy, dz FROM fbn, o),
+l AS (SELECT *, x - t * dx AS lx, y - t * dy AS ly, z - t * dz AS lz FROM t),
+i AS (SELECT *, t - row_number() OVER (PARTITION BY volume_id, d, lx, ly, lz, g ORDER BY t) AS isle FROM l),
+r AS (SELECT volume_id, g AS i, count(*) AS j FROM i GROUP BY volume_id, d, lx, ly, lz, g, isle)
+SELECT volume_id, CAST(i AS BIGINT) AS i, j, count(*) AS n FROM r GROUP BY ALL""")
+def glrlm_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _family(spark, sf_dir, "glrlm")
+
+
+_ZONES = f"""WITH RECURSIVE {_VOX}, {_FBN}, own AS MATERIALIZED (SELECT volume_id, x * 16 + y * 4 + z AS id, x, y, z, g FROM fbn),
+e AS MATERIALIZED (SELECT a.volume_id, a.id AS a, b.id AS b FROM own a, {_offsets(NEIGHBOURS)} JOIN own b ON b.volume_id = a.volume_id AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz AND b.g = a.g),
+r AS (SELECT volume_id, id, id AS root FROM own UNION SELECT e.volume_id, e.b, r.root FROM r JOIN e ON e.volume_id = r.volume_id AND e.a = r.id),
+c AS (SELECT volume_id, id, min(root) AS root FROM r GROUP BY ALL)"""
+
+
+@query(f"{_ZONES}, s AS (SELECT c.volume_id, root, max(g) AS i, count(*) AS j FROM c JOIN own USING (volume_id, id) GROUP BY ALL) SELECT volume_id, CAST(i AS BIGINT) AS i, j, count(*) AS n FROM s GROUP BY ALL")
+def glszm_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _family(spark, sf_dir, "glszm")
+
+
+@query(f"""{_ZONES}, s AS (SELECT c.volume_id, root, max(g) AS i, min(least(x, 3 - x, y, 3 - y, z, 3 - z) + 1) AS j FROM c JOIN own USING (volume_id, id) GROUP BY ALL)
+SELECT volume_id, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, count(*) AS n FROM s GROUP BY ALL""")
+def gldzm_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _family(spark, sf_dir, "gldzm")
+
+
+def _features(spark: SparkSession, sf_dir: str, families: list[str], keys: dict[str, str], digits: int = 6) -> DataFrame:
+    """One row for each volume, with the features of keys: published name to column."""
+    config = Config([{"step": "discretise", "params": {"method": "FBN", "n_bins": 8}}, {"step": "extract_features", "params": {"families": families}}])
+    long = run.run(embedding_volumes(spark, sf_dir), {"c": config}).filter(F.col("feature_name").isin(list(keys)))
+    got = long.groupBy(F.col("subject_id").cast("long").alias("volume_id")).agg(*[F.max(F.when(F.col("feature_name") == k, F.col("value"))).alias(c) for k, c in keys.items()])
+    return got.select("volume_id", *[(F.round(F.col(c) + NUDGE, digits) + 0.0).alias(c) for c in keys.values()])
+
+
+@query(f"""{_GLCM}, p AS (SELECT volume_id, i, j, n / sum(n) OVER (PARTITION BY volume_id) AS p FROM m), u AS (SELECT volume_id, sum(i * p) AS mu FROM p GROUP BY volume_id),
+v AS (SELECT volume_id, sum((i - mu) ** 2 * p) AS var, any_value(mu) AS mu FROM p JOIN u USING (volume_id) GROUP BY volume_id)
+SELECT volume_id, round(max(p), 6) AS joint_maximum, round(any_value(mu), 6) AS joint_average, round(any_value(var), 6) AS joint_variance, round(-sum(p * log2(p)), 6) AS joint_entropy,
+ round(sum(p * p), 6) AS energy, round(sum((i - j) ** 2 * p), 6) AS contrast, round(sum(abs(i - j) * p), 6) AS dissimilarity, round(sum(p / (1 + abs(i - j))), 6) AS inverse_difference,
+ round(sum(p / (1 + (i - j) ** 2)), 6) AS inverse_difference_moment, round(sum((i - mu) * (j - mu) * p) / any_value(var), 6) + 0.0 AS correlation, round(sum(i * j * p), 6) AS autocorrelation,
+ round(sum((i + j - 2 * mu) ** 3 * p), 6) + 0.0 AS cluster_shade, round(sum((i + j - 2 * mu) ** 4 * p), 6) AS cluster_prominence FROM p JOIN v USING (volume_id) GROUP BY volume_id""", nudge=True)
+def glcm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _features(spark, sf_dir, ["glcm"], {
+        "joint_maximum_GYBY": "joint_maximum", "joint_average_60VM": "joint_average", "joint_variance_UR99": "joint_variance", "joint_entropy_TU9B": "joint_entropy", "angular_second_moment_8ZQL": "energy",
+        "contrast_ACUI": "contrast", "dissimilarity_8S9J": "dissimilarity", "inverse_difference_IB1Z": "inverse_difference", "inverse_difference_moment_WF0Z": "inverse_difference_moment",
+        "correlation_NI2N": "correlation", "autocorrelation_QWB0": "autocorrelation", "cluster_shade_7NFM": "cluster_shade", "cluster_prominence_AE86": "cluster_prominence",
+    })
+
+
+def _emphasis_sql(matrix: str, voxels: str) -> str:
+    short = ["short", "long", "gln", "glnn", "sn", "snn", "share", "glv", "sv", "entropy", "low", "high", "short_low", "short_high", "long_low", "long_high"]
+    return f"""{matrix}, tot AS (SELECT volume_id, sum(n) AS t FROM mat GROUP BY volume_id), p AS (SELECT volume_id, i, j, n, n / t AS p, t FROM mat JOIN tot USING (volume_id)),
+u AS (SELECT volume_id, sum(i * p) AS mi, sum(j * p) AS mj FROM p GROUP BY volume_id), si AS (SELECT volume_id, sum(s * s) AS si FROM (SELECT volume_id, i, sum(n) AS s FROM mat GROUP BY ALL) GROUP BY volume_id),
+sj AS (SELECT volume_id, sum(s * s) AS sj FROM (SELECT volume_id, j, sum(n) AS s FROM mat GROUP BY ALL) GROUP BY volume_id)
+SELECT volume_id, {", ".join(f"round({e}, 6) + 0.0 AS {k}" for k, e in zip(short, ["sum(p / j ** 2)", "sum(p * j ** 2)", "any_value(si / t)", "any_value(si / t ** 2)", "any_value(sj / t)", "any_value(sj / t ** 2)", f"any_value(t / {voxels})", "sum((i - mi) ** 2 * p)", "sum((j - mj) ** 2 * p)", "-sum(p * log2(p))", "sum(p / i ** 2)", "sum(p * i ** 2)", "sum(p / (i ** 2 * j ** 2))", "sum(p * i ** 2 / j ** 2)", "sum(p * j ** 2 / i ** 2)", "sum(p * i ** 2 * j ** 2)"], strict=True))}
+FROM p JOIN u USING (volume_id) JOIN si USING (volume_id) JOIN sj USING (volume_id) GROUP BY volume_id"""
+
+
+def _as_matrix(name: str) -> str:
+    head, _, tail = ORACLE_SQL[name].rpartition("SELECT volume_id, CAST(i AS BIGINT)")
+    if not head:
+        head, _, tail = ORACLE_SQL[name].rpartition("SELECT volume_id, CAST(g AS BIGINT)")
+        return f"{head.rstrip()}, mat AS (SELECT volume_id, CAST(g AS BIGINT){tail})"
+    return f"{head.rstrip()}, mat AS (SELECT volume_id, CAST(i AS BIGINT){tail})"
+
+
+def _shared(family: str) -> Callable:
+    def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _features(spark, sf_dir, [family], {name: k for k, name in NAMES[family].items() if k != "energy"})
+
+    features.__name__ = f"{family}_features"
+    return features
+
+
+for _f, _n in (("glrlm", "(13 * 64)"), ("glszm", "64"), ("gldzm", "64"), ("ngldm", "64")):
+    query(_emphasis_sql(_as_matrix(f"{_f}_matrix"), _n), nudge=True)(_shared(_f))
+
+
+@query(f"""WITH {_VOX}, {_FBN}, {_NEAR}, l AS (SELECT volume_id, g AS i, count(*) AS n, sum(abs(g - s / k)) AS s FROM near GROUP BY ALL), p AS (SELECT *, n / 64 AS p FROM l),
+a AS (SELECT volume_id, sum(p * s) AS ps, sum(s) AS ss, count(*) AS k FROM p GROUP BY volume_id),
+g AS (SELECT x.volume_id, sum(x.p * y.p * (x.i - y.i) ** 2) AS c, sum(abs(x.i * x.p - y.i * y.p)) AS b, sum(abs(x.i - y.i) * (x.p * x.s + y.p * y.s) / (x.p + y.p)) AS x, sum((x.p + y.p) * (x.i - y.i) ** 2) AS t
+ FROM p x JOIN p y ON x.volume_id = y.volume_id GROUP BY x.volume_id)
+SELECT volume_id, round(1 / ps, 6) AS coarseness, round(c / (k * (k - 1)) * ss / 64, 6) AS contrast, round(ps / b, 6) AS busyness, round(x / 64, 6) AS complexity, round(t / ss, 6) AS strength FROM a JOIN g USING (volume_id)""", nudge=True)
+def ngtdm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _features(spark, sf_dir, ["ngtdm"], {k: k.rsplit("_", 1)[0] for k in catalogue.NGTDM})
+
+
+@query(f"""WITH {_VOX}, a AS (SELECT volume_id, avg(v) AS mean, sum((v - (SELECT avg(v) FROM vox w WHERE w.volume_id = vox.volume_id)) ** 2) AS d FROM vox GROUP BY volume_id),
+p AS (SELECT l.volume_id, 1 / sqrt((l.x - r.x) ** 2 + (l.y - r.y) ** 2 + (l.z - r.z) ** 2) AS w, l.v AS a, r.v AS b FROM vox l JOIN vox r ON l.volume_id = r.volume_id AND (l.x, l.y, l.z) <> (r.x, r.y, r.z))
+SELECT volume_id, round(64 / sum(w) * sum(w * (p.a - mean) * (p.b - mean)) / any_value(d), 6) + 0.0 AS morans_i, round(63 / (2 * sum(w)) * sum(w * (p.a - p.b) ** 2) / any_value(d), 6) AS gearys_c
+FROM p JOIN a USING (volume_id) GROUP BY volume_id""", nudge=True)
+def spatial_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _features(spark, sf_dir, ["spatial_intensity"], {"morans_i_index_N365": "morans_i", "gearys_c_measure_NPT7": "gearys_c"})
+
+
+@query(f"""WITH {_VOX}, s AS (SELECT l.volume_id, l.x, l.y, l.z, any_value(l.v) AS v, avg(r.v) AS mean FROM vox l JOIN vox r ON l.volume_id = r.volume_id
+ AND (l.x - r.x) ** 2 + (l.y - r.y) ** 2 + (l.z - r.z) ** 2 <= 6.2035 ** 2 GROUP BY l.volume_id, l.x, l.y, l.z)
+SELECT volume_id, round(max(mean), 6) + 0.0 AS global_peak, round(arg_max(mean, v), 6) + 0.0 AS local_peak FROM s GROUP BY volume_id""", nudge=True)
+def local_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _features(spark, sf_dir, ["local_intensity"], {"global_intensity_peak_0F91": "global_peak", "local_intensity_peak_VJGA": "local_peak"})
+
+
+@query()
+def morphology_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 27 shape features of the voxels above the threshold."""
+    v = embedding_volumes(spark, sf_dir).withColumn("morph", F.transform("data", lambda x: F.when(x > -MASK, 1).otherwise(0)))
+    return run.run(v, {"shape": Config([{"step": "extract_features", "params": {"families": ["morphology"]}}])})
+
+
+@query(f"""WITH {_VOX}, c AS (SELECT volume_id, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z, sum(v) AS w, sum(v * x) AS wx, sum(v * y) AS wy, sum(v * z) AS wz FROM vox WHERE m = 1 GROUP BY volume_id)
+SELECT volume_id, CAST(n AS DOUBLE) AS voxel_volume, round(sqrt((x - wx / w) ** 2 + (y - wy / w) ** 2 + (z - wz / w) ** 2), 5) AS shift FROM c""")
+def centre_of_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = masked(spark, sf_dir).filter("morph_mask = 1")
+    c = v.groupBy("volume_id").agg(F.count("*").cast("double").alias("voxel_volume"), F.sum("v").alias("w"), *[F.avg(k).alias(k) for k in "xyz"], *[F.sum(F.col("v") * F.col(k)).alias(f"w{k}") for k in "xyz"])
+    gap = sum(((F.col(k) - F.try_divide(F.col(f"w{k}"), F.col("w"))) ** 2 for k in "xyz"), F.lit(0.0))
+    return c.select("volume_id", "voxel_volume", F.round(F.sqrt(gap), 5).alias("shift"))
+
+
+# --- geometry and filters ------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_VOX}, w AS (SELECT * FROM (VALUES (0, 0, 0.5), (0, 1, 0.5), (1, 2, 0.5), (1, 3, 0.5)) t(o, i, f))
+SELECT volume_id, a.o AS x, b.o AS y, c.o AS z, round(sum(v * a.f * b.f * c.f), 6) + 0.0 AS v FROM vox JOIN w a ON a.i = x JOIN w b ON b.i = y JOIN w c ON c.i = z GROUP BY ALL""")
+def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(geometry.resample(voxels(embedding_volumes(spark, sf_dir)), (4, 4, 4), (1.0,) * 3, (2.0,) * 3))
+
+
+@query(f"WITH {_VOX}, k AS (SELECT range AS o FROM range(8)) SELECT volume_id, CAST(a.o AS INT) AS x, CAST(b.o AS INT) AS y, CAST(c.o AS INT) AS z, v FROM k a, k b, k c JOIN vox ON x = a.o // 2 AND y = b.o // 2 AND z = c.o // 2")
+def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.resample(voxels(embedding_volumes(spark, sf_dir)), (4, 4, 4), (1.0,) * 3, (0.5,) * 3, "nearest").select("volume_id", "x", "y", "z", (F.col("v") + 0.0).alias("v"))
+
+
+@query()
+def resample_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intensity features after cubic resampling; splines have no form in SQL."""
+    c = Config([{"step": "resample", "params": {"new_spacing": [0.8, 0.8, 0.8], "interpolation": "cubic"}}, {"step": "extract_features", "params": {"families": ["intensity"]}}])
+    return run.run(embedding_volumes(spark, sf_dir), {"cubic": c})
+
+
+@query(f"""WITH {_VOX}, g AS (SELECT DISTINCT volume_id, a.range AS x, b.range AS y, c.range AS z FROM vox, range(4) a, range(4) b, range(4) c)
+SELECT g.volume_id, CAST(g.x AS INT) AS x, CAST(g.y AS INT) AS y, CAST(g.z AS INT) AS z, coalesce(v, -1.0) AS v FROM g LEFT JOIN vox ON vox.volume_id = g.volume_id AND vox.x + 2 = g.x AND vox.y - 1 = g.y AND vox.z = g.z""")
+def reposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.reposition(voxels(embedding_volumes(spark, sf_dir)), (2.0, -1.0, 0.0), (1.0,) * 3, (4, 4, 4), (0.0,) * 3, -1.0)
+
+
+def _merge_sql(rule: str) -> str:
+    return f"WITH {_VOX}, s AS (SELECT volume_id // 4 AS case_id, volume_id AS o, x, y, z, CASE WHEN v > 0.05 THEN v ELSE 0 END AS v FROM vox) SELECT case_id, x, y, z, {rule} AS v, count(*) AS sources FROM s WHERE v <> 0 GROUP BY ALL"
+
+
+def _merge(conflict: str) -> Callable:
+    def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = voxels(embedding_volumes(spark, sf_dir)).select(F.expr("volume_id div 4").alias("case_id"), "volume_id", "x", "y", "z", F.when(F.col("v") > 0.05, F.col("v")).otherwise(0.0).alias("v"))
+        return geometry.merge(v, "case_id", "volume_id", conflict)
+
+    merged.__name__ = f"merge_{conflict}"
+    return merged
+
+
+for _c, _r in (("max", "max(v)"), ("min", "min(v)"), ("first", "arg_min(v, o)"), ("last", "arg_max(v, o)")):
+    query(_merge_sql(_r))(_merge(_c))
+
+
+@query("SELECT vec_id AS volume_id, true AS same FROM embeddings")
+def same_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.same_geometry(embedding_volumes(spark, sf_dir).drop("data"))
+
+
+def _filtered(spark: SparkSession, sf_dir: str, params: dict) -> DataFrame:
+    """volume_id, x, y, z, v of filtered volumes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from voxframe.functions.filters import apply_filter
+
+    def kernel(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            out = [apply_filter(np.array(x, float).reshape(4, 4, 4), (1.0, 1.0, 1.0), params).reshape(-1) for x in b.column(1).to_pylist()]
+            at = np.arange(64)
+            cols = [np.repeat(ids, 64), *(np.tile(k, len(ids)).astype(np.int32) for k in (at // 16, at // 4 % 4, at % 4)), np.concatenate(out)] if ids else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["volume_id", "x", "y", "z", "v"])
+
+    return rounded(run.spread(embedding_volumes(spark, sf_dir).select("volume_id", "data")).mapInArrow(kernel, "volume_id long, x int, y int, z int, v double"))
+
+
+def _stencil_sql(taps: list[list[tuple[int, float]]]) -> str:
+    """Three axes of (offset, weight), zero outside; sums in one join."""
+    t = [f"(VALUES {', '.join(f'({o}, CAST({w!r} AS DOUBLE))' for o, w in axis)})" for axis in taps]
+    return f"""WITH {_VOX} SELECT a.volume_id, a.x, a.y, a.z, round(sum(coalesce(b.v, 0) * i.w * j.w * k.w), 6) + 0.0 AS v FROM vox a, {t[0]} i(o, w), {t[1]} j(o, w), {t[2]} k(o, w)
+LEFT JOIN vox b ON b.volume_id = a.volume_id AND b.x = a.x + i.o AND b.y = a.y + j.o AND b.z = a.z + k.o GROUP BY a.volume_id, a.x, a.y, a.z"""
+
+
+@query(_stencil_sql([[(o, 1 / 3) for o in (-1, 0, 1)]] * 3))
+def filter_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, {"type": "mean", "support": 3, "boundary": "zero"})
+
+
+_R2, _R6 = 2**0.5, 6**0.5
+
+
+@query(_stencil_sql([[(-1, 1 / _R6), (0, 2 / _R6), (1, 1 / _R6)], [(-1, 1 / _R2), (1, -1 / _R2)], [(-1, -1 / _R6), (0, 2 / _R6), (1, -1 / _R6)]]))
+def filter_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, {"type": "laws", "kernels": "L3E3S3", "boundary": "zero"})
+
+
+@query(_stencil_sql([[(0, 0.5**0.5), (1, 0.5**0.5)]] * 2 + [[(0, 0.5**0.5), (1, -(0.5**0.5))]]))
+def filter_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, {"type": "wavelet", "wavelet": "haar", "decomposition": "LLH", "boundary": "zero"})
+
+
+for _name, _params in {
+    "filter_log": {"type": "log", "sigma_mm": 1.0}, "filter_laws_energy": {"type": "laws", "kernel": "L5E5E5", "rotation_invariant": True, "compute_energy": True},
+    "filter_gabor": {"type": "gabor", "sigma_mm": 1.0, "lambda_mm": 2.0, "rotation_invariant": True, "delta_theta": 0.7853981633974483, "average_over_planes": True},
+    "filter_wavelet_rotated": {"type": "wavelet", "wavelet": "coif1", "level": 2, "rotation_invariant": True}, "filter_simoncelli": {"type": "simoncelli"}, "filter_riesz": {"type": "riesz", "order": [1, 0, 0]},
+    "filter_riesz_log": {"type": "riesz", "variant": "log", "sigma_mm": 1.0}, "filter_riesz_simoncelli": {"type": "riesz", "variant": "simoncelli"},
+}.items():
+
+    def _one(spark: SparkSession, sf_dir: str, params: dict = _params) -> DataFrame:
+        return _filtered(spark, sf_dir, params)
+
+    _one.__name__ = _name
+    query()(_one)
+
+
+# --- configurations, results ---------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}', '{k}')" for i, (f, k) in enumerate((f, k) for f, ks in catalogue.FAMILIES.items() for k in ks)) + ") t(ord, family, feature_name)")
+def feature_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.describe(spark).drop("code")
+
+
+@query()
+def standard_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature of every volume under the six standard configurations."""
+    return run.run(embedding_volumes(spark, sf_dir), Configs().resolve(["all_standard"]))
+
+
+@query()
+def shared_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(plan(Configs().resolve(["all_standard"])), "config string, family string, signature string, reused boolean")
+
+
+def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").cast("double").alias("n"), F.sum("l_quantity").alias("q"))
+    return e.unpivot(["l_returnflag", "l_linestatus"], ["n", "q"], "feature_name", "value").select(F.col("l_returnflag").alias("subject_id"), F.concat(F.lit("c"), "l_linestatus").alias("config"), "feature_name", "value")
+
+
+_LONG = """l AS (SELECT l_returnflag AS subject_id, 'c' || l_linestatus AS config, unnest(['n', 'q']) AS feature_name, unnest([CAST(count(*) AS DOUBLE), sum(l_quantity)]) AS value FROM lineitem GROUP BY l_returnflag, l_linestatus)"""
+
+
+@query(f"WITH {_LONG} SELECT subject_id, " + ", ".join(f"max(value) FILTER (config = 'c{s}' AND feature_name = '{f}') AS c{s}__{f}" for s in "FO" for f in "nq") + " FROM l GROUP BY subject_id")
+def results_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.wide(_long(spark, sf_dir), columns=[f"c{s}__{f}" for s in "FO" for f in "nq"])
+
+
+@query(f"WITH {_LONG} SELECT * FROM l")
+def results_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = results.unpivot(results.wide(_long(spark, sf_dir), columns=[f"c{s}__{f}" for s in "FO" for f in "nq"]), ["subject_id"])
+    return back.filter("value is not null")
+
+
+@query(f"WITH {_LONG}, k AS (SELECT DISTINCT subject_id FROM l), g AS (SELECT subject_id, config, feature_name FROM k, (SELECT DISTINCT config, feature_name FROM l)) SELECT subject_id, config, feature_name, coalesce(value, 'nan'::DOUBLE) AS value FROM g LEFT JOIN l USING (subject_id, config, feature_name)")
+def results_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = spark.createDataFrame([(f"c{s}", f) for s in "FO" for f in "nq"], "config string, feature_name string")
+    return results.complete(_long(spark, sf_dir), expected, ["subject_id"]).select("subject_id", "config", "feature_name", "value")
+
+
+# --- metadata ------------------------------------------------------------------------------------------------
+
+
+def _instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, i = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    return i.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("patient_id"), F.col("o_orderkey").alias("study_uid"), F.concat_ws(".", "o_orderkey", "l_returnflag").alias("series_uid"),
+        F.col("l_returnflag").alias("modality"), F.date_format("o_orderdate", "yyyyMMdd").alias("study_date"), F.col("l_linenumber").alias("instance_number"),
+    )
+
+
+_INST = """i AS (SELECT o_custkey AS patient_id, o_orderkey AS study_uid, o_orderkey || '.' || l_returnflag AS series_uid, l_returnflag AS modality, strftime(o_orderdate, '%Y%m%d') AS study_date, l_linenumber AS instance_number
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query(f"WITH {_INST} SELECT patient_id, count(DISTINCT study_uid) AS num_studies, count(DISTINCT series_uid) AS num_series, count(*) AS num_instances, min(study_date) AS earliest_study_date, max(study_date) AS latest_study_date FROM i GROUP BY patient_id")
+def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.patients(_instances(spark, sf_dir))
+
+
+@query(f"WITH {_INST} SELECT patient_id, study_uid, count(DISTINCT series_uid) AS num_series, count(*) AS num_instances, string_agg(DISTINCT modality, ',' ORDER BY modality) AS modalities, min(study_date) AS study_date FROM i GROUP BY patient_id, study_uid")
+def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.studies(_instances(spark, sf_dir))
+
+
+@query(f"WITH {_INST} SELECT patient_id, study_uid, series_uid, count(*) AS num_instances, min(modality) AS modality FROM i GROUP BY ALL")
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.series(_instances(spark, sf_dir))
+
+
+@query(f"WITH {_INST}, e AS (SELECT series_uid, min(instance_number) AS lo, max(instance_number) AS hi, list(DISTINCT instance_number) AS have FROM i GROUP BY series_uid) SELECT series_uid, CAST(k AS INT) AS missing FROM e, unnest(range(lo, hi + 1)) u(k) WHERE NOT list_contains(have, k)")
+def missing_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.missing_numbers(_instances(spark, sf_dir))
+
+
+@query("""WITH g AS (SELECT user_id, epoch(ts) AS t, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
+s AS (SELECT user_id, count(*) AS n, median(gap) AS median_gap, stddev_pop(gap) / avg(gap) AS cv FROM g GROUP BY user_id),
+w AS (SELECT g.user_id, count(*) AS gaps FROM g JOIN s ON g.user_id = s.user_id AND gap > median_gap * 1.1 * 1.5 GROUP BY ALL)
+SELECT user_id, n, round(median_gap, 4) AS median_gap, coalesce(cv < 0.1, true) AS is_even, coalesce(gaps, 0) AS num_gaps, coalesce(gaps, 0) = 0 AS is_complete FROM s LEFT JOIN w USING (user_id)""")
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("projection_score"))
+    return metadata.completeness(e, "user_id").withColumn("median_gap", F.round("median_gap", 4))
+
+
+@query("""SELECT user_id AS series_uid, event_id AS sop_uid, CAST(CASE WHEN count(DISTINCT event_type) OVER (PARTITION BY user_id) > 1 THEN dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) ELSE
+ row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) END AS INT) AS phase FROM events""")
+def split_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("series_uid"), F.col("event_id").alias("sop_uid"), F.col("event_id").alias("instance_number"), F.unix_date(F.col("ts").cast("date")).alias("projection_score"),
+        F.create_map(F.lit("EchoNumbers"), F.col("event_type")).alias("tags"), F.col("event_id").cast("string").alias("file_path"),
+    )
+    return metadata.split_phases(e).select("series_uid", "sop_uid", "phase")
+
+
+@query("SELECT user_id, 'k' AS key, min(event_type) AS value FROM events GROUP BY user_id HAVING min(event_type) = max(event_type)")
+def common_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.create_map(F.lit("k"), F.col("event_type")).alias("tags"))
+    return metadata.common_tags(e, "user_id")
+
+
+@query("SELECT user_id AS document, event_type AS group_id, 'k' AS measurement_name, CAST(json_extract(props, '$.k') AS DOUBLE) AS value, '1' AS unit FROM events")
+def sr_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("document"), F.col("event_type").alias("group_id"), "props")
+    return metadata.measurements(e, "props", "document")
+
+
+@query("SELECT conv_id, count(*) AS n_turns, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+def nested_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("g"))
+    return c.select("conv_id", "n_turns", F.array_join(F.transform("g", lambda x: x["role"]), ">").alias("roles"))
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY ALL""")
+def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = windowed(table(spark, sf_dir, "events"))
+    return got.select("start", "end", "event_type", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))
+
+
+__all__ = ["HISTOGRAM", "INTENSITY", "IVH", "ORACLE_SQL", "QUERIES"]
