@@ -22,12 +22,12 @@ GAMMA = 1.02
 #: metric: (numerator, denominator, thousandths of slack, whether low values fail too). A value is numerator * 1000 / denominator, at least.
 METRICS = {
     "symbols": ("n_symbols", "word_chars", 60, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 150, False),
-    "repeats": ("n_repeat_words", "n_words", 100, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 400, False),
+    "repeats": ("n_repeat_words", "n_words", 180, False),
     "word_length": ("word_chars", "n_words", 1500, True),
 }
-#: A value fails beyond the median by more than SPREADS times the distance of the outer decile from it, plus the slack.
-SPREADS = 3
+#: A value fails beyond the median by more than SPREADS times the distance of the outer quartile from it, plus the slack.
+SPREADS = 6
 
 
 def text_metrics(docs: DataFrame) -> DataFrame:
@@ -91,23 +91,23 @@ def quantile_sketches(metrics: DataFrame) -> DataFrame:
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
-    """lang, source and lo_<metric>, hi_<metric>: the ranges that a text must keep, from the 10, 50 and 90 % points."""
+    """lang, source and lo_<metric>, hi_<metric>: the ranges that a text must keep, from the quartiles."""
     by = ("lang", "source", "metric")
     up = sketches.select(
         "*",
         F.sum("n").over(W.partitionBy(*by).orderBy("bucket")).alias("_upto"),
         F.sum("n").over(W.partitionBy(*by)).alias("_all"),
     )
-    at = lambda q: F.min(F.when(F.col("_upto") * 10 >= F.col("_all") * q, F.col("bucket")))
+    at = lambda q: F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * q, F.col("bucket")))
     back = lambda b: F.when(b <= 0, 0.0).otherwise(F.pow(F.lit(GAMMA), b - 0.5))
-    q = up.groupBy(*by).agg(at(1).alias("q1"), at(5).alias("q5"), at(9).alias("q9")).select(
-        *by, back(F.col("q1")).alias("q1"), back(F.col("q5")).alias("q5"), back(F.col("q9")).alias("q9")
+    q = up.groupBy(*by).agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3")).select(
+        *by, back(F.col("q1")).alias("q1"), back(F.col("q2")).alias("q2"), back(F.col("q3")).alias("q3")
     )
     cols = []
     for m, (_, _, slack, both) in METRICS.items():
         one = lambda c, m=m: F.max(F.when(F.col("metric") == m, c))
-        cols.append(one(F.col("q5") + SPREADS * (F.col("q9") - F.col("q5")) + slack).alias(f"hi_{m}"))
-        cols.append(one(F.col("q5") - SPREADS * (F.col("q5") - F.col("q1")) - slack if both else F.lit(-1.0)).alias(f"lo_{m}"))
+        cols.append(one(F.col("q2") + SPREADS * (F.col("q3") - F.col("q2")) + slack).alias(f"hi_{m}"))
+        cols.append(one(F.col("q2") - SPREADS * (F.col("q2") - F.col("q1")) - slack if both else F.lit(-1.0)).alias(f"lo_{m}"))
     return q.groupBy("lang", "source").agg(*cols)
 
 

@@ -60,8 +60,8 @@ QUERIES = {
 _VALUE = {m: f"CASE WHEN {low} > 0 THEN ({top} * 1000) // {low} ELSE 0 END" for m, (top, low, _, _) in quality.METRICS.items()}
 _BACK = "CASE WHEN {0} <= 0 THEN 0.0 ELSE pow(CAST(1.02 AS DOUBLE), CAST({0} AS DOUBLE) - CAST(0.5 AS DOUBLE)) END"
 _LIMITS = ", ".join(
-    f"max(CASE WHEN metric = '{m}' THEN q5 + 3 * (q9 - q5) + {slack} END) AS hi_{m}, "
-    f"max(CASE WHEN metric = '{m}' THEN {f'q5 - 3 * (q5 - q1) - {slack}' if both else '-1.0'} END) AS lo_{m}"
+    f"max(CASE WHEN metric = '{m}' THEN q2 + {quality.SPREADS} * (q3 - q2) + {slack} END) AS hi_{m}, "
+    f"max(CASE WHEN metric = '{m}' THEN {f'q2 - {quality.SPREADS} * (q2 - q1) - {slack}' if both else '-1.0'} END) AS lo_{m}"
     for m, (_, _, slack, both) in quality.METRICS.items()
 )
 _OUT = " OR ".join(f"({_VALUE[m]}) > hi_{m} OR ({_VALUE[m]}) < lo_{m}" for m in quality.METRICS)
@@ -91,7 +91,7 @@ m AS (
 ), u AS (
   SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS whole FROM s
 ), q AS (
-  SELECT lang, source, metric, {", ".join(f"{_BACK.format(f'min(CASE WHEN upto * 10 >= whole * {k} THEN bucket END)')} AS q{k}" for k in (1, 5, 9))}
+  SELECT lang, source, metric, {", ".join(f"{_BACK.format(f'min(CASE WHEN upto * 4 >= whole * {k} THEN bucket END)')} AS q{k}" for k in (1, 2, 3))}
   FROM u GROUP BY lang, source, metric
 ), lim AS (SELECT lang, source, {_LIMITS} FROM q GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
