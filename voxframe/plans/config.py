@@ -32,6 +32,7 @@ class Config:
     source_mode: str = "full_image"
     sentinel_value: float | None = None
     warnings: list[str] = field(default_factory=list)
+    signatures: dict[str, str] = field(default_factory=dict, repr=False, compare=False)  # of families, once computed
 
     def __post_init__(self) -> None:
         if self.source_mode not in SOURCE_MODES:
@@ -150,6 +151,8 @@ MASK_STEPS = {"resample", "binarize_mask", "keep_largest_component"}
 
 def signature(config: Config, family: str) -> str:
     """A digest of all that a family's values depend on: family, source mode, ordered steps before it, its parameters."""
+    if family in config.signatures:
+        return config.signatures[family]
     steps, params = [], {}
     for s in config.steps:
         if s["step"] == "extract_features":
@@ -160,7 +163,8 @@ def signature(config: Config, family: str) -> str:
             steps.append(s)
     keep = {"ngldm": ("ngldm_alpha",), "ivh": ("ivh_use_continuous", "ivh_discretisation", "ivh_params")}.get(family, ())
     said = [family, config.source_mode, config.sentinel_value, steps, {k: params[k] for k in keep if k in params}]
-    return hashlib.sha256(json.dumps(said, sort_keys=True, default=list).encode()).hexdigest()
+    out = config.signatures[family] = hashlib.sha256(json.dumps(said, sort_keys=True, default=list).encode()).hexdigest()
+    return out
 
 
 def plan(configs: dict[str, Config]) -> list[tuple[str, str, str, bool]]:

@@ -122,6 +122,16 @@ def apply_step(s: State, step: str, p: dict) -> State:
     raise ValueError(f"no step {step}")
 
 
+def compute_families(s: State, families: list[str], p: dict) -> dict[str, dict[str, float]]:
+    """Features by family; texture families that are asked for together share their neighbourhoods, zones and distances."""
+    if families[0] not in catalogue.TEXTURE:
+        return {families[0]: compute_family(s, families[0], p)}
+    roi = s.inten == 1
+    g = s.image if s.n_bins else bins_of(s.image, roi, "FBN", 32)
+    got = texture.texture_features(g, s.inten > 0, s.n_bins or 32, s.morph > 0, tuple(families), p.get("ngldm_alpha", 0))
+    return {f: {k: got[k] for k in catalogue.FAMILIES[f] if k in got} for f in families}
+
+
 def compute_family(s: State, family: str, p: dict) -> dict[str, float]:
     roi = s.inten == 1
     if family == "intensity":
@@ -147,8 +157,7 @@ def compute_family(s: State, family: str, p: dict) -> dict[str, float]:
         if s.n_bins:
             return intensity.ivh_features(s.image[roi], q.get("bin_width", 1.0), q.get("min_val"), q.get("max_val"), q.get("target_range_min"), q.get("target_range_max"))
         return intensity.ivh_features(s.raw[roi], q.get("bin_width"), q.get("min_val"), q.get("max_val"), q.get("target_range_min"), q.get("target_range_max"))
-    g = s.image if s.n_bins else bins_of(s.image, roi, "FBN", 32)
-    return texture.texture_features(g, s.inten > 0, s.n_bins or 32, s.morph > 0, (family,), p.get("ngldm_alpha", 0))
+    raise ValueError(f"no feature family {family}")
 
 
 def source_state(data: np.ndarray, morph: np.ndarray | None, inten: np.ndarray | None, spacing: tuple, origin: tuple, c: Config) -> State:
@@ -186,18 +195,23 @@ def run_volume(data: np.ndarray, morph: np.ndarray | None, inten: np.ndarray | N
         for step in [{"step": ""}, *c.steps]:
             p = step.get("params", {})
             if step["step"] == "extract_features":
-                for f in catalogue.expand(p.get("families", []), bool(p.get("include_spatial_intensity")), bool(p.get("include_local_intensity"))):
+                wanted = catalogue.expand(p.get("families", []), bool(p.get("include_spatial_intensity")), bool(p.get("include_local_intensity")))
+                for f in wanted:
                     if f in done:
                         continue
                     done.add(f)
                     sign = signature(c, f) + ("" if memo else name)
                     if sign not in results:
+                        together = {f: sign}
+                        if f in catalogue.TEXTURE:
+                            together = {x: signature(c, x) + ("" if memo else name) for x in wanted if x in catalogue.TEXTURE}
+                            together = {x: k for x, k in together.items() if k not in results}
                         try:
                             if isinstance(state, Exception):
                                 raise state
-                            results[sign] = compute_family(state, f, p)
+                            results |= {together[x]: got for x, got in compute_families(state, list(together), p).items()}
                         except Exception as e:  # one family's failure leaves the others
-                            results[sign] = e
+                            results |= dict.fromkeys(together.values(), e)
                     got = results[sign]
                     bad = isinstance(got, Exception)
                     for k in catalogue.FAMILIES[f]:
