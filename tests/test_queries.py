@@ -96,6 +96,11 @@ def test_dicom_series_and_metadata(spark, tmp_path):
     assert [x.missing for x in metadata.missing_numbers(inst).collect()] == [4]
     assert [p.rsplit("/", 1)[1] for p in metadata.file_paths(inst).first().file_paths] == ["1.dcm", "2.dcm", "3.dcm", "5.dcm"]
     assert metadata.phases(metadata.split_phases(inst)).first().num_slices == 4
+    import json
+
+    document = json.loads(metadata.nested(inst).first().document)
+    assert [i["instance_number"] for i in document["studies"][0]["series"][0]["instances"]] == [1, 2, 3, 5]
+    assert {k: v.count() for k, v in metadata.database(read_headers(spark, str(tmp_path))).items()} == {"patients": 1, "studies": 1, "series": 1, "instances": 4}
 
 
 def test_reports(spark, tmp_path):
@@ -124,6 +129,21 @@ def test_results_files(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "r.unknown"), header=True).count() == 2
 
 
+def test_templates_and_log(spark, tmp_path):
+    from voxframe.operators import results
+    from voxframe.plans import templates
+    from voxframe.plans.config import Configs
+    from voxframe.plans.run import run
+    from voxframe.sources.volumes import embedding_volumes
+
+    Configs(load_standard=False).add("mine", [{"step": "resegment", "params": {"range_min": 9.0}}, {"step": "extract_features", "params": {"families": ["intensity"]}}]).save(str(tmp_path / "a.yaml"))
+    assert templates.list_files(str(tmp_path)) == ["a.yaml"] and templates.metadata_of(str(tmp_path / "a.yaml"))["config_names"] == ["mine"]
+    every = templates.all_templates(str(tmp_path))
+    assert len(every) == 7
+    log = results.run_log(run(embedding_volumes(spark, SF).limit(2), {"mine": every["mine"]})).collect()
+    assert len(log) == 2 and all(r.missing == r.features == 18 and "EmptyRegion" in r.error for r in log)
+
+
 def test_stream(spark, tmp_path):
     from voxframe.plans.config import Config
     from voxframe.sources.volumes import embedding_volumes

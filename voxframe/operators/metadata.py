@@ -119,3 +119,18 @@ def measurements(items: DataFrame, text: str, document: str, group: str = "group
     pairs = F.explode(F.from_json(F.col(text), "map<string,string>")).alias("measurement_name", "raw")
     flat = items.select(document, group, pairs)
     return flat.select(document, group, F.coalesce(F.nullif("measurement_name", F.lit("")), F.lit("Unknown")).alias("measurement_name"), F.col("raw").try_cast("double").alias("value"), F.lit("1").alias("unit"))
+
+
+def database(headers: DataFrame) -> dict[str, DataFrame]:
+    """The four levels of a folder's headers: patients, studies, series, instances."""
+    inst = instances(headers)
+    return {"patients": patients(inst), "studies": studies(inst), "series": series(inst), "instances": inst}
+
+
+def nested(inst: DataFrame) -> DataFrame:
+    """patient_id and one JSON document of its studies, series and instances; a document is as large as its patient."""
+    leaf = F.struct("sop_uid", "instance_number", "file_path")
+    s = inst.groupBy("patient_id", "study_uid", "series_uid").agg(F.min("modality").alias("modality"), F.sort_array(F.collect_list(leaf)).alias("instances"))
+    t = s.groupBy("patient_id", "study_uid").agg(F.sort_array(F.collect_list(F.struct("series_uid", "modality", "instances"))).alias("series"))
+    p = t.groupBy("patient_id").agg(F.sort_array(F.collect_list(F.struct("study_uid", "series"))).alias("studies"))
+    return p.select("patient_id", F.to_json(F.struct("patient_id", "studies")).alias("document"))

@@ -49,3 +49,8 @@ def save(df: DataFrame, path: str, file_format: str | None = None) -> None:
         df.write.mode("overwrite").csv(path, header=True)
     else:
         df.write.mode("overwrite").format(kind).save(path)
+
+
+def run_log(long: DataFrame) -> DataFrame:
+    """subject_id, config, family, features, missing, error: what a run did, for a log file."""
+    return long.groupBy("subject_id", "config", "family").agg(F.count("*").alias("features"), F.count_if(F.isnan("value")).alias("missing"), F.max("error").alias("error"))
