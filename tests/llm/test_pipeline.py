@@ -33,7 +33,7 @@ def test_pipeline_keeps_what_it_should(spark, sf):
     assert all(tokens[d] == len(t.split()) + 1 for d, t in rows.items() if t.isascii())
 
 
-@pytest.mark.parametrize("name", ["op1_quality", "op4_minhash"])
+@pytest.mark.parametrize("name", ["op1_quality", "op3_sharding", "op4_minhash"])
 def test_sql(spark, duck, sf, name):
     from voxframe.llm import queries
 

@@ -66,7 +66,37 @@ _LIMITS = ", ".join(
 )
 _OUT = " OR ".join(f"({_VALUE[m]}) > hi_{m} OR ({_VALUE[m]}) < lo_{m}" for m in quality.METRICS)
 
+
+
+def _crc_table() -> list[int]:
+    """The 256 steps of CRC-32, by its polynomial."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+_BYTES = """flatten(list_transform(regexp_extract_all(t, '(?s).'), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] WHEN unicode(c) < 2048 THEN [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)]
+  WHEN unicode(c) < 65536 THEN [224 + (unicode(c) >> 12), 128 + ((unicode(c) >> 6) & 63), 128 + (unicode(c) & 63)]
+  ELSE [240 + (unicode(c) >> 18), 128 + ((unicode(c) >> 12) & 63), 128 + ((unicode(c) >> 6) & 63), 128 + (unicode(c) & 63)] END))"""
+_WRAP = "18446744073709551616::UHUGEINT"
+_MIX = lambda z, shift, by: f"CAST(CAST(xor({z}, {z} >> {shift}) AS UHUGEINT) * {by}::UHUGEINT % {_WRAP} AS UBIGINT)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_sharding": f"""
+WITH RECURSIVE b AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+c AS (SELECT rid, doc_id, CAST(octet_length(encode(t)) + 8 AS BIGINT) AS size,
+  xor(list_reduce(list_transform({_BYTES}, lambda x: x::BIGINT), lambda a, x: xor(({_crc_table()})[(xor(a, x) & 255) + 1], a >> 8), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM b),
+z0 AS (SELECT rid, CAST((coalesce(doc_id, 0)::UHUGEINT + 11400714819323198485::UHUGEINT) % {_WRAP} AS UBIGINT) AS z FROM b),
+z1 AS (SELECT rid, {_MIX("z", 30, 13787848793156543929)} AS z FROM z0), z2 AS (SELECT rid, {_MIX("z", 27, 10723151780598845931)} AS z FROM z1),
+z3 AS (SELECT rid, xor(z, z >> 31) AS key FROM z2),
+j AS (SELECT rid, key, -1::BIGINT AS b, 0::BIGINT AS j FROM z3
+  UNION ALL SELECT rid, k, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST((k >> 33) + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT rid, j, CAST((key::UHUGEINT * 2862933555777941757::UHUGEINT + 1) % {_WRAP} AS UBIGINT) AS k FROM j WHERE j < 25)),
+s AS (SELECT rid, CAST(max(b) FILTER (b < 24) AS INT) AS shard, CAST(max(b) AS INT) AS grown_shard FROM j GROUP BY rid)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key >> 1, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM c JOIN s USING (rid) JOIN z3 USING (rid)""",
     "op1_quality": rf"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS t,
