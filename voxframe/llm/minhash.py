@@ -122,27 +122,28 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """v, root for every vertex of the edges (a, b): the smallest vertex reachable.
 
-    Each round takes the least label among neighbours, then the label's own label; rounds are staged, so their
-    lineage is one table. Hot vertices are summed before they are shuffled.
+    Each round hooks every vertex to its least neighbour, follows that once more, and contracts the edges to
+    the vertices hooked to, without loops and repeats: what a round joins is what is still open, not all edges
+    again. Rounds are staged, so their lineage is one table; hot vertices are summed before they are shuffled.
     """
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{name}-edges")
-    labels = staged(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{name}-0")
-    n = 0
-    while True:
+    rest = staged(edges.select("a", "b").distinct(), f"{name}-edges")
+    labels = staged(rest.select(F.col("a").alias("v")).union(rest.select("b")).distinct().select("v", F.col("v").alias("root")), f"{name}-0")
+    rest, n = rest.filter("a <> b"), 0
+    while rest.limit(1).count():
         n += 1
-        near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("root").alias("_near"))
-        took = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("root").alias("_old"), F.least("root", "_near").alias("_root"))
-        jump = labels.select(F.col("v").alias("_at"), F.col("root").alias("_far"))
-        new = staged(
-            took.join(jump, F.col("_root") == F.col("_at"), "left").select("v", F.least("_root", "_far").alias("root"), "_old"), f"{name}-{n}"
-        )
-        done = new.filter(F.col("root") != F.col("_old")).limit(1).count() == 0
-        unstage(labels)
-        labels = new.select("v", "root")
-        labels._staged_at = new._staged_at
-        if done:
-            unstage(both)
-            return labels
+        both = rest.union(rest.select("b", "a"))
+        hook = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("up"))
+        hook = staged(hook, f"{name}-hook-{n}")
+        over = hook.select(F.col("v").alias("_at"), F.col("up").alias("_far"))
+        up = staged(hook.join(over, F.col("up") == F.col("_at"), "left").select("v", F.least("up", "_far").alias("up")), f"{name}-up-{n}")
+        to = lambda df, c: df.join(up.select(F.col("v").alias("_v"), F.col("up").alias(f"_{c}")), F.col(c) == F.col("_v"), "left").drop("_v").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")  # noqa: B023, E731
+        less = to(to(rest, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = staged(less, f"{name}-edges-{n}")
+        new = staged(to(labels, "root"), f"{name}-{n}")
+        for old in (labels, hook, up):
+            unstage(old)
+        labels = new
+    return labels.select("v", "root")
 
 
 class Forest:
