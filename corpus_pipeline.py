@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from voxframe.llm import minhash, packing, secrets, substrings, toxicity
 from voxframe.llm.common import documents, staged
 
+#: Passages of over 50 words that repeat go, and strings of op5's length.
+PASSAGE_WORDS = 51
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, documents(spark, sf_dir, "labels"))
@@ -17,7 +20,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substrings.without_repeats(docs)
+    return substrings.without_repeats(docs, min_words=PASSAGE_WORDS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

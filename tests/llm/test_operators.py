@@ -220,6 +220,29 @@ def test_passages_of_table(spark, odd_docs, sf):
     assert all(r.text is None or r.n_chars in (len(r.text), r.n_chars) for r in kept.collect())
 
 
+@pytest.mark.parametrize("wide", [1_500_000, 1500])
+def test_passages_in_words(spark, wide, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(substrings, "GROUP_BYTES", wide)
+    own = lambda k, n: [f"{k}n{i}" for i in range(n)]
+    p = [f"w{i}" for i in range(51)]
+    texts = [own(0, 30) + p + own(1, 9), own(2, 5) + p + own(3, 30), own(4, 9) + p[:50] + own(5, 9), p + p, p[:20] + own(6, 3) + p[20:], [], ["é"] * 51, own(7, 2) + ["é"] * 51]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(8, "\n".join(own(8, 3) + p)), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words = {d: words_of(t) for d, t in rows}
+    first, expected = {}, {}
+    for d, w in words.items():
+        gone = set()
+        for i in range(len(w) - 50):
+            if first.setdefault(tuple(w[i : i + 51]), (d, i)) != (d, i):
+                gone |= set(range(i, i + 51))
+        expected[d] = [x for i, x in enumerate(w) if i not in gone]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_passages(spark, df, "").collect()}
+    assert {d: words_of(t) for d, t in got.items()} == expected and expected[1] == own(2, 5) + own(3, 30) and got[9] is None
+    assert got[0] == rows[0][1] and expected[2] == words[2]
+
+
 def test_previous_smaller():
     x = np.random.default_rng(0).permutation(200)
     want = [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(200)]

@@ -11,12 +11,16 @@ texts of all documents:
    each is fetched; a suffix order over these pieces, the previous and the next smaller position in it, and the
    LPF array say which of their strings occur earlier in another piece, and where.
 3. Anchors with more than GROUP_BYTES of different pieces are resolved as rows instead, one for each string.
+
+Passages of so many words are found the same way, in texts whose words are written as hashes of WORD_BYTES: a string
+of whole words there is one of equal words, whatever their length and the white space between them.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from voxframe.llm.common import checked_broadcast, fresh, shuffle_partitions, staged
+from voxframe.llm.common import checked_broadcast, fresh, shuffle_partitions, staged, words_of
 
 MIN_BYTES = 400
 GRAM = 64
+#: Bytes that stand for a word where passages are counted in words.
+WORD_BYTES = 8
 #: Different pieces of one anchor that one task compares, in bytes; beyond, their strings are compared as rows.
 GROUP_BYTES = 1_500_000
 #: Pieces are compared about so many bytes at a time.
@@ -35,6 +41,25 @@ CHUNK_BYTES = 1_000_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_WORDS: dict[str, bytes] = {}
+
+
+def text_bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def word_bytes(text: str) -> bytes:
+    """The words of a text, each as WORD_BYTES of its hash; places in it that aren't whole words match by chance only."""
+    out = []
+    for w in words_of(text):
+        h = _WORDS.get(w)
+        if h is None:
+            if len(_WORDS) > 200_000:  # bounds the memory of a worker; hashes don't depend on it
+                _WORDS.clear()
+            h = _WORDS[w] = hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=WORD_BYTES).digest()
+        out.append(h)
+    return b"".join(out)
 
 
 def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
@@ -85,7 +110,7 @@ def runs_of(data: np.ndarray, min_bytes: int = MIN_BYTES) -> tuple[np.ndarray, n
     return low[first].view(np.int64), first, starts, twice
 
 
-def _run_rows(min_bytes: int):
+def _run_rows(min_bytes: int, code: Callable[[str], bytes]):
     names = ["v", "s", "uid", "doc_id", "lo", "starts", "twice"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +119,7 @@ def _run_rows(min_bytes: int):
                 part = b.slice(at, 500)
                 v, s, u, d, lo, n, w = [], [], [], [], [], [], []
                 for uid, doc, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
+                    raw = code(text)
                     anchors, first, starts, twice = runs_of(np.frombuffer(raw, np.uint8), min_bytes)
                     v.append(anchors)
                     lo.append(first)
@@ -223,12 +248,12 @@ def _compare_rows(min_bytes: int):
     return rows
 
 
-def _cut_pieces(min_bytes: int):
+def _cut_pieces(min_bytes: int, code: Callable[[str], bytes]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, s, doc, lo, piece, wide = [], [], [], [], [], []
             for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
+                raw = code(text)
                 for x in wanted:
                     v.append(x["v"])
                     s.append(x["s"])
@@ -273,15 +298,16 @@ def _wide_groups(pieces: DataFrame, min_bytes: int) -> DataFrame:
     return ranges(hit, "twins").join(ranges(hit.filter("later"), "laters"), ["v", "s"], "left").select("v", "s", "twins", F.coalesce("laters", F.array().cast("array<struct<a:int,b:int>>")).alias("laters"))
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "none") -> DataFrame:
+def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "none", words: bool = False) -> DataFrame:
     """uid, doc_id, spans of the rows of docs (doc_id, text, uid) that lose bytes; spans (a, b) may overlap.
 
     keep "none": every place of a string that starts twice goes. keep "first": all but its first place, by
-    doc_id and position, goes.
+    doc_id and position, goes. With `words`, strings and spans are those of word_bytes.
     """
     spark = docs.sparkSession
-    runs = docs.filter(F.octet_length("text") >= min_bytes).select("uid", "doc_id", "text")
-    runs = staged(runs.mapInArrow(_run_rows(min_bytes), "v long, s long, uid long, doc_id long, lo long, starts long, twice boolean"), "passages-runs")
+    code, least = (word_bytes, 2 * min_bytes // WORD_BYTES - 1) if words else (text_bytes, min_bytes)
+    runs = docs.filter(F.octet_length("text") >= least).select("uid", "doc_id", "text")
+    runs = staged(runs.mapInArrow(_run_rows(min_bytes, code), "v long, s long, uid long, doc_id long, lo long, starts long, twice boolean"), "passages-runs")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid", "lo")
     same = runs.groupBy("v", "s").agg(F.count("*").alias("n"), F.min(place).alias("at"), F.max("starts").alias("starts"), F.max("twice").alias("twice"))
     by_v = W.partitionBy("v")
@@ -293,7 +319,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "non
     want = staged(want, "passages-want")
     hit = docs.join(checked_broadcast(want), (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     schema = "v long, s long, doc_id long, lo long, piece binary, wide boolean"
-    pieces = hit.select("text", "wanted").mapInArrow(_cut_pieces(min_bytes), schema)
+    pieces = hit.select("text", "wanted").mapInArrow(_cut_pieces(min_bytes, code), schema)
     any_wide = same.filter(F.col("size") > GROUP_BYTES).filter("mixed").limit(1).count() > 0
     if any_wide:
         pieces = staged(pieces, "passages-pieces")
@@ -378,31 +404,46 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "first") -> DataFrame:
+def word_spans(raw: bytes, spans: list[tuple[int, int]]) -> list[dict]:
+    """Spans of word_bytes as spans of the text's bytes, from the first word to the end of the last one."""
+    at = [m.span() for m in _WORD.finditer(raw)]
+    whole = [(-(-a // WORD_BYTES), b // WORD_BYTES) for a, b in spans]
+    return [{"a": at[i][0], "b": at[j - 1][1]} for i, j in whole if i < j]
+
+
+def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "first", min_words: int | None = None) -> DataFrame:
     """docs without the bytes of repeated passages, in whole characters; by default each passage's first place stays.
 
-    All rows and columns of docs stay; n_chars, if there, follows the text; null texts stay null.
+    A passage is a string of min_bytes, and with min_words also so many words, be they shorter than that. All rows
+    and columns of docs stay; n_chars, if there, follows the text; null texts stay null.
     """
     own = _with_uid(docs)
-    spans = repeated_spans(own, min_bytes, keep)
-    u, d, s = fresh("uid", docs), fresh("doc", docs), fresh("spans", docs)
-    spans = staged(spans.select(F.col("uid").alias(u), F.col("doc_id").alias(d), F.col("spans").alias(s)), "passages-spans")
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    spans = repeated_spans(own, min_bytes, keep).withColumn("words", none)
+    u, d, s, w = (fresh(x, docs) for x in ("uid", "doc", "spans", "words"))
+    if min_words:
+        more = repeated_spans(own, min_words * WORD_BYTES, keep, words=True)
+        both = spans.unionByName(more.select("uid", "doc_id", none.alias("spans"), F.col("spans").alias("words")))
+        spans = both.groupBy("uid", "doc_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "words")])
+    spans = staged(spans.select(F.col("uid").alias(u), F.col("doc_id").alias(d), F.col("spans").alias(s), F.col("words").alias(w)), "passages-spans")
     key = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
     names, schema = docs.columns, docs.schema
-    got = docs.join(spans, (key == F.col(u)) & F.col("doc_id").eqNullSafe(F.col(d)), "left").select(*[F.col(f"`{c}`") for c in names], s)
+    got = docs.join(spans, (key == F.col(u)) & F.col("doc_id").eqNullSafe(F.col(d)), "left").select(*[F.col(f"`{c}`") for c in names], s, w)
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = b.columns[:-1]
-            texts = []
-            for text, found in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
-                if found:
-                    raw = text.encode("utf-8", "surrogatepass")
+            cols = b.columns[:-2]
+            texts, hit = [], []
+            for text, found, worded in zip(*(b.column(i).to_pylist() for i in (at, len(names), len(names) + 1)), strict=True):
+                hit.append(bool(found or worded))
+                if hit[-1]:
+                    raw = text_bytes(text)
+                    found = (found or []) + word_spans(raw, merged(worded))
                     text = cut_text(raw, whole_characters(raw, merged(found))).decode("utf-8", "replace")
                 texts.append(text)
             if count is not None:
-                sizes = [len(x or "") if f else n for x, f, n in zip(texts, b.column(len(names)).to_pylist(), cols[count].to_pylist(), strict=True)]
+                sizes = [len(x or "") if f else n for x, f, n in zip(texts, hit, cols[count].to_pylist(), strict=True)]
                 cols[count] = pa.array(sizes, cols[count].type)
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
