@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from voxframe.llm import minhash, packing, secrets, substrings, toxicity
 from voxframe.llm.common import documents, staged
 
+#: Documents are near duplicates from this Jaccard similarity of shingles on, in hundredths; op4 has its own.
+NEAR_PERCENT = 80
 #: Passages of over 50 words that repeat go, and strings of op5's length.
 PASSAGE_WORDS = 51
 
@@ -16,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.one_of_each(docs)
+    return minhash.one_of_each(docs, NEAR_PERCENT)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

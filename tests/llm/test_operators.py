@@ -158,6 +158,20 @@ def test_minhash(spark, odd_docs, no_docs, sf, limit, monkeypatch):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("limit", [4000, 1])
+def test_pipeline_drops_near_copies_from_80_percent(spark, limit, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(minhash, "CLUSTER_ROWS", limit)
+    w = [f"w{i}" for i in range(204)]
+    cut = lambda *at: " ".join("x" + str(at[0]) if i in at else v for i, v in enumerate(w))
+    # Of 200 shingles, k changed words far apart leave 200 - 5 * k: Jaccard 180/220 = 0.82 for 4, 175/225 = 0.78 for 5.
+    rows = [(1, " ".join(w)), (2, cut(20, 60, 100, 140)), (3, cut(25, 65, 105, 145, 185))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [1, 3]
+    assert sorted(r.doc_id for r in minhash.one_of_each(df).collect()) == [1, 2, 3]
+
+
 def test_minhash_estimates_jaccard():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))

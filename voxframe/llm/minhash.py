@@ -205,23 +205,26 @@ def resolve(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
     return [forest.root(i) for i in range(len(sets))]
 
 
-def _cluster_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cluster_rows(percent: int):
     """Rows (cluster, doc_id, text) sorted by cluster, doc_id -> (doc_id, root) of each cluster."""
 
     def solved(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([ids[r] for r in resolve(sets)], pa.int64())], names=["v", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([ids[r] for r in resolve(sets, percent)], pa.int64())], names=["v", "root"])
 
-    at, ids, sets = None, [], []
-    for b in batches:
-        for c, d, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            if c != at and ids:
-                yield solved(ids, sets)
-                ids, sets = [], []
-            at = c
-            ids.append(d)
-            sets.append(shingle_set(t))
-    if ids:
-        yield solved(ids, sets)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sets = None, [], []
+        for b in batches:
+            for c, d, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if c != at and ids:
+                    yield solved(ids, sets)
+                    ids, sets = [], []
+                at = c
+                ids.append(d)
+                sets.append(shingle_set(t))
+        if ids:
+            yield solved(ids, sets)
+
+    return rows
 
 
 def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +234,7 @@ def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array([c] * len(s), pa.int64()), pa.array([d] * len(s), pa.int64()), pa.array([len(s)] * len(s), pa.int32()), pa.array(s)], names=["cluster", "doc_id", "size", "shingle"])
 
 
-def _wide_clusters(members: DataFrame) -> DataFrame:
+def _wide_clusters(members: DataFrame, percent: int) -> DataFrame:
     """(v, root) for clusters of any size, as rows: rare shingles propose, shared shingles are counted in full.
 
     First each shingle's members are tied to its smallest one; what is linked so is one component, and only
@@ -242,16 +245,16 @@ def _wide_clusters(members: DataFrame) -> DataFrame:
     ranked = rows.join(common, ["cluster", "shingle"], "left").select(
         *rows.columns, "df", F.row_number().over(W.partitionBy("doc_id").orderBy(F.coalesce("df", F.lit(1)), "shingle")).alias("_rank")
     )
-    rare = staged(ranked.filter(F.col("df").isNotNull() & (F.col("_rank") <= F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1)).select(*rows.columns), "near-rare")
+    rare = staged(ranked.filter(F.col("df").isNotNull() & (F.col("_rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)).select(*rows.columns), "near-rare")
 
     def links(pairs: DataFrame) -> DataFrame:
         """Of the distinct pairs (a, b, sa, sb) those that are linked."""
-        fits = pairs.filter((F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * PERCENT) & (F.col("a") != F.col("b"))).distinct()
+        fits = pairs.filter((F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent) & (F.col("a") != F.col("b"))).distinct()
         one = rows.select(F.col("doc_id").alias("a"), "shingle")
         two = rows.select(F.col("doc_id").alias("b"), F.col("shingle").alias("_s"))
         met = fits.join(one, "a").join(two, (two["b"] == fits["b"]) & (F.col("shingle") == F.col("_s"))).select("a", fits["b"], "sa", "sb")
         shared = met.groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("n"))
-        return shared.filter(100 * F.col("n") >= PERCENT * (F.col("sa") + F.col("sb") - F.col("n"))).select("a", "b")
+        return shared.filter(100 * F.col("n") >= percent * (F.col("sa") + F.col("sb") - F.col("n"))).select("a", "b")
 
     least = rare.groupBy("cluster", "shingle").agg(F.min(F.struct("doc_id", "size")).alias("m"))
     star = rare.join(least, ["cluster", "shingle"]).select(F.col("m.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("m.size").alias("sa"), F.col("size").alias("sb"))
@@ -265,10 +268,10 @@ def _wide_clusters(members: DataFrame) -> DataFrame:
     return components(every.union(self_), "near-wide")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id and kept.
 
-    Documents are linked if 100 * shared >= PERCENT * united shingles. Null or wordless texts have no shingles
+    Documents are linked if 100 * shared >= percent * united shingles. Null or wordless texts have no shingles
     and are linked with nothing; a row without doc_id keeps a null component and stays; rows that repeat a
     doc_id take the least component of it; an empty table gives an empty result; other columns are not looked at.
     """
@@ -288,9 +291,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         member = text.join(checked_broadcast(fit), F.col("doc_id") == F.col("v")).select(F.col("root").alias("cluster"), "doc_id", "text", "small")
         parts = 4 * shuffle_partitions(spark)
         small = member.filter("small").drop("small").repartition(parts, "cluster").sortWithinPartitions("cluster", "doc_id")
-        solved = staged(small.mapInArrow(_cluster_rows, "v long, root long"), "near-solved")
+        solved = staged(small.mapInArrow(_cluster_rows(percent), "v long, root long"), "near-solved")
         if fit.filter("not small").limit(1).count():
-            solved = solved.union(_wide_clusters(member.filter("not small").drop("small").dropDuplicates(["cluster", "doc_id"])))
+            solved = solved.union(_wide_clusters(member.filter("not small").drop("small").dropDuplicates(["cluster", "doc_id"]), percent))
         groups = groups.join(solved.groupBy("v").agg(F.min("root").alias("root")), F.col("rep") == F.col("v"), "left")
         groups = groups.select("digest", F.coalesce("root", "rep").alias("component"))
     else:
@@ -300,12 +303,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each near-duplicate component, of the least doc_id, and all columns of docs.
 
     Rows that share a doc_id are one document, of which the least text stays; rows without doc_id all stay.
     """
-    verdict = near_duplicates(docs)
+    verdict = near_duplicates(docs, percent)
     gone = staged(verdict.filter("not kept").select(F.col("doc_id").alias(fresh("gone", docs))).distinct(), "near-gone")
     out = docs.join(checked_broadcast(gone), F.col("doc_id") == F.col(gone.columns[0]), "left_anti")
     ids = docs.filter("doc_id is not null").select("doc_id")
