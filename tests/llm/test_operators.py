@@ -376,6 +376,13 @@ def test_sentencepiece(spark, odd_docs, no_docs, sf):
     assert sentencepieces.encoding_digests(no_docs).count() == 0
 
 
+def test_query_checks_parity_of_every_text(spark, sf):
+    from voxframe.llm import queries
+
+    got = queries.QUERIES["op9_sentencepiece"](spark, sf).collect()
+    assert got and all(r.parity is True for r in got)
+
+
 def test_unigram_model_is_rebuilt(tmp_path):
     pieces = [("<unk>", 0.0, 2), ("▁", -2.0, 1), ("▁ab", -1.0, 1), ("a", -3.0, 1), ("b", -3.0, 1), ("c", -3.5, 1), ("bc", -1.5, 1)]
 

@@ -25,7 +25,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir))
+    return minhash.near_duplicates(documents(spark, sf_dir), 85)
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.encoding_digests(documents(spark, sf_dir))
+    return sentencepieces.encoding_digests(documents(spark, sf_dir), parity_of=1)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
