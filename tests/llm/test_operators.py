@@ -363,6 +363,13 @@ def test_template_is_the_class_of_the_page(spark):
     assert {r.page_id: r.text for r in pages.extract_pages(df).collect()}[0] == "story 0"
 
 
+def test_copies_are_no_boilerplate(spark):
+    page = lambda text: f"<html><body><div>site name</div><div class=post>{text}</div></body></html>"
+    rows = [(i, f"http://h/{i}", page("one copied story")) for i in range(12)] + [(i, f"http://h/{i}", page(f"story {i}")) for i in range(12, 20)]
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "one copied story" for i in range(12)) and all(got[i] == f"story {i}" for i in range(12, 20))
+
+
 # --- SentencePiece ---------------------------------------------------------------------------------------------------
 
 

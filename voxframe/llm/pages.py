@@ -10,6 +10,7 @@ by the roles of the template tokens around them and by whether their text repeat
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
@@ -165,12 +166,16 @@ def blocks_of(page: str) -> list[tuple[str, bool, str]]:
 
 
 def tokens_of(page: str) -> Counter:
-    """Occurrences of path tokens, and of the texts of chrome-free blocks outside any article as `=path=text`."""
-    out: Counter = Counter(node.path for kind, _, node in parse(page) if kind == "open")
-    for path, chrome, text in blocks_of(page):
-        if not chrome and ">article" not in path:
-            out[f"={path}={zlib.crc32(text.encode('utf-8', 'surrogatepass')):08x}"] += 1
-    return out
+    """Occurrences of path tokens."""
+    return Counter(node.path for kind, _, node in parse(page) if kind == "open")
+
+
+def texts_of(page: str) -> tuple[list[str], int]:
+    """The distinct texts of chrome-free blocks outside any article as `=path=text`, and a hash of all chrome-free texts."""
+    blocks = [(path, text) for path, chrome, text in blocks_of(page) if not chrome]
+    out = {f"={path}={zlib.crc32(text.encode('utf-8', 'surrogatepass')):08x}" for path, text in blocks if ">article" not in path}
+    whole = "\n".join(text for _, text in blocks).encode("utf-8", "surrogatepass")
+    return sorted(out), int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little", signed=True)
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,21 +202,36 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flushed()
 
 
+def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, 500):
+            part = b.slice(lo, 500)
+            hosts, rows = [], []
+            for url, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                hosts.append(host_of(url))
+                rows.append(texts_of(html or ""))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([x for _, x in rows], pa.int64()), pa.array([t for t, _ in rows], pa.list_(pa.string()))], names=["host", "content", "texts"])
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host, template, boilerplate: paths of the class that occurs as the page itself does, and hashes of repeated texts.
 
-    Both lists are short: a path must occur once on every page of its host, a text on REPEAT_SHARE of them.
+    Both lists are short: a path must occur once on every page of its host, a text on REPEAT_SHARE of its
+    pages of different content, so that copies of one page don't make its text boilerplate.
     """
     rows = pages.select("page_id", "url", "html").mapInArrow(_sketch_rows, "host string, token string, pages long, times long, vector long")
     sums = rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"))
     sums = staged(sums, "page-sketches")
     root = sums.filter("token = ''").select(F.col("host").alias("_host"), F.col("pages").alias("_pages"), F.col("times").alias("_times"), F.col("vector").alias("_vector"))
-    own = sums.filter("token <> '' and (pages > 1 or substr(token, 1, 1) <> '=')").join(root, F.col("host") == F.col("_host"))
-    is_text = F.col("token").startswith("=")
-    fixed = ~is_text & (F.col("times") == F.col("_times")) & (F.col("vector") == F.col("_vector"))
-    often = is_text & (F.col("pages") >= REPEAT_PAGES) & (F.col("pages") >= REPEAT_SHARE * F.col("_pages"))
-    return own.filter(fixed | often).groupBy("host").agg(
-        F.sort_array(F.collect_list(F.when(fixed, F.col("token")))).alias("template"), F.sort_array(F.collect_list(F.when(often, F.col("token")))).alias("boilerplate")
+    own = sums.filter("token <> ''").join(root, F.col("host") == F.col("_host"))
+    fixed = own.filter((F.col("times") == F.col("_times")) & (F.col("vector") == F.col("_vector"))).select("host", "token", F.lit(True).alias("fixed"))
+    apart = pages.select("url", "html").mapInArrow(_text_rows, "host string, content long, texts array<string>").groupBy("host", "content").agg(F.max("texts").alias("texts"))
+    apart = staged(apart, "page-contents")
+    every = apart.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("_pages"))
+    met = apart.select("host", F.explode("texts").alias("token")).groupBy("host", "token").agg(F.count("*").alias("pages")).filter(F.col("pages") >= REPEAT_PAGES)
+    often = met.join(every, F.col("host") == F.col("_host")).filter(F.col("pages") >= REPEAT_SHARE * F.col("_pages")).select("host", "token", F.lit(False).alias("fixed"))
+    return fixed.union(often).groupBy("host").agg(
+        F.sort_array(F.collect_list(F.when(F.col("fixed"), F.col("token")))).alias("template"), F.sort_array(F.collect_list(F.when(~F.col("fixed"), F.col("token")))).alias("boilerplate")
     )
 
 
