@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import shuffle_partitions, words_column
+from voxframe.llm.common import in_batches, shuffle_partitions, words_column
 
 CAPACITY = 4096
 #: Documents that one share holds, about.
@@ -154,4 +154,4 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, share_rows: int
     rows = small.select(F.pmod("dealt", F.lit(shares)).cast("int").alias("share"), "doc_id", "source", "cluster", "tokens")
     # A task takes several shares one after the other where there are more of them than tasks.
     rows = rows.repartition(min(shares, 4 * shuffle_partitions(docs.sparkSession)), "share").sortWithinPartitions("share", "doc_id", "cluster", "source")
-    return rows.mapInArrow(_share_rows(capacity), _OUT)
+    return in_batches(rows, _share_rows(capacity), _OUT)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import checked_broadcast, staged
+from voxframe.llm.common import checked_broadcast, in_batches, staged
 
 SHARDS = 24
 OVERHEAD = 8
@@ -75,7 +75,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     small = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    got = staged(small.mapInArrow(_place(shards), "doc_id long, size long, text_crc32 long, key long, shard int, grown_shard int"), "shards")
+    got = staged(in_batches(small, _place(shards), "doc_id long, size long, text_crc32 long, key long, shard int, grown_shard int"), "shards")
     bits = max(0, (got.count() // (shards * BLOCK_ROWS)).bit_length())
     got = got.withColumn("block", F.shiftright("key", 63 - bits).cast("int"))
     counts = got.groupBy("shard", "block").agg(F.count("*").alias("n"))
