@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import checked_broadcast, shuffle_partitions, staged
+from voxframe.llm.common import checked_broadcast, in_batches, shuffle_partitions, staged
 
 BUCKETS = 1024
 # Offsets of the triplets that a window of five bytes gives.
@@ -108,6 +108,33 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=names)
 
 
+#: Inverse of the relative error of the quantiles that cut the order into ranges.
+ACCURACY = 20_000
+
+
+def _cuts(df: DataFrame, value: Column, n: int) -> list[int]:
+    """At most n - 1 distinct long values that part df about evenly, falling; from one mergeable sketch of bounded size."""
+    at = [k / n for k in range(1, n)] or [0.5]
+    got = df.agg(F.percentile_approx(value, at, ACCURACY).alias("q")).first()["q"]
+    return sorted(set(got or []), reverse=True)
+
+
+def _place(value: Column, cuts: list[int]) -> Column:
+    """How many cuts lie above the value, by bisection in an array of them."""
+    if not cuts:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")
+    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    above = lambda acc, s: (acc + s <= len(cuts)) & (F.get(table, acc + s - 1) > value)
+    return F.aggregate(steps, F.lit(0), lambda acc, s: F.when(above(acc, s), acc + s).otherwise(acc))
+
+
+def _text_key(text: Column) -> Column:
+    """The first seven bytes of a text as a number that orders as they do."""
+    raw = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0")
+    return F.conv(raw, 16, 10).cast("long")
+
+
 def document_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """One row for each row of docs, with its fingerprint, that of its edited text, and their likenesses.
 
@@ -115,27 +142,26 @@ def document_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFr
     last comes the first, which for a single row is itself. Null texts are empty; a null doc_id comes after
     all others; an empty table gives an empty result; other columns are not looked at.
 
-    The order is cut into ranges of doc_id with about equally many rows, by a histogram of bounded size. Each
+    The order is cut into ranges with about equally many rows at quantiles of doc_id, whatever its distribution;
+    rows of one doc_id (or of none) that would fill a range are cut at quantiles of their texts' first bytes. Each
     range is sorted by one task that holds two texts at a time, and is given a copy of the row that follows it.
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    span = own.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
     buckets = buckets or 2 * shuffle_partitions(spark)
-    if span["ids"]:
-        cells = max(1024, 8 * buckets)
-        width = max(1, -(-(span["hi"] - span["lo"] + 1) // cells))
-        cell = F.floor((F.lit(span["hi"]) - F.col("doc_id")) / width).cast("int")
-        counts = {r["cell"]: r["n"] for r in own.filter("doc_id is not null").groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}
-        share, seen, of = -(-span["n"] // buckets), 0, []
-        for c in range(cells):
-            of.append(seen // share)
-            seen += counts.get(c, 0)
-        table = F.split(F.lit(",".join(map(str, of))), ",").cast("array<int>")
-        bucket = F.coalesce(F.element_at(table, cell + 1), F.lit(buckets + 1))
-    else:
-        bucket = F.lit(0)
-    own = own.select(bucket.alias("bucket"), "doc_id", "text")
+    cuts = _cuts(own.filter("doc_id is not null"), F.col("doc_id"), buckets)
+    n = own.agg(F.count("*").alias("n")).first()["n"]
+    each = own.groupBy("doc_id").agg(F.count("*").alias("c")).filter(F.col("c") > max(1, n // buckets))  # at most `buckets` ids
+    full = [(r["doc_id"], r["c"]) for r in each.collect()]
+    cuts = sorted({*cuts, *(d for d, _ in full if d is not None)}, reverse=True)  # a full id is then the last one of its range
+    outer = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(_place(F.col("doc_id"), cuts))
+    within = F.lit(0)
+    for doc, c in full:
+        own_id = F.col("doc_id").eqNullSafe(F.lit(doc).cast("long"))
+        more = _cuts(own.filter(own_id), -_text_key(F.col("text")), 1 + c * buckets // n)
+        within = F.when(own_id, _place(-_text_key(F.col("text")), more) + 1).otherwise(within)
+    bucket = outer * (buckets + 3) + within
+    own = own.select(bucket.cast("int").alias("bucket"), "doc_id", "text")
     # The first row of each range: its doc_id by a scan of ids, its text by a filter on them.
     heads = staged(own.groupBy("bucket").agg(F.max("doc_id").alias("head")), "heads")
     firsts = own.join(checked_broadcast(heads.select(F.col("bucket").alias("_b"), "head")), (F.col("bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("head")))
@@ -146,4 +172,4 @@ def document_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFr
     ends = firsts.join(F.broadcast(pairs), F.col("bucket") == F.col("_after")).select(F.col("_to").alias("bucket"), F.lit(True).alias("last"), "x.doc_id", "x.text")
     rows = own.select("bucket", F.lit(False).alias("last"), "doc_id", "text").union(ends)
     rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "last", F.col("doc_id").desc_nulls_last(), "text")
-    return rows.mapInArrow(_walk, _OUT)
+    return in_batches(rows, _walk, _OUT)
