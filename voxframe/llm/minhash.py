@@ -6,7 +6,8 @@ gives every coordinate of the signature. Bands of coordinates propose, and full
 Plan: texts of equal words meet by a digest first, so that a group of copies is one member from then on. Members
 of a band bucket are tied to the bucket's smallest one, which is linear in the bucket; ties give clusters of
 candidates, and exact Jaccard links are looked for within clusters only, without one row for each pair. Clusters
-over CLUSTER_ROWS members go another exact way, over shared rare shingles.
+over CLUSTER_ROWS members are no one task's work: there each band bucket ties its members to a pivot, in rounds
+that leave out what is one component already, until few pairs are left that share a bucket.
 """
 
 from __future__ import annotations
@@ -21,17 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import ascii_lower, checked_broadcast, fresh, shuffle_partitions, staged, unstage, words_of
+from voxframe.llm.common import ascii_lower, checked_broadcast, fresh, in_batches, shuffle_partitions, staged, unstage, words_of
 
 SHINGLE = 5
 PERCENT = 85
 SPACE = 1 << 20
 BANDS, ROWS = 40, 7
 SEED = 20220204
-#: Clusters of at most so many members are resolved by one task; larger ones over the cluster.
-CLUSTER_ROWS = 4000
+#: Clusters of at most so many members are resolved by one task; larger ones over all.
+CLUSTER_ROWS = 256
 #: Nor may the sets of one task's cluster hold more shingles than this.
-CLUSTER_SHINGLES = 4_000_000
+CLUSTER_SHINGLES = 1_000_000
+#: In large clusters, rounds of pivots end when at most so many pairs for each row of a bucket are open, or after so many rounds without a link.
+OPEN_PAIRS, IDLE_ROUNDS = 4, 3
+#: A pivot's set is copied so many times, as one pivot may meet all others.
+SALTS = 16
+#: Hashed words that a worker remembers during a task.
+CACHE = 50_000
 
 _U = np.uint64
 _TABLE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -49,13 +56,16 @@ def permutations(seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of the A-Z-lowered words; a shorter text is one shingle; none without words."""
-    w = words_of(ascii_lower(text)) if text else []
+    return shingles_of(words_of(ascii_lower(text)) if text else [], size)
+
+
+def shingles_of(w: list[str], size: int = SHINGLE) -> np.ndarray:
     if not w:
         return np.zeros(0, np.uint64)
     if len(w) < size:
         return np.array([_hash(" ".join(w)) ^ (len(w) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)], np.uint64)
     with np.errstate(over="ignore"):
-        h = np.fromiter(map(_word, w), np.uint64, len(w))
+        h = np.fromiter(map(_WORDS.__getitem__, w), np.uint64, len(w))
         n = len(w) - size + 1
         out = np.zeros(n, np.uint64)
         for k in range(size):
@@ -68,16 +78,24 @@ def _hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-_WORDS: dict[str, int] = {}
+class _Words(dict):
+    """Hashes of words; what is forgotten is hashed again, so the bound changes nothing but the time."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        h = _hash(w)
+        if len(w) <= 64:
+            self[w] = h
+        return h
 
 
-def _word(w: str) -> int:
-    h = _WORDS.get(w)
-    if h is None:
-        if len(_WORDS) > 200_000:  # bounds the memory of a worker; hashes don't depend on it
-            _WORDS.clear()
-        h = _WORDS[w] = _hash(w)
-    return h
+_WORDS = _Words()
+
+
+def _forget() -> None:
+    _WORDS.clear()
+    _TABLE.clear()
 
 
 def signature(shingles: np.ndarray, seed: int = SEED) -> np.ndarray:
@@ -103,20 +121,18 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            part = b.slice(lo, 500)
-            digest, count, bands = [], [], []
-            for text in part.column(1).to_pylist():
-                s = shingle_set(text)
-                w = " ".join(words_of(ascii_lower(text))) if text else ""
-                digest.append(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() if len(s) else None)
-                count.append(len(s))
-                bands.append(band_keys(signature(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(digest, pa.binary()), pa.array(count, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "n_shingles", "bands"],
-            )
+    for part in batches:
+        digest, count, bands = [], [], []
+        for text in part.column(1).to_pylist():
+            w = words_of(ascii_lower(text)) if text else []
+            s = shingles_of(w)
+            digest.append(hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).digest() if w else None)
+            count.append(len(s))
+            bands.append(band_keys(signature(s)) if w else None)
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array(digest, pa.binary()), pa.array(count, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+            names=["doc_id", "digest", "n_shingles", "bands"],
+        )
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -227,45 +243,76 @@ def _cluster_rows(percent: int):
     return rows
 
 
-def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for c, d, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            s = shingle_set(t).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([c] * len(s), pa.int64()), pa.array([d] * len(s), pa.int64()), pa.array([len(s)] * len(s), pa.int32()), pa.array(s)], names=["cluster", "doc_id", "size", "shingle"])
+        sets = [shingle_set(t).view(np.int64) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["v", "shingles"])
+
+
+def _linked_rows(percent: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, two = (np.asarray(b.column(i).values).view(np.uint64) for i in (2, 3))
+            at, to = (np.asarray(b.column(i).offsets) for i in (2, 3))
+            ok = [linked(one[at[i] : at[i + 1]], two[to[i] : to[i + 1]], percent) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return rows
 
 
-def _wide_clusters(members: DataFrame, percent: int) -> DataFrame:
-    """(v, root) for clusters of any size, as rows: rare shingles propose, shared shingles are counted in full.
+def _wide_clusters(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(v, root) for clusters of any size: members (v, n, bands), sets (v, shingles).
 
-    First each shingle's members are tied to its smallest one; what is linked so is one component, and only
-    pairs of different components that share a rare shingle are then counted.
+    Every round takes one pivot for each band bucket that still holds several components, and confirms the links
+    of the bucket's other members to it on full sets: one pair for each row. What a round links is one component
+    from then on. When few pairs are open, or rounds find no links any more, the open pairs are confirmed too.
     """
-    rows = staged(members.mapInArrow(_explode_sets, "cluster long, doc_id long, size int, shingle long"), "near-sets")
-    common = rows.groupBy("cluster", "shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = rows.join(common, ["cluster", "shingle"], "left").select(
-        *rows.columns, "df", F.row_number().over(W.partitionBy("doc_id").orderBy(F.coalesce("df", F.lit(1)), "shingle")).alias("_rank")
-    )
-    rare = staged(ranked.filter(F.col("df").isNotNull() & (F.col("_rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)).select(*rows.columns), "near-rare")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """Of the distinct pairs (a, b, sa, sb) those that are linked."""
-        fits = pairs.filter((F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent) & (F.col("a") != F.col("b"))).distinct()
-        one = rows.select(F.col("doc_id").alias("a"), "shingle")
-        two = rows.select(F.col("doc_id").alias("b"), F.col("shingle").alias("_s"))
-        met = fits.join(one, "a").join(two, (two["b"] == fits["b"]) & (F.col("shingle") == F.col("_s"))).select("a", fits["b"], "sa", "sb")
-        shared = met.groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("n"))
-        return shared.filter(100 * F.col("n") >= percent * (F.col("sa") + F.col("sb") - F.col("n"))).select("a", "b")
-
-    least = rare.groupBy("cluster", "shingle").agg(F.min(F.struct("doc_id", "size")).alias("m"))
-    star = rare.join(least, ["cluster", "shingle"]).select(F.col("m.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("m.size").alias("sa"), F.col("size").alias("sb"))
-    first = staged(links(star), "near-star")
-    roots = components(first, "near-star") if first.limit(1).count() else first.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    own = rare.join(roots, F.col("doc_id") == F.col("v"), "left").select("cluster", "shingle", "doc_id", "size", F.coalesce("root", "doc_id").alias("root"))
-    other = own.select("cluster", "shingle", *[F.col(c).alias(f"_{c}") for c in ("doc_id", "size", "root")])
-    rest = own.join(other, ["cluster", "shingle"]).filter("root < _root").select(F.col("doc_id").alias("a"), F.col("_doc_id").alias("b"), F.col("size").alias("sa"), F.col("_size").alias("sb"))
-    every = first.union(links(rest))
-    self_ = members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
-    return components(every.union(self_), "near-wide")
+    rows = staged(members.select("v", "n", F.explode("bands").alias("band")), "near-buckets")
+    total = rows.count()
+    roots = staged(members.select("v", F.col("v").alias("root")).distinct(), "near-roots")
+    tried, k, idle = None, 0, 0
+
+    def confirmed(pairs: DataFrame, salts: int) -> DataFrame:
+        """Of the distinct pairs (a, b) those that are linked, on full sets."""
+        copies = F.explode(F.array(*map(F.lit, range(salts)))).alias("_salt")
+        one = pairs.select("a").distinct().join(sets, F.col("a") == F.col("v")).select(F.col("a").alias("_a"), F.col("shingles").alias("one"), copies)
+        salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt"))
+        met = salted.join(one, (F.col("a") == F.col("_a")) & (F.col("salt") == F.col("_salt"))).select("a", "b", "one")
+        met = met.join(sets.withColumnRenamed("shingles", "two"), F.col("b") == F.col("v")).select("a", "b", "one", "two")
+        return in_batches(met, _linked_rows(percent), "a long, b long")
+
+    def fresh_pairs(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs near enough in size that weren't confirmed before."""
+        fits = pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        fits = fits.select("a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).dropDuplicates(["lo", "hi"])
+        return fits.join(tried, ["lo", "hi"], "left_anti") if tried is not None else fits
+
+    while True:
+        own = rows.join(roots.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v")).select("band", "v", "n", "root")
+        each = own.groupBy("band", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("v", F.lit(k)).alias("h"), F.col("v").alias("v"), F.col("n").alias("n"))).alias("p"))
+        mixed = each.groupBy("band").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("roots"), F.min(F.struct("p", "root")).alias("x")).filter("roots > 1")
+        mixed = staged(mixed.select(F.col("band").alias("_band"), "m", "s", F.col("x.p.v").alias("a"), F.col("x.p.n").alias("na"), F.col("x.root").alias("_root")), f"near-pivots-{k}")
+        left = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2).alias("n")).first()["n"] or 0
+        if not left:
+            return roots
+        last = left <= OPEN_PAIRS * total or idle >= IDLE_ROUNDS
+        if last:
+            other = own.select(F.col("band").alias("_band"), F.col("v").alias("b"), F.col("n").alias("nb"), F.col("root").alias("_root"))
+            open_ = own.join(mixed.select(F.col("_band").alias("_b")), F.col("band") == F.col("_b"), "left_semi")
+            pairs = open_.join(other, (F.col("band") == F.col("_band")) & (F.col("root") < F.col("_root"))).select(F.col("v").alias("a"), "b", F.col("n").alias("na"), "nb")
+        else:
+            pairs = own.join(mixed, F.col("band") == F.col("_band")).filter("root <> _root").select("a", F.col("v").alias("b"), "na", F.col("n").alias("nb"))
+        pairs = staged(fresh_pairs(pairs), f"near-pairs-{k}")
+        links = staged(confirmed(pairs, 1 if last else SALTS), f"near-links-{k}")
+        idle = 0 if links.limit(1).count() else idle + 1
+        if not idle:
+            to = lambda df, c: df.join(roots.select(F.col("v").alias("_v"), F.col("root").alias(f"_{c}")), F.col(c) == F.col("_v")).drop("_v", c).withColumnRenamed(f"_{c}", c)  # noqa: B023, E731
+            up = components(to(to(links, "a"), "b"), f"near-wide-{k}").select(F.col("v").alias("_v"), F.col("root").alias("_up"))
+            roots = staged(roots.join(up, F.col("root") == F.col("_v"), "left").select("v", F.coalesce("_up", "root").alias("root")), f"near-roots-{k}")
+        if last:
+            return roots
+        tried = pairs.select("lo", "hi") if tried is None else tried.union(pairs.select("lo", "hi"))
+        k += 1
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -276,7 +323,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     doc_id take the least component of it; an empty table gives an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
-    signed = staged(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, digest binary, n_shingles long, bands array<bigint>"), "near-signed")
+    signed = staged(in_batches(docs.select("doc_id", "text"), _sign, "doc_id long, digest binary, n_shingles long, bands array<bigint>", _forget), "near-signed")
     real = signed.filter("doc_id is not null and digest is not null")
     groups = real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("n"))
     groups = staged(groups, "near-groups")
@@ -285,15 +332,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ties = staged(reps.join(buckets, "band").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "near-ties")
     if ties.limit(1).count():
         clusters = components(ties, "near-cluster")
+        member = clusters.join(groups.select("rep", "n", "bands"), F.col("v") == F.col("rep")).select("v", "root", "n", "bands")
         sizes = clusters.join(groups.select("rep", "n"), F.col("v") == F.col("rep")).groupBy("root").agg(F.count("*").alias("_n"), F.sum("n").alias("_sum"))
         fit = staged(clusters.join(sizes, "root").select("v", "root", ((F.col("_n") <= CLUSTER_ROWS) & (F.col("_sum") <= CLUSTER_SHINGLES)).alias("small")), "near-fit")
         text = docs.select("doc_id", "text").filter("doc_id is not null")
-        member = text.join(checked_broadcast(fit), F.col("doc_id") == F.col("v")).select(F.col("root").alias("cluster"), "doc_id", "text", "small")
+        texts = text.join(checked_broadcast(fit), F.col("doc_id") == F.col("v")).select(F.col("root").alias("cluster"), "doc_id", "text", "small")
         parts = 4 * shuffle_partitions(spark)
-        small = member.filter("small").drop("small").repartition(parts, "cluster").sortWithinPartitions("cluster", "doc_id")
-        solved = staged(small.mapInArrow(_cluster_rows(percent), "v long, root long"), "near-solved")
-        if fit.filter("not small").limit(1).count():
-            solved = solved.union(_wide_clusters(member.filter("not small").drop("small").dropDuplicates(["cluster", "doc_id"]), percent))
+        small = texts.filter("small").drop("small").repartition(parts, "cluster").sortWithinPartitions("cluster", "doc_id")
+        solved = staged(in_batches(small, _cluster_rows(percent), "v long, root long", _forget), "near-solved")
+        wide = fit.filter("not small").select(F.col("v").alias("_v"))
+        if wide.limit(1).count():
+            sets = in_batches(texts.filter("not small").select("doc_id", "text"), _set_rows, "v long, shingles array<bigint>", _forget)
+            sets = staged(sets.distinct(), "near-sets")
+            solved = solved.union(_wide_clusters(staged(member.join(wide, F.col("v") == F.col("_v")).select("v", "n", "bands"), "near-members"), sets, percent))
         groups = groups.join(solved.groupBy("v").agg(F.min("root").alias("root")), F.col("rep") == F.col("v"), "left")
         groups = groups.select("digest", F.coalesce("root", "rep").alias("component"))
     else:
