@@ -29,7 +29,8 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.passage_digests(documents(spark, sf_dir))
+    """The contract's strings of 400 bytes, and beside them n_passage_words: words in repeated passages of over 50 words."""
+    return substrings.passage_digests(documents(spark, sf_dir), min_words=51)
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

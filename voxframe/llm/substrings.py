@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from voxframe.llm.common import checked_broadcast, fresh, shuffle_partitions, staged, words_of
+from voxframe.llm.common import checked_broadcast, fresh, hot_join, in_batches, shuffle_partitions, staged, words_of
 
 MIN_BYTES = 400
 GRAM = 64
@@ -39,6 +39,9 @@ GROUP_BYTES = 1_500_000
 #: Pieces are compared about so many bytes at a time.
 CHUNK_BYTES = 1_000_000
 
+#: Hashed words that a worker remembers during a task.
+CACHE = 50_000
+
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -55,7 +58,7 @@ def word_bytes(text: str) -> bytes:
     for w in words_of(text):
         h = _WORDS.get(w)
         if h is None:
-            if len(_WORDS) > 200_000:  # bounds the memory of a worker; hashes don't depend on it
+            if len(_WORDS) >= CACHE:  # bounds the memory of a worker; hashes don't depend on it
                 _WORDS.clear()
             h = _WORDS[w] = hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=WORD_BYTES).digest()
         out.append(h)
@@ -284,10 +287,10 @@ def _string_rows(min_bytes: int):
 
 def _wide_groups(pieces: DataFrame, min_bytes: int) -> DataFrame:
     """As _compare_rows, for anchors with too many different pieces for one task: strings meet by their hashes."""
-    rows = staged(pieces.mapInArrow(_string_rows(min_bytes), "v long, s long, doc_id long, lo long, o int, h long, k long"), "passages-strings")
+    rows = staged(in_batches(pieces, _string_rows(min_bytes), "v long, s long, doc_id long, lo long, o int, h long, k long"), "passages-strings")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "lo", "s", "o")
-    met = rows.groupBy("h", "k").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).filter("_n > 1")
-    hit = rows.join(met, ["h", "k"]).select("v", "s", "o", (place != F.col("_first")).alias("later"))
+    met = staged(rows.groupBy("h", "k").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).filter("_n > 1"), "passages-met")
+    hit = hot_join(rows, met, ["h", "k"], "_n").select("v", "s", "o", (place != F.col("_first")).alias("later"))
     w = W.partitionBy("v", "s").orderBy("o")
 
     def ranges(df: DataFrame, name: str) -> DataFrame:
@@ -307,24 +310,25 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "non
     spark = docs.sparkSession
     code, least = (word_bytes, 2 * min_bytes // WORD_BYTES - 1) if words else (text_bytes, min_bytes)
     runs = docs.filter(F.octet_length("text") >= least).select("uid", "doc_id", "text")
-    runs = staged(runs.mapInArrow(_run_rows(min_bytes, code), "v long, s long, uid long, doc_id long, lo long, starts long, twice boolean"), "passages-runs")
+    runs = staged(in_batches(runs, _run_rows(min_bytes, code), "v long, s long, uid long, doc_id long, lo long, starts long, twice boolean", _WORDS.clear), "passages-runs")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid", "lo")
     same = runs.groupBy("v", "s").agg(F.count("*").alias("n"), F.min(place).alias("at"), F.max("starts").alias("starts"), F.max("twice").alias("twice"))
-    by_v = W.partitionBy("v")
-    same = same.select("*", F.count("*").over(by_v).alias("kinds"), F.sum(F.col("starts") + (min_bytes - 1)).over(by_v).alias("size"))
+    same = staged(same, "passages-digests")
+    by_v = staged(same.groupBy("v").agg(F.count("*").alias("kinds"), F.sum(F.col("starts") + (min_bytes - 1)).alias("size")), "passages-anchors")
+    same = hot_join(same, by_v, ["v"], "kinds")
     same = staged(same.withColumn("mixed", F.expr("kinds > 1 or twice")).filter("n > 1 or mixed"), "passages-kinds")
     want = same.filter("mixed").groupBy(F.col("at.uid").alias("_uid"), F.col("at.doc_id").alias("_doc")).agg(
         F.collect_list(F.struct("v", "s", F.col("at.doc_id").alias("doc_id"), F.col("at.lo").alias("lo"), "starts", (F.col("size") > GROUP_BYTES).alias("wide"))).alias("wanted")
     )
     want = staged(want, "passages-want")
-    hit = docs.join(checked_broadcast(want), (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    hit = docs.join(checked_broadcast(want, size=64 * F.size("wanted")), (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     schema = "v long, s long, doc_id long, lo long, piece binary, wide boolean"
-    pieces = hit.select("text", "wanted").mapInArrow(_cut_pieces(min_bytes, code), schema)
+    pieces = in_batches(hit.select("text", "wanted"), _cut_pieces(min_bytes, code), schema, _WORDS.clear)
     any_wide = same.filter(F.col("size") > GROUP_BYTES).filter("mixed").limit(1).count() > 0
     if any_wide:
         pieces = staged(pieces, "passages-pieces")
     flat = pieces.filter("not wide").repartition(4 * shuffle_partitions(spark), "v").sortWithinPartitions("v", F.col("doc_id").isNull(), "doc_id", "lo")
-    found = flat.select("v", "s", "piece").mapInArrow(_compare_rows(min_bytes), _FOUND)
+    found = in_batches(flat.select("v", "s", "piece"), _compare_rows(min_bytes), _FOUND)
     if any_wide:
         found = found.unionByName(_wide_groups(pieces.filter("wide").dropDuplicates(["v", "s"]), min_bytes))
     found = staged(found, "passages-found")
@@ -332,7 +336,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "non
     hits = same.join(found, ["v", "s"], "left").filter("n > 1 or twins is not null").select(
         "v", "s", "n", "at", F.coalesce("twins", none).alias("twins"), F.coalesce("laters", none).alias("laters")
     )
-    got = runs.join(hits, ["v", "s"])
+    got = hot_join(runs, staged(hits, "passages-hits"), ["v", "s"], "n")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("starts").cast("int").alias("b")))
     if keep == "none":
         parts = F.when(F.col("n") > 1, whole).otherwise(F.col("twins"))
@@ -364,12 +368,13 @@ def cut_text(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
+        for text, spans, words in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            raw = text_bytes(text)
             m = merged(spans)
-            out.append((len(raw), sum(y - x for x, y in m), len(m), hashlib.sha256(cut_text(raw, m)).hexdigest()))
-        n, r, k, h = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int64()), pa.array(h, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            whole = [(-(-x // WORD_BYTES), y // WORD_BYTES) for x, y in merged(words)]
+            out.append((len(raw), sum(y - x for x, y in m), len(m), hashlib.sha256(cut_text(raw, m)).hexdigest(), sum(max(0, y - x) for x, y in whole)))
+        n, r, k, h, w = zip(*out, strict=True) if out else ((),) * 5
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int64()), pa.array(h, pa.string()), pa.array(w, pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
 
 
 def _with_uid(docs: DataFrame) -> DataFrame:
@@ -377,17 +382,29 @@ def _with_uid(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("uid"))
 
 
-def passage_digests(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "none") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
+def _spans(own: DataFrame, min_bytes: int, keep: str, min_words: int | None) -> DataFrame:
+    """_uid, _doc, spans (of bytes), words (spans of word_bytes; none without min_words), staged."""
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    spans = repeated_spans(own, min_bytes, keep).withColumn("words", none)
+    if min_words:
+        more = repeated_spans(own, min_words * WORD_BYTES, keep, words=True)
+        both = spans.unionByName(more.select("uid", "doc_id", none.alias("spans"), F.col("spans").alias("words")))
+        spans = both.groupBy("uid", "doc_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "words")])
+    return staged(spans.select(F.col("uid").alias("_uid"), F.col("doc_id").alias("_doc"), "spans", "words"), "passages-spans")
+
+
+def passage_digests(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "none", min_words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words for each row of docs.
 
-    Null texts are empty; texts under MIN_BYTES lose nothing; rows that repeat a text repeat its passages, the
-    same doc_id or not; an empty table gives an empty result; other columns are not looked at.
+    The last counts the words that lie in a string of min_words words that comes twice (with `keep` "first": not for
+    the first time); it is 0 without min_words. Null texts are empty; texts under MIN_BYTES lose nothing; rows that
+    repeat a text repeat its passages, the same doc_id or not; an empty table gives an empty result; other columns
+    are not looked at.
     """
     own = _with_uid(docs)
-    spans = repeated_spans(own, min_bytes, keep).select(F.col("uid").alias("_uid"), F.col("doc_id").alias("_doc"), "spans")
-    spans = staged(spans, "passages-spans")
+    spans = _spans(own, min_bytes, keep, min_words)
     got = own.join(spans, (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    return got.select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return in_batches(got.select("doc_id", "text", "spans", "words"), _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long")
 
 
 def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -417,15 +434,9 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "fi
     A passage is a string of min_bytes, and with min_words also so many words, be they shorter than that. All rows
     and columns of docs stay; n_chars, if there, follows the text; null texts stay null.
     """
-    own = _with_uid(docs)
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    spans = repeated_spans(own, min_bytes, keep).withColumn("words", none)
+    spans = _spans(_with_uid(docs), min_bytes, keep, min_words)
     u, d, s, w = (fresh(x, docs) for x in ("uid", "doc", "spans", "words"))
-    if min_words:
-        more = repeated_spans(own, min_words * WORD_BYTES, keep, words=True)
-        both = spans.unionByName(more.select("uid", "doc_id", none.alias("spans"), F.col("spans").alias("words")))
-        spans = both.groupBy("uid", "doc_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "words")])
-    spans = staged(spans.select(F.col("uid").alias(u), F.col("doc_id").alias(d), F.col("spans").alias(s), F.col("words").alias(w)), "passages-spans")
+    spans = spans.toDF(u, d, s, w)
     key = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
     names, schema = docs.columns, docs.schema
     got = docs.join(spans, (key == F.col(u)) & F.col("doc_id").eqNullSafe(F.col(d)), "left").select(*[F.col(f"`{c}`") for c in names], s, w)
@@ -448,4 +459,4 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "fi
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return got.mapInArrow(cut, schema)
+    return in_batches(got, cut, schema)
