@@ -1,13 +1,15 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character model of the corpus (trigrams over all documents) is the source; the channel writes letters as
-look-alikes, spaces them out, or repeats them. Suspect tokens are decoded by Viterbi over the lattice of what
-each character may stand for, and the restored text is scored by a word and word-start model that is fitted on
-labelled documents outside the held-out third.
+look-alikes, spaces them out, joins words, or repeats letters. Tokens that aren't plain letters or hold a doubled
+letter, and rows of single characters, are decoded by Viterbi over the lattice of what each character may stand
+for: a letter, one more of a repeated letter, nothing, or the end of a word. The restored text is scored by a word
+and word-start model that is fitted on labelled documents outside the held-out third.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.llm.common import fresh, staged
+from voxframe.llm.common import fresh, in_batches, staged
 
 # What a character may stand for besides itself.
 LOOKALIKES = {
@@ -32,23 +34,27 @@ FILLERS = set(".-_*~'`^,:;/\\#%&=​­")
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåçèéêëìíîïñòóôöõøùúûüýÿæœß"
 N = len(LETTERS) + 1
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
-#: Costs of the channel, in natural logarithms: keeping a letter as it is, a look-alike, a filler, one more of a repeated letter.
-KEEP, SWAP, DROP, AGAIN = 0.0, 1.0, 0.2, 0.7
-#: The longest token that is decoded, in characters; longer ones are no words.
-LONGEST = 64
+#: Costs of the channel, in natural logarithms: a letter as it is, a look-alike, a filler or a space within a word or between two, one more of a repeated letter.
+KEEP, SWAP, DROP, SPACED, PART, AGAIN = 0.0, 1.0, 0.2, 0.3, 2.0, 0.7
 
 #: The classifier is fitted on at most so many labelled documents, those of the smallest hashes.
 SAMPLE = 20_000
 #: A feature counts if at least so many toxic documents of the sample hold it and its weight reaches LEAST.
 SUPPORT, LEAST = 3, 1.0
 STARTS = (4, 5, 6, 7)
+#: Restored words count by features of at least this weight; weaker evidence has to stand in the text as it is.
+STRONG = 3.0
+#: Of these features, the model keeps so many at most, those of the most evidence.
+FEATURES = 100_000
 THRESHOLD = 0.7
-#: Restored tokens that a worker remembers.
-CACHE = 300_000
+#: Weighed tokens that a task remembers.
+CACHE = 100_000
 
-_SINGLES = re.compile(r"(?<![^\W_])(?:[^\W_][\s.\-_*]{1,2}){2,}[^\W_](?![^\W_])")
-_ODD = re.compile(r"[^\W\d_]*[0-9@$!|+(<{€£¥.\-_*~'`^:;/\\#%&=​­][^\W\d_]|([^\W\d_])\1\1")
+#: Three or more single characters in a row.
+_SINGLES = re.compile(r"(?<!\S)\S(?:\s{1,2}\S){2,}(?!\S)")
 _PARTS = re.compile(r"[^\W\d_]+")
+_DOUBLED = re.compile(r"(.)\1")
+_EDGE = ".,;:!?\"'()[]{}<>|&%$#*-_"
 
 
 # --- source model ---------------------------------------------------------------------------------------------
@@ -83,7 +89,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def character_model(docs: DataFrame) -> np.ndarray:
     """log P(letter | two before) over every document; at most N ** 3 sums, whatever the corpus, come to the driver."""
-    rows = docs.select("text").mapInArrow(_count_rows, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = in_batches(docs.select("text"), _count_rows, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     count = np.zeros(N**3)
     for r in rows:
         count[r["gram"]] = r["n"]
@@ -103,59 +109,126 @@ def log_model(count: np.ndarray) -> np.ndarray:
 # --- channel and decoder --------------------------------------------------------------------------------------
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a lower-case token: Viterbi over (last two letters) through its lattice."""
-    states: dict[tuple[int, int], tuple[float, str, str]] = {(0, 0): (0.0, "", "")}
-    for c in token[:LONGEST]:
-        arcs = [(x, SWAP) for x in LOOKALIKES.get(c, "")]
-        if c in CODE:
-            arcs.append((c, KEEP))
-        nxt: dict[tuple[int, int], tuple[float, str, str]] = {}
+_ARCS = {c: [(CODE[x], SWAP) for x in LOOKALIKES.get(c, "")] + ([(CODE[c], KEEP)] if c in CODE else []) for c in {*LOOKALIKES, *CODE}}
 
-        def offer(state: tuple[int, int], cost: float, out: str, last: str) -> None:
-            if state not in nxt or cost < nxt[state][0]:  # noqa: B023
-                nxt[state] = cost, out, last  # noqa: B023
 
-        for (a, b), (cost, out, last) in states.items():
-            if c in FILLERS or not arcs:
-                offer((a, b), cost + DROP, out, last)
-            if last == c and out:
-                offer((a, b), cost + AGAIN, out, last)
-            for x, price in arcs:
-                k = CODE[x]
-                offer((b, k), cost + price - model[a, b, k], out + x, c)
-        states = nxt or states
-    return min(((cost - model[a, b, 0], out) for (a, b), (cost, out, _) in states.items()), default=(0, ""))[1]
+@functools.lru_cache(4096)
+def arcs_of(c: str) -> tuple[list[tuple[int, float]], float | None]:
+    """(letter, cost) of what a lower-case character may stand for, and the cost of its standing for nothing (None: it can't)."""
+    arcs = _ARCS.get(c, [])
+    return arcs, SPACED if c.isspace() else DROP if c in FILLERS or not arcs else None
 
 
-def spaced_out(text: str) -> str:
-    """Closes rows of single characters: `i d i o t` gives one token."""
-    return _SINGLES.sub(lambda m: re.sub(r"[\s.\-_*]", "", m[0]), text)
+def restore(token: str, model: np.ndarray | list) -> str:
+    """The likeliest words behind lower-case characters: Viterbi over (last two letters, character that gave the last one).
+
+    Fillers, spaces and unknown characters may also end a word. Paths are linked lists that share what they have in
+    common, so the memory grows with the length alone, and no length is too long.
+    """
+    lm = model if isinstance(model, list) else model.tolist()
+    states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
+    for c in token:
+        arcs, nothing = arcs_of(c)
+        nxt: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
+        for (a, b, last), (cost, path) in states.items():
+            row = lm[a][b]
+            offers = [((b, k, c), cost + price - row[k], (path, k)) for k, price in arcs]
+            if nothing is not None:
+                offers.append(((a, b, last), cost + nothing, path))
+                offers.append(((0, 0, ""), cost + PART - row[0], (path, 0)) if b else ((0, 0, ""), cost, path))
+            if last == c:
+                offers.append(((a, b, last), cost + AGAIN, path))
+            for state, price, way in offers:
+                if state not in nxt or price < nxt[state][0]:
+                    nxt[state] = price, way
+        states = nxt
+    _, path = min(((cost - (lm[a][b][0] if b else 0.0), path) for (a, b, _), (cost, path) in states.items()), key=lambda x: x[0])
+    out = []
+    while path:
+        path, k = path
+        out.append(LETTERS[k - 1] if k else " ")
+    return "".join(reversed(out)).strip()
+
+
+def is_suspect(token: str) -> bool:
+    """Whether a lower-case token may stand for other words than it shows."""
+    return not token.isalpha() or bool(_DOUBLED.search(token))
+
+
+def _readings(token: str) -> list[str]:
+    """What is decoded of a token: itself, without marks at its edges, with and without those that may be letters."""
+    return [t for t in dict.fromkeys((token.strip(_EDGE), token.strip(".,;:?\"'[]"))) if t and is_suspect(t)]
+
+
+def spaced_rows(low: str) -> list[str]:
+    return [" ".join(m[0].split()) for m in _SINGLES.finditer(low)]
 
 
-def tokens_of(text: str, model: np.ndarray, cache: dict[str, tuple[str, ...]]) -> list[tuple[str, ...]]:
-    """For each token of the text, its words: the letters as they stand and, of a suspect token, those restored."""
+def words_behind(token: str, lm: list) -> tuple[str, ...]:
+    """The letters of a token as they stand and, of a suspect one, the words restored."""
+    plain = _PARTS.findall(token)
+    for t in _readings(token):
+        plain += restore(t, lm).split()
+    return tuple(dict.fromkeys(plain))
+
+
+def text_words(text: str, lm: list, cache: dict[str, tuple[str, ...]]) -> set[str]:
+    """All words of a text, as they stand and restored."""
     low = text.lower()
-    if _SINGLES.search(low):
-        low = low + "\n" + "\n".join(re.sub(r"[\s.\-_*]", "", m[0]) for m in _SINGLES.finditer(low))
-    out = []
-    for token in low.split():
+    seen: set[str] = set()
+    for token in [*low.split(), *spaced_rows(low)]:
         got = cache.get(token)
         if got is None:
-            if len(cache) > CACHE:
+            if len(cache) >= CACHE:
                 cache.clear()
-            got = cache[token] = _words(token, model)
-        out.append(got)
-    return out
+            got = cache[token] = words_behind(token, lm)
+        seen.update(got)
+    return seen
+
 
+class Shapes:
+    """Tells which tokens can't be restored to a word that has a weight, without decoding them.
 
-def _words(token: str, model: np.ndarray) -> tuple[str, ...]:
-    plain = tuple(_PARTS.findall(token))
-    bare = token.strip(".,;:!?\"'()[]{}<>|&%$#*-_")
-    for t in (bare, token.strip(".,;:?\"'[]")):
-        if len(t) <= LONGEST and _ODD.search(t):
-            plain += (restore(t, model),)
-    return tuple(dict.fromkeys(w for w in plain if w))
+    Characters that may stand for one another form one class, and a class in a row counts once. Whatever a token is
+    restored to has the token's classes, so a weighted feature can only be the start of a word in it if its classes
+    are there, after the token's start or a place where a word may end.
+    """
+
+    def __init__(self, features: list[str]) -> None:
+        up: dict[str, str] = {}
+
+        def top(c: str) -> str:
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        for c, stand in LOOKALIKES.items():
+            for x in stand:
+                up[top(c)] = top(x)
+        self.table = {ord(c): top(c) for c in {*LOOKALIKES, *CODE}}
+        self.gap = re.compile("[^" + re.escape("".join(sorted({*LOOKALIKES, *CODE} - FILLERS))) + "]+")
+        self.known = {x for x in (self._shape(f.removesuffix("$")) for f in features) if x}
+        self.sizes = sorted({len(x) for x in self.known})
+
+    def _shape(self, letters: str) -> str:
+        return re.sub(r"(.)\1+", r"\1", letters.translate(self.table))
+
+    def may_hold(self, token: str) -> bool:
+        if not self.sizes:
+            return False
+        ways = [token]
+        for c in FILLERS & set(LOOKALIKES) & set(token):  # these may be letters too
+            ways += [w.replace(c, "a" if c == "*" else LOOKALIKES[c][0]) for w in ways]
+        for way in ways:
+            parts = [p for p in self.gap.split(way) if p]
+            for i in range(len(parts)):
+                have, j = "", i
+                while j < len(parts) and len(have) < self.sizes[-1]:
+                    have = self._shape(have + parts[j])
+                    j += 1
+                if any(have[:n] in self.known for n in self.sizes):
+                    return True
+        return False
 
 
 # --- classifier -----------------------------------------------------------------------------------------------
@@ -168,33 +241,48 @@ def features_of(word: str) -> list[str]:
 def _feature_rows(model: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
+        lm = model.tolist()
         for b in batches:
             bad, good = Counter(), Counter()
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen = {w for t in tokens_of(text or "", model, cache) for w in t}
-                (bad if toxic else good).update({f for w in seen for f in features_of(w)})
+                (bad if toxic else good).update({f for w in text_words(text or "", lm, cache) for f in features_of(w)})
             names = list(bad.keys() | good.keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([bad[x] for x in names], pa.int64()), pa.array([good[x] for x in names], pa.int64())], names=["feature", "bad", "good"])
 
     return rows
 
 
-def weigh(text: str | None, model: np.ndarray, weights: dict[str, float], cache: dict, known: dict[str, float]) -> tuple[float, float, int]:
-    """Sum of token weights (the largest of a token's features), the largest one, and the number of tokens."""
-    total, top, n = 0.0, 0.0, 0
-    for words in tokens_of(text or "", model, cache):
-        n += 1
-        best = 0.0
-        for w in words:
-            x = known.get(w)
+class Scale:
+    """Weighs texts: the weight of a token is the largest one of its words' features."""
+
+    def __init__(self, model: np.ndarray, weights: dict[str, float]) -> None:
+        self.lm, self.weights = model.tolist(), weights
+        self.strong = {f: w for f, w in weights.items() if w >= STRONG}
+        self.shapes = Shapes(list(self.strong))
+        self.met: dict[str, float] = {}
+
+    def token(self, token: str) -> float:
+        best = max((self.weights.get(f, 0.0) for w in _PARTS.findall(token) for f in features_of(w)), default=0.0)
+        for t in _readings(token):
+            if self.shapes.may_hold(t):
+                best = max(best, *(self.strong.get(f, 0.0) for w in restore(t, self.lm).split() for f in features_of(w)), 0.0)
+        return best
+
+    def weigh(self, text: str | None) -> tuple[float, float, int]:
+        """Sum of token weights, the largest one, and the number of tokens."""
+        low, met = (text or "").lower(), self.met
+        tokens = low.split()
+        total, top, n = 0.0, 0.0, len(tokens)
+        for token in tokens + spaced_rows(low):
+            x = met.get(token)
             if x is None:
-                if len(known) > CACHE:
-                    known.clear()
-                x = known[w] = max((weights[f] for f in features_of(w) if f in weights), default=0.0)
-            best = max(best, x)
-        total += best
-        top = max(top, best)
-    return total, top, n
+                if len(met) >= CACHE:
+                    met.clear()
+                x = met[token] = self.token(token)
+            if x:
+                total += x
+                top = max(top, x)
+        return total, top, n
 
 
 def _inputs(total: np.ndarray, top: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -220,10 +308,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarra
 
 def _weigh_rows(model: np.ndarray, weights: dict[str, float]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
-        known: dict = {}
+        scale = Scale(model, weights)
         for b in batches:
-            got = [weigh(t, model, weights, cache, known) for t in b.column(0).to_pylist()]
+            got = [scale.weigh(t) for t in b.column(0).to_pylist()]
             s, m, n = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(s, pa.float64()), pa.array(m, pa.float64()), pa.array(n, pa.int64())], names=["toxic", "total", "top", "n"])
 
@@ -246,21 +333,21 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, flo
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad:
         return model, {}, np.array([-4.0, 0, 0, 0, 0])
-    rows = own.mapInArrow(_feature_rows(model), "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    rows = in_batches(own, _feature_rows(model), "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    kept = rows.select("feature", "bad", odds.alias("w")).filter((F.col("bad") >= SUPPORT) & (F.col("w") >= LEAST)).collect()
+    kept = rows.select("feature", "bad", odds.alias("w")).filter((F.col("bad") >= SUPPORT) & (F.col("w") >= LEAST))
+    kept = kept.orderBy((F.col("w") * F.col("bad")).desc(), "feature").limit(FEATURES).collect()
     weights = {r["feature"]: r["w"] for r in kept}
-    got = own.mapInArrow(_weigh_rows(model, weights), "toxic int, total double, top double, n long").toPandas()
+    got = in_batches(own, _weigh_rows(model, weights), "toxic int, total double, top double, n long").toPandas()
     x = _inputs(got["total"].to_numpy(float), got["top"].to_numpy(float), got["n"].to_numpy(float))
     return model, weights, fit_logistic(x, got["toxic"].to_numpy(float))
 
 
 def _score_rows(model: np.ndarray, weights: dict[str, float], coef: np.ndarray, text_at: int, names: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
-        known: dict = {}
+        scale = Scale(model, weights)
         for b in batches:
-            got = np.array([weigh(t, model, weights, cache, known) for t in b.column(text_at).to_pylist()], float).reshape(-1, 3)
+            got = np.array([scale.weigh(t) for t in b.column(text_at).to_pylist()], float).reshape(-1, 3)
             z = np.clip(_inputs(*got.T) @ coef, -30, 30)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-z)))], names=names)
 
@@ -276,16 +363,16 @@ def scored(docs: DataFrame, labels: DataFrame, score: str = "score") -> DataFram
     model, weights, coef = train(docs, labels)
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
     rows = _score_rows(model, weights, coef, docs.columns.index("text"), [*docs.columns, score])
-    return docs.mapInArrow(rows, schema)
+    return in_batches(docs, rows, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of docs."""
+    """doc_id, held_out, score, predicted of each row of docs; a null doc_id isn't held out. For all else see scored."""
     got = scored(docs.select("doc_id", "text"), labels)
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't predicted to be toxic, with the columns of docs."""
+    """The rows of docs that aren't predicted to be toxic, with the columns of docs. For null, empty and repeated rows see scored."""
     name = fresh("score", docs)
     return scored(docs, labels, name).filter(F.col(name) < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
