@@ -432,19 +432,74 @@ def test_secrets(spark, odd_docs, no_docs, sf):
     assert secrets.secret_scan(no_docs).count() == 0
 
 
-def test_markov_held_out(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    model = secrets.train(docs)
+@pytest.fixture(scope="module")
+def markov(spark):
+    return secrets.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+
+def test_markov_held_out(spark, markov):
     rng = np.random.default_rng(4)
     chars = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
     random = ["".join(rng.choice(chars, 32)) for _ in range(100)]
     plain = ["theration-ofthing-stationer2", "version2-release-candidate-one", "image-gallery-of-the-nation-2024", "estion_of_the_thing_number_12", "internationalisation-of-the-text1"] * 4
     rows = [(i, f"see {t} here") for i, t in enumerate(random + plain)]
-    df = secrets.with_spans(spark.createDataFrame(rows, "doc_id long, _text string"), model)
+    df = secrets.with_spans(spark.createDataFrame(rows, "doc_id long, _text string"), markov)
     hit = {r.doc_id for r in df.collect() if any(s.k == 3 for s in r._spans)}
     assert len(hit & set(range(100))) >= 90 and len(hit - set(range(100))) <= 2
 
 
+def test_markov_finds_planted_secrets(spark, markov):
+    """Random strings without a keyword, of 14 to 40 characters and three alphabets, among whole clean documents."""
+    rng = np.random.default_rng(8)
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(600).collect() if r.text and not any(base(r.text)[0])][:450]
+    kinds = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"]
+    rows, where = [], {}
+    for i, r in enumerate(docs):
+        text = r.text
+        if i % 3 == 0:
+            plant = "".join(rng.choice(list(kinds[i // 3 % 3]), int(rng.integers(14, 41))))
+            at = len(text) // 2
+            text = f"{text[:at]} {plant} {text[at:]}"
+            where[i] = (at + 1, at + 1 + len(plant))
+        rows.append((i, text))
+    got = secrets.with_spans(spark.createDataFrame(rows, "doc_id long, _text string").repartition(4), markov).select("doc_id", "_spans").collect()
+    found = {(r.doc_id, s.start, s.end) for r in got for s in r._spans if s.k == 3}
+    right = {(d, a, b) for d, (a, b) in where.items()} & found
+    assert len(right) >= 0.9 * len(where) and len(right) >= 0.9 * len(found)
+
+
+def test_ratios_against_recomputed_ones(spark, markov):
+    import regex
+
+    texts = ["Zx81kqLmnTrWvQp is here", "0123456789abcdef0XyZqwPlmTrKvw tail", "password=abcdefghijklm/XqZ#WqZpLkTrMvBnQx", "kWqZpLkTrMvBnQxc internationalisation 2024-01-15/12:30 4539578763621486", "é" * 3 + "QzXwPkVjTgBnMr" + "😀", "a-b-c-d-e-f-g-h", "", "under_the_thing-station"]
+    got = {r.doc_id: [(s.start, s.end) for s in r._spans if s.k == 3] for r in secrets.with_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, _text string"), markov).collect()}
+    n = len(secrets.ALPHABET)
+    for i, t in enumerate(texts):
+        want = []
+        for m in regex.finditer(secrets.CANDIDATE, t):
+            x = m[0]
+            if regex.search("[A-Za-z]", x) and not regex.fullmatch(secrets._BASE, x):
+                r = sum(markov[secrets.ALPHABET.index(a) * n + secrets.ALPHABET.index(b)] for a, b in zip(x, x[1:], strict=False))
+                if r >= secrets.LEAST and r >= secrets.LEAST_EACH * (len(x) - 1):
+                    want.append(m.span())
+        assert got[i] == want
+    assert got[0] and got[1] and not got[7]
+
+
+def test_many_matches_take_linear_time(spark, markov):
+    import time
+
+    def seconds(n):
+        text = " ".join(f"{i:016x}" for i in range(n))
+        df = spark.createDataFrame([(1, text, text)], "doc_id long, _text string, text string")
+        t = time.time()
+        assert len(secrets.with_spans(df, markov).select("_spans").first()._spans) == n
+        return time.time() - t
+
+    seconds(100)
+    assert seconds(32_000) < 90
+
+
 def test_redacted(spark, odd_docs):
     got = secrets.redacted(odd_docs)
     assert got.columns == odd_docs.columns and got.count() == odd_docs.count()
