@@ -375,7 +375,7 @@ def test_copies_are_no_boilerplate(spark):
 
 def test_sentencepiece(spark, odd_docs, no_docs, sf):
     for df in tables(odd_docs, spark, sf):
-        got = sentencepieces.encoding_digests(df, parity_of=1).collect()
+        got = sentencepieces.encoding_digests(df).collect()
         assert len(got) == df.count() and all(r.parity and r.round_trip for r in got)
     ids = sentencepieces.encoded(odd_docs)
     back = {r.doc_id: r.text for r in sentencepieces.decoded(ids).collect()}
@@ -383,6 +383,24 @@ def test_sentencepiece(spark, odd_docs, no_docs, sf):
     assert sentencepieces.encoding_digests(no_docs).count() == 0
 
 
+def test_parity_of_parts_is_that_of_whole_texts(spark, odd_docs, sf):
+    """The original library's ids of whole texts are those of the codec, and a wrong codec is found out."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    odd = ["", " ", "  two  spaces ", "\ttab\nline", "\u2581mark \u2581 x", "\u00e9\u0301 \ufb01 \u3000wide", "emoji \U0001f600\u200d", "\x00nul", "a" * 3000]
+    texts = [t for df in tables(odd_docs, spark, sf) for _, t in source(df)] + odd
+    for text, (ids, _, parity) in zip(texts, sentencepieces.load(sentencepieces.MODEL).encode(texts, True), strict=True):
+        assert parity == (sp.encode(text) == ids), text[:80]
+    codec = sentencepieces.Codec(sentencepieces.MODEL)
+    wrong = list(codec.spec["pieces"])
+    at = next(i for i, x in enumerate(wrong) if x[0] == "\u2581the")
+    wrong[at] = ("\u2581zqxzqx", *wrong[at][1:])
+    codec.spec = codec.spec | {"pieces": wrong}
+    codec.bare = sentencepieces.build(codec.spec | {"prefix": False, "escape": False, "squeeze": False, "charsmap": b""})
+    assert [x[2] for x in codec.encode(["of the thing", "of a thing"], True)] == [False, True]
+
+
 def test_query_checks_parity_of_every_text(spark, sf):
     from voxframe.llm import queries
 

@@ -2,7 +2,9 @@
 
 The model's protobuf is parsed here; its normaliser, the metaspace mark, the piece scores (unigram) or the merges
 they imply (BPE), and byte fallback are rebuilt for the backend, which encodes batches on several threads. The
-original library is only used to verify parity.
+original library is only used to verify parity, of every text: where no piece goes on past a mark, a text's ids are
+those of its parts, so the original library's ids are compared for each part that a task meets, once, and its
+normaliser's result for each whole text; where pieces do, whole texts are encoded by both.
 """
 
 from __future__ import annotations
@@ -16,8 +18,11 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from voxframe.llm.common import in_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # Kinds of pieces and models in the public protobuf.
@@ -27,8 +32,8 @@ UNIGRAM, BPE = 1, 2
 BATCH_CHARS = 400_000
 THREADS = 2
 PARTS = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
-#: Parts of texts that a worker remembers with their ids.
-CACHE = 400_000
+#: Parts of texts that a task remembers with their ids.
+CACHE = 150_000
 
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
@@ -141,7 +146,23 @@ class Codec:
 
             self.bare.normalizer = normalizers.Sequence([])
         self.parts = re.compile(PARTS) if parts_at_marks(self.spec) else None
-        self.met: dict[str, tuple[list[int], bool]] = {}
+        self.path = path
+        self.met: dict[str, tuple[list[int], bool, bool]] = {}
+
+    @cached_property
+    def original(self):  # noqa: ANN201
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=self.path)
+
+    def agreed(self, parts: list[str], ids: list[list[int]]) -> list[bool]:
+        """Whether the original library gives each part the same ids. Its own prefix stands for a part's first mark."""
+        prefix = self.spec["prefix"]
+        shown = [p.replace(MARK, " ") for p in parts]
+        theirs = self.original.encode([t[1:] if prefix and t[:1] == " " else t for t in shown], num_threads=1)
+        x = self.original.encode("x")  # a lone prefix is no text, so marks alone are encoded after another word
+        theirs = [self.original.encode("x" + t)[len(x) :] if not t.strip(" ") else i for i, t in zip(theirs, shown, strict=True)]
+        return [i == x and (not prefix or t[:1] == " ") for i, x, t in zip(ids, theirs, shown, strict=True)]
 
     def _many(self, tok, texts: list[str]) -> Iterator[list[int]]:  # noqa: ANN001
         many = getattr(tok, "encode_batch_fast", tok.encode_batch)
@@ -154,38 +175,44 @@ class Codec:
                 part, size = [], 0
         yield from (e.ids for e in many(part, add_special_tokens=False))
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
-        """For each text its ids, and whether decoding them gives it back."""
+    def encode(self, texts: list[str], verify: bool = False) -> list[tuple[list[int], bool, bool | None]]:
+        """For each text its ids, whether decoding them gives it back, and (to verify) whether the original library agrees."""
         if self.parts is None:
             ids = list(self._many(self.tok, texts))
-            return [(i, b == t) for i, b, t in zip(ids, self.tok.decode_batch(ids, skip_special_tokens=False), texts, strict=True)]
-        split = [self.parts.findall(self.normal(t)) if t else [] for t in texts]
+            back = self.tok.decode_batch(ids, skip_special_tokens=False)
+            same = [i == x for i, x in zip(ids, self.original.encode(texts, num_threads=1), strict=True)] if verify else [None] * len(texts)
+            return [(i, b == t, x) for i, b, t, x in zip(ids, back, texts, same, strict=True)]
+        normal = [self.normal(t) if t else "" for t in texts]
+        split = [self.parts.findall(t) for t in normal]
         if len(self.met) > CACHE:
             self.met.clear()
         met = self.met
         new = list({p for parts in split for p in parts if p not in met})
         if new:
             ids = list(self._many(self.bare, new))
+            same = self.agreed(new, ids) if verify else [True] * len(new)
             plain = self.plain
             odd = []
-            for p, i in zip(new, ids, strict=True):
+            for p, i, x in zip(new, ids, same, strict=True):
                 ok = "".join([plain[x] for x in i]) == p
-                met[p] = i, ok
+                met[p] = i, ok, x
                 if not ok:
                     odd.append(p)
             if odd:  # bytes: a filler before each part keeps the decoder from taking the first mark for the text's prefix
                 for p, b in zip(odd, self.bare.decode_batch([self.filler + met[p][0] for p in odd], skip_special_tokens=False), strict=True):
-                    met[p] = met[p][0], b[self.filler_chars :] == p.replace(MARK, " ")
+                    met[p] = met[p][0], b[self.filler_chars :] == p.replace(MARK, " "), met[p][2]
         out = []
-        for text, parts in zip(texts, split, strict=True):
+        for text, whole, parts in zip(texts, normal, split, strict=True):
             row: list[int] = []
-            good = True
+            good = same = True
             for p in parts:
-                i, ok = met[p]
+                i, ok, x = met[p]
                 row += i
                 good &= ok
-            shown = "".join(parts).replace(MARK, " ")
-            out.append((row, good and (shown[1:] if self.spec["prefix"] and shown[:1] == " " else shown) == text))
+                same &= x
+            shown = whole.replace(MARK, " ")
+            parity = (same and (not text or self.original.normalize(text) == whole)) if verify else None
+            out.append((row, good and (shown[1:] if self.spec["prefix"] and shown[:1] == " " else shown) == text, parity))
         return out
 
     def normal(self, text: str) -> str:
@@ -221,65 +248,78 @@ def load(path: str) -> Codec:
 
 
 def encode_texts(texts: list[str], path: str = MODEL) -> list[list[int]]:
-    return [ids for ids, _ in load(path).encode(texts)]
+    return [ids for ids, _, _ in load(path).encode(texts)]
 
 
 def decode_ids(ids: list[list[int]], path: str = MODEL) -> list[str]:
     return load(path).tok.decode_batch(ids, skip_special_tokens=False)
 
 
-def _encode_rows(path: str, digests: bool, parity_of: int):
+def forget() -> None:
+    """Drops what workers remember of texts; the models stay."""
+    for codec in _LOADED.values():
+        codec.met.clear()
+
+
+def _encode_rows(path: str, digests: bool, parity: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load(path)
-        check = None
-        for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                texts = [t.encode("utf-8", "replace").decode() for t in texts]
-                got = codec.encode(texts)
-                ids = [x for x, _ in got]
-                if not digests:
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-                    continue
-                same: list[bool | None] = [None] * len(texts)
-                if parity_of:
-                    if check is None:
-                        import sentencepiece
-
-                        check = sentencepiece.SentencePieceProcessor(model_file=path)
-                    at = [i for i, t in enumerate(texts) if parity_of == 1 or int(hashlib.blake2b(t.encode(), digest_size=4).hexdigest(), 16) % parity_of == 0]
-                    for i, shown in zip(at, decode_ids([ids[i] for i in at], path), strict=True):
-                        same[i] = check.encode(texts[i], num_threads=1) == ids[i] and (shown == texts[i]) == got[i][1]
-                marks = [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(marks, pa.string()), pa.array([ok for _, ok in got]), pa.array(same, pa.bool_())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "round_trip", "parity"],
-                )
+        codec = load(_shipped(path))
+        for part in batches:
+            texts = [(t or "").encode("utf-8", "replace").decode() for t in part.column(1).to_pylist()]
+            got = codec.encode(texts, parity)
+            ids = [x[0] for x in got]
+            if not digests:
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                continue
+            marks = [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(marks, pa.string()), pa.array([x[1] for x in got]), pa.array([x[2] for x in got], pa.bool_())],
+                names=["doc_id", "n_tokens", "ids_sha256", "round_trip", "parity"],
+            )
 
     return rows
 
 
+def _ship(df: DataFrame, path: str) -> None:
+    """Gives the model file to the executors, whose disks may not have it."""
+    sc = df.sparkSession.sparkContext
+    if (sc.applicationId, path) not in _SENT:
+        sc.addFile(path)
+        _SENT.add((sc.applicationId, path))
+
+
+_SENT: set[tuple[str, str]] = set()
+
+
+def _shipped(path: str) -> str:
+    own = SparkFiles.get(os.path.basename(path))
+    return own if os.path.exists(own) else path
+
+
 def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, ids of each row of docs. Null texts give no ids; an empty table gives an empty result; other columns are not looked at."""
-    return docs.select("doc_id", "text").mapInArrow(_encode_rows(path, False, 0), "doc_id long, ids array<int>")
+    """doc_id, ids of each row of docs. Null texts give no ids; rows alike get equal ids; an empty table gives an empty result; other columns are not looked at."""
+    _ship(docs, path)
+    return in_batches(docs.select("doc_id", "text"), _encode_rows(path, False, False), "doc_id long, ids array<int>", forget)
 
 
-def encoding_digests(docs: DataFrame, path: str = MODEL, parity_of: int = 8) -> DataFrame:
+def encoding_digests(docs: DataFrame, path: str = MODEL, parity: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, round_trip (the decoded ids are the text), parity of each row of docs.
 
-    parity compares the ids with the original library's, and round_trip with a decoding of the whole, for one text in `parity_of`, chosen by its hash, and is
-    null for the others; 1 compares all.
+    parity says whether the original library gives the text the same ids; it is null without `parity`. Null texts are
+    empty and have no ids; rows alike get rows alike; an empty table gives an empty result; other columns are not
+    looked at.
     """
-    return docs.select("doc_id", "text").mapInArrow(_encode_rows(path, True, parity_of), "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean, parity boolean")
+    _ship(docs, path)
+    return in_batches(docs.select("doc_id", "text"), _encode_rows(path, True, parity), "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean, parity boolean", forget)
 
 
 def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, text of rows (doc_id, ids)."""
+    """doc_id, text of rows (doc_id, ids). Null and empty ids give an empty text; no rows give no rows; repeated rows repeat."""
+    _ship(rows, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = [x or [] for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(decode_ids(ids, path), pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(decode_ids(ids, _shipped(path)), pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return in_batches(rows.select("doc_id", "ids"), run, "doc_id long, text string")
