@@ -12,15 +12,15 @@ texts of all documents:
    LPF array say which of their strings occur earlier in another piece, and where.
 3. Anchors with more than GROUP_BYTES of different pieces are resolved as rows instead, one for each string.
 
-Passages of so many words are found the same way, in texts whose words are written as hashes of WORD_BYTES: a string
-of whole words there is one of equal words, whatever their length and the white space between them.
+Passages of so many words are found the same way, in texts whose symbols are hashes of words instead of bytes: a string
+there is one of equal words, whatever their length and the white space between them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,8 @@ from pyspark.sql import Window as W
 from voxframe.llm.common import checked_broadcast, fresh, hot_join, in_batches, shuffle_partitions, staged, words_of
 
 MIN_BYTES = 400
-GRAM = 64
+#: Symbols of an anchor, in bytes and in words.
+GRAM, WORD_GRAM = 64, 12
 #: Bytes that stand for a word where passages are counted in words.
 WORD_BYTES = 8
 #: Different pieces of one anchor that one task compares, in bytes; beyond, their strings are compared as rows.
@@ -53,7 +54,7 @@ def text_bytes(text: str) -> bytes:
 
 
 def word_bytes(text: str) -> bytes:
-    """The words of a text, each as WORD_BYTES of its hash; places in it that aren't whole words match by chance only."""
+    """The words of a text, each as WORD_BYTES of its hash."""
     out = []
     for w in words_of(text):
         h = _WORDS.get(w)
@@ -65,8 +66,12 @@ def word_bytes(text: str) -> bytes:
     return b"".join(out)
 
 
+def symbols(raw: bytes, words: bool = False) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64 if words else np.uint8)
+
+
 def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of each string of `length` bytes, by doubling: no pass depends on the length more than in its logarithm."""
+    """A 64-bit hash of each string of `length` symbols, by doubling: no pass depends on the length more than in its logarithm."""
     with np.errstate(over="ignore"):
         h, size = data.astype(np.uint64) + _U(1), 1
         out, have, at = None, 0, 0
@@ -96,55 +101,61 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def runs_of(data: np.ndarray, min_bytes: int = MIN_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(data: np.ndarray, least: int = MIN_BYTES, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, first start, number of starts, and whether the anchor comes twice, of each run of a text.
 
     Only where it comes twice can the run hold a string twice itself.
     """
-    if len(data) < min_bytes:
+    if len(data) < least:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
-    gram = min(GRAM, min_bytes)
+    gram = min(gram, least)
     grams = window_hashes(data, gram)
-    low = sliding_min(grams, min_bytes - gram + 1)
+    low = sliding_min(grams, least - gram + 1)
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     starts = np.diff(np.append(first, len(low)))
-    spans = zip(first.tolist(), (first + starts + (min_bytes - gram)).tolist(), low[first], strict=True)
-    twice = np.fromiter((np.count_nonzero(grams[a:b] == v) > 1 for a, b, v in spans), bool, len(first))
+    # Places of the anchor within a run: those of equal hashes between its first and its last gram, counted by ranks.
+    order = np.argsort(grams, kind="stable")
+    key = grams[order]
+    lo, hi = np.searchsorted(key, low[first], "left"), np.searchsorted(key, low[first], "right")
+    twice = hi - lo > 1
+    for i in np.flatnonzero(twice):
+        at = order[lo[i] : hi[i]]
+        twice[i] = np.searchsorted(at, first[i] + starts[i] + least - gram) - np.searchsorted(at, first[i]) > 1
     return low[first].view(np.int64), first, starts, twice
 
 
-def _run_rows(min_bytes: int, code: Callable[[str], bytes]):
+def _run_rows(least: int, words: bool):
     names = ["v", "s", "uid", "doc_id", "lo", "starts", "twice"]
+    code, width, gram = (word_bytes, WORD_BYTES, WORD_GRAM) if words else (text_bytes, 1, GRAM)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                v, s, u, d, lo, n, w = [], [], [], [], [], [], []
-                for uid, doc, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    raw = code(text)
-                    anchors, first, starts, twice = runs_of(np.frombuffer(raw, np.uint8), min_bytes)
-                    v.append(anchors)
-                    lo.append(first)
-                    n.append(starts)
-                    w.append(twice)
-                    for x, k in zip(first.tolist(), starts.tolist(), strict=True):
-                        s.append(hashlib.blake2b(raw[x : x + k + min_bytes - 1], digest_size=8).digest())
-                    u += [uid] * len(first)
-                    d += [doc] * len(first)
-                if s:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(v)), pa.array(np.frombuffer(b"".join(s), np.int64)), pa.array(u, pa.int64()), pa.array(d, pa.int64()), pa.array(np.concatenate(lo), pa.int64()), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(w))],
-                        names=names,
-                    )
+            v, s, u, d, lo, n, w = [], [], [], [], [], [], []
+            for uid, doc, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                raw = code(text)
+                anchors, first, starts, twice = runs_of(symbols(raw, words), least, gram)
+                v.append(anchors)
+                lo.append(first)
+                n.append(starts)
+                w.append(twice)
+                for x, k in zip(first.tolist(), starts.tolist(), strict=True):
+                    s.append(hashlib.blake2b(raw[width * x : width * (x + k + least - 1)], digest_size=8).digest())
+                u += [uid] * len(first)
+                d += [doc] * len(first)
+            if s:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(v)), pa.array(np.frombuffer(b"".join(s), np.int64)), pa.array(u, pa.int64()), pa.array(d, pa.int64()), pa.array(np.concatenate(lo), pa.int64()), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(w))],
+                    names=names,
+                )
 
     return rows
 
 
 def suffix_ranks(data: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of every suffix among those of all groups, by group and then by its first `depth` bytes; equal ones share a rank."""
+    """Rank of every suffix among those of all groups, by group and then by its first `depth` symbols; equal ones share a rank."""
     n = len(data)
-    rank = np.unique((group.astype(np.int64) << 9) | data.astype(np.int64), return_inverse=True)[1].astype(np.int64)
+    dense = data if data.dtype == np.uint8 else np.unique(data, return_inverse=True)[1]
+    rank = np.unique(group.astype(np.int64) * (int(dense.max(initial=0)) + 1) + dense.astype(np.int64), return_inverse=True)[1].astype(np.int64)
     size = 1
     while size < depth:
         step = min(size, depth - size)
@@ -190,11 +201,11 @@ def _ranges(flags: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def compare(pieces: list[tuple[int, bytes]], min_bytes: int = MIN_BYTES) -> list[tuple[np.ndarray, np.ndarray]]:
+def compare(pieces: list[tuple[int, bytes]], min_bytes: int = MIN_BYTES, words: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
     """For every piece (group, bytes), flags over its starts: has a twin in its group; occurs earlier in its group."""
-    sizes = [len(p) for _, p in pieces]
+    data = symbols(b"".join(p for _, p in pieces), words)
+    sizes = [len(p) // data.itemsize for _, p in pieces]
     ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
     group = np.repeat(np.array([g for g, _ in pieces]), sizes)
     valid = np.ones(len(data), bool)
     for e in ends:
@@ -222,12 +233,12 @@ def compare(pieces: list[tuple[int, bytes]], min_bytes: int = MIN_BYTES) -> list
 _FOUND = "v long, s long, twins array<struct<a:int,b:int>>, laters array<struct<a:int,b:int>>"
 
 
-def _compare_rows(min_bytes: int):
+def _compare_rows(min_bytes: int, words: bool):
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids: dict[int, int] = {}
-        got = compare([(ids.setdefault(v, len(ids)), piece) for v, _, piece in rows], min_bytes)
+        got = compare([(ids.setdefault(v, len(ids)), piece) for v, _, piece in rows], min_bytes, words)
         out = [(v, s, _ranges(t), _ranges(x)) for (v, s, _), (t, x) in zip(rows, got, strict=True) if t.any()]
         if out:
             v, s, t, x = zip(*out, strict=True)
@@ -251,7 +262,9 @@ def _compare_rows(min_bytes: int):
     return rows
 
 
-def _cut_pieces(min_bytes: int, code: Callable[[str], bytes]):
+def _cut_pieces(min_bytes: int, words: bool):
+    code, width = (word_bytes, WORD_BYTES) if words else (text_bytes, 1)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, s, doc, lo, piece, wide = [], [], [], [], [], []
@@ -263,21 +276,21 @@ def _cut_pieces(min_bytes: int, code: Callable[[str], bytes]):
                     doc.append(x["doc_id"])
                     lo.append(x["lo"])
                     wide.append(x["wide"])
-                    piece.append(raw[x["lo"] : x["lo"] + x["starts"] + min_bytes - 1])
+                    piece.append(raw[width * x["lo"] : width * (x["lo"] + x["starts"] + min_bytes - 1)])
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(s, pa.int64()), pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(piece, pa.binary()), pa.array(wide, pa.bool_())], names=["v", "s", "doc_id", "lo", "piece", "wide"])
 
     return cut
 
 
-def _string_rows(min_bytes: int):
+def _string_rows(min_bytes: int, words: bool):
     """Every string of a piece as a row: its start, and 128 bits of hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for v, s, doc, lo, piece in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                data = np.frombuffer(piece, np.uint8)
+                data = symbols(piece, words)
                 one = window_hashes(data, min_bytes)
-                two = window_hashes(255 - data, min_bytes) * _U(0xD6E8FEB86659FD93)
+                two = window_hashes(~data, min_bytes) * _U(0xD6E8FEB86659FD93)
                 n = len(one)
                 k = lambda x, n=n: pa.array([x] * n, pa.int64())
                 yield pa.RecordBatch.from_arrays([k(v), k(s), k(doc), k(lo), pa.array(np.arange(n, dtype=np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["v", "s", "doc_id", "lo", "o", "h", "k"])
@@ -285,9 +298,9 @@ def _string_rows(min_bytes: int):
     return rows
 
 
-def _wide_groups(pieces: DataFrame, min_bytes: int) -> DataFrame:
+def _wide_groups(pieces: DataFrame, min_bytes: int, words: bool) -> DataFrame:
     """As _compare_rows, for anchors with too many different pieces for one task: strings meet by their hashes."""
-    rows = staged(in_batches(pieces, _string_rows(min_bytes), "v long, s long, doc_id long, lo long, o int, h long, k long"), "passages-strings")
+    rows = staged(in_batches(pieces, _string_rows(min_bytes, words), "v long, s long, doc_id long, lo long, o int, h long, k long"), "passages-strings")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "lo", "s", "o")
     met = staged(rows.groupBy("h", "k").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).filter("_n > 1"), "passages-met")
     hit = hot_join(rows, met, ["h", "k"], "_n").select("v", "s", "o", (place != F.col("_first")).alias("later"))
@@ -305,12 +318,15 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "non
     """uid, doc_id, spans of the rows of docs (doc_id, text, uid) that lose bytes; spans (a, b) may overlap.
 
     keep "none": every place of a string that starts twice goes. keep "first": all but its first place, by
-    doc_id and position, goes. With `words`, strings and spans are those of word_bytes.
+    doc_id and position, goes. With `words`, min_bytes counts words, and spans are those of words.
     """
     spark = docs.sparkSession
-    code, least = (word_bytes, 2 * min_bytes // WORD_BYTES - 1) if words else (text_bytes, min_bytes)
+    least = 2 * min_bytes - 1 if words else min_bytes
     runs = docs.filter(F.octet_length("text") >= least).select("uid", "doc_id", "text")
-    runs = staged(in_batches(runs, _run_rows(min_bytes, code), "v long, s long, uid long, doc_id long, lo long, starts long, twice boolean", _WORDS.clear), "passages-runs")
+    runs = staged(in_batches(runs, _run_rows(min_bytes, words), "v long, s long, uid long, doc_id long, lo long, starts long, twice boolean", _WORDS.clear), "passages-runs")
+    # Most anchors come once: from here on only runs count whose anchor comes again, in another run or twice in its own.
+    again = runs.groupBy("v").agg(F.count("*").alias("all"), F.max("twice").alias("any")).filter("all > 1 or any").select("v", "all")
+    runs = staged(hot_join(runs, staged(again, "passages-again"), ["v"], "all").drop("all"), "passages-shared")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid", "lo")
     same = runs.groupBy("v", "s").agg(F.count("*").alias("n"), F.min(place).alias("at"), F.max("starts").alias("starts"), F.max("twice").alias("twice"))
     same = staged(same, "passages-digests")
@@ -323,14 +339,14 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "non
     want = staged(want, "passages-want")
     hit = docs.join(checked_broadcast(want, size=64 * F.size("wanted")), (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     schema = "v long, s long, doc_id long, lo long, piece binary, wide boolean"
-    pieces = in_batches(hit.select("text", "wanted"), _cut_pieces(min_bytes, code), schema, _WORDS.clear)
+    pieces = in_batches(hit.select("text", "wanted"), _cut_pieces(min_bytes, words), schema, _WORDS.clear)
     any_wide = same.filter(F.col("size") > GROUP_BYTES).filter("mixed").limit(1).count() > 0
     if any_wide:
         pieces = staged(pieces, "passages-pieces")
     flat = pieces.filter("not wide").repartition(4 * shuffle_partitions(spark), "v").sortWithinPartitions("v", F.col("doc_id").isNull(), "doc_id", "lo")
-    found = in_batches(flat.select("v", "s", "piece"), _compare_rows(min_bytes), _FOUND)
+    found = in_batches(flat.select("v", "s", "piece"), _compare_rows(min_bytes, words), _FOUND)
     if any_wide:
-        found = found.unionByName(_wide_groups(pieces.filter("wide").dropDuplicates(["v", "s"]), min_bytes))
+        found = found.unionByName(_wide_groups(pieces.filter("wide").dropDuplicates(["v", "s"]), min_bytes, words))
     found = staged(found, "passages-found")
     none = F.array().cast("array<struct<a:int,b:int>>")
     hits = same.join(found, ["v", "s"], "left").filter("n > 1 or twins is not null").select(
@@ -371,8 +387,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, spans, words in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             raw = text_bytes(text)
             m = merged(spans)
-            whole = [(-(-x // WORD_BYTES), y // WORD_BYTES) for x, y in merged(words)]
-            out.append((len(raw), sum(y - x for x, y in m), len(m), hashlib.sha256(cut_text(raw, m)).hexdigest(), sum(max(0, y - x) for x, y in whole)))
+            out.append((len(raw), sum(y - x for x, y in m), len(m), hashlib.sha256(cut_text(raw, m)).hexdigest(), sum(y - x for x, y in merged(words))))
         n, r, k, h, w = zip(*out, strict=True) if out else ((),) * 5
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int64()), pa.array(h, pa.string()), pa.array(w, pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
 
@@ -383,11 +398,11 @@ def _with_uid(docs: DataFrame) -> DataFrame:
 
 
 def _spans(own: DataFrame, min_bytes: int, keep: str, min_words: int | None) -> DataFrame:
-    """_uid, _doc, spans (of bytes), words (spans of word_bytes; none without min_words), staged."""
+    """_uid, _doc, spans (of bytes), words (spans of words; none without min_words), staged."""
     none = F.array().cast("array<struct<a:int,b:int>>")
     spans = repeated_spans(own, min_bytes, keep).withColumn("words", none)
     if min_words:
-        more = repeated_spans(own, min_words * WORD_BYTES, keep, words=True)
+        more = repeated_spans(own, min_words, keep, words=True)
         both = spans.unionByName(more.select("uid", "doc_id", none.alias("spans"), F.col("spans").alias("words")))
         spans = both.groupBy("uid", "doc_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "words")])
     return staged(spans.select(F.col("uid").alias("_uid"), F.col("doc_id").alias("_doc"), "spans", "words"), "passages-spans")
@@ -422,10 +437,9 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
 
 
 def word_spans(raw: bytes, spans: list[tuple[int, int]]) -> list[dict]:
-    """Spans of word_bytes as spans of the text's bytes, from the first word to the end of the last one."""
-    at = [m.span() for m in _WORD.finditer(raw)]
-    whole = [(-(-a // WORD_BYTES), b // WORD_BYTES) for a, b in spans]
-    return [{"a": at[i][0], "b": at[j - 1][1]} for i, j in whole if i < j]
+    """Spans of words as spans of the text's bytes, from the first word to the end of the last one."""
+    at = [m.span() for m in _WORD.finditer(raw)] if spans else []
+    return [{"a": at[a][0], "b": at[b - 1][1]} for a, b in spans]
 
 
 def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "first", min_words: int | None = None) -> DataFrame:
