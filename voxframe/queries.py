@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxframe import filter_sql
+from voxframe.functions.filters import LOW_PASS
 from voxframe.functions.intensity import HISTOGRAM, INTENSITY, IVH
 from voxframe.functions.texture import DIRECTIONS, NAMES, NEIGHBOURS
 from voxframe.operators import geometry, lattice, metadata, results, stats, steps
@@ -228,6 +230,73 @@ def ivh_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got).withColumn("auc", F.round("auc", 4))
 
 
+def _volume_statistics_sql(source: str, more: str = "", extra: str = "") -> str:
+    """The 18 statistics of every volume's values, as the runner names them; `more` adds CTEs, `extra` columns."""
+    inner = _first_order_sql(source, "volume_id", "v")
+    head = inner[: inner.rindex("SELECT k AS region")]
+    cols = {
+        "mean": "mean", "var": "var", "skew": "m3 / nullif(var, 0) ** 1.5", "kurt": "m4 / nullif(var, 0) ** 2 - 3", "median": "med", "min": "lo", "p10": "p10", "p90": "p90", "max": "hi", "iqr": "p75 - p25",
+        "range": "hi - lo", "mad": "mad", "rmad": "rmad", "medad": "medad", "cov": "sqrt(var) / mean", "qcod": "(p75 - p25) / (p75 + p25)", "energy": "energy", "rms": "sqrt(energy / n)",
+    }
+    keep = INTENSITY if not extra else {k: None for k in cols if k != "energy" and k != "rms"}
+    return f"{head.rstrip()}{more} SELECT k AS volume_id, {', '.join(f'round({cols[c]}, 6) + 0.0 AS {c}_' for c in keep)}{extra} FROM q JOIN m USING (k) JOIN r USING (k)"
+
+
+def _run_features(spark: SparkSession, sf_dir: str, first: list[dict], family: str, names: dict[str, str], params: dict | None = None) -> DataFrame:
+    """The runner's features of one family, one row for each volume; columns end in _ since some are SQL words.
+
+    A coefficient whose denominator is next to nothing is left out on both sides by its size.
+    """
+    config = Config([*first, {"step": "extract_features", "params": {"families": [family], **(params or {})}}])
+    long = run.run(embedding_volumes(spark, sf_dir), {"c": config})
+    got = long.groupBy(F.col("subject_id").cast("long").alias("volume_id")).agg(*[F.max(F.when(F.col("feature_name") == n, F.col("value"))).alias(f"{k}_") for k, n in names.items()])
+    return got.select("volume_id", *[(F.round(F.col(f"{k}_") + NUDGE, 6) + 0.0).alias(f"{k}_") for k in names])
+
+
+@query(_volume_statistics_sql("(SELECT vec_id AS volume_id, unnest(embedding) AS v FROM embeddings)"), nudge=True)
+def run_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_features(spark, sf_dir, [], "intensity", INTENSITY)
+
+
+_COUNTS = """, c AS (SELECT k, v AS g, count(*) AS c FROM d GROUP BY ALL), e AS (SELECT k, -sum(c / 64 * log2(c / 64)) AS entropy, sum((c / 64) ** 2) AS uniformity, CAST(arg_max(g, c * 100 - g) AS DOUBLE) AS mode FROM c GROUP BY k),
+f AS (SELECT i.k, CAST(b.range AS DOUBLE) AS g, coalesce(c, 0) AS c FROM (SELECT DISTINCT k FROM c) i CROSS JOIN range(1, 9) b LEFT JOIN c ON c.k = i.k AND c.g = b.range),
+s AS (SELECT k, g, CASE WHEN g = 1 THEN lead(c) OVER w - c WHEN g = 8 THEN c - lag(c) OVER w ELSE (lead(c) OVER w - lag(c) OVER w) / 2 END AS s FROM f WINDOW w AS (PARTITION BY k ORDER BY g)),
+x AS (SELECT k, max(s) AS up, min(s) AS down, min(g) AS g0 FROM s GROUP BY k),
+h AS (SELECT x.k, CAST(any_value(up) AS DOUBLE) AS up, CAST(any_value(down) AS DOUBLE) AS down, min(g) FILTER (s = up) AS up_at, min(g) FILTER (s = down) AS down_at FROM s JOIN x USING (k) GROUP BY x.k)"""
+_MORE = ", round((SELECT mode FROM e WHERE e.k = q.k), 6) + 0.0 AS mode_, round((SELECT entropy FROM e WHERE e.k = q.k), 6) + 0.0 AS entropy_, round((SELECT uniformity FROM e WHERE e.k = q.k), 6) + 0.0 AS uniformity_" + "".join(f", round((SELECT {a} FROM h WHERE h.k = q.k), 6) + 0.0 AS {b}_" for a, b in (("up", "max_grad"), ("up_at", "max_grad_at"), ("down", "min_grad"), ("down_at", "min_grad_at")))
+
+
+@query(_volume_statistics_sql(f"(WITH {_VOX}, {_FBN} SELECT volume_id, g AS v FROM fbn)", _COUNTS, _MORE), nudge=True)
+def run_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 23 histogram features of the runner."""
+    return _run_features(spark, sf_dir, [{"step": "discretise", "params": {"method": "FBN", "n_bins": 8}}], "histogram", HISTOGRAM)
+
+
+def _ivh_sql(values: str, dense: bool = False) -> str:
+    """The volume histogram of every volume of 64 values, by counting for each value those that aren't less; `dense`: intensities are taken from all bins, filled or not."""
+    grid = "SELECT volume_id, CAST(r.range AS DOUBLE) AS v FROM e, range(1, 9) r WHERE r.range BETWEEN lo AND hi" if dense else "SELECT DISTINCT volume_id, v FROM t"
+    return f"""WITH {values}, e AS (SELECT volume_id, min(v) AS lo, max(v) AS hi FROM t GROUP BY volume_id),
+h AS (SELECT a.volume_id, a.v, count(*) AS held FROM (SELECT DISTINCT volume_id, v FROM t) a JOIN t b ON a.volume_id = b.volume_id AND b.v >= a.v GROUP BY ALL),
+s AS (SELECT *, lag(v) OVER w AS pv, lag(held) OVER w AS ph FROM h WINDOW w AS (PARTITION BY volume_id ORDER BY v)),
+n AS (SELECT a.volume_id, a.v, count(*) AS held FROM ({grid}) a JOIN t b ON a.volume_id = b.volume_id AND b.v >= a.v GROUP BY ALL),
+i AS (SELECT volume_id, coalesce(min(v) FILTER (held <= 6), max(v)) AS i10, coalesce(min(v) FILTER (held <= 57), max(v)) AS i90 FROM n GROUP BY volume_id),
+u AS (SELECT s.volume_id, any_value(i10) AS i10, any_value(i90) AS i90, coalesce(sum((s.v - pv) * (held + ph) / 128), 0) AS auc FROM s JOIN i USING (volume_id) GROUP BY s.volume_id),
+f AS (SELECT volume_id, count(*) FILTER (v >= lo + 0.1 * (hi - lo)) / 64 AS v10, count(*) FILTER (v >= lo + 0.9 * (hi - lo)) / 64 AS v90 FROM t JOIN e USING (volume_id) GROUP BY volume_id)
+SELECT volume_id, round(v10, 6) + 0.0 AS v10_, round(v90, 6) + 0.0 AS v90_, round(v10 - v90, 6) + 0.0 AS vdiff_, round(i10, 6) + 0.0 AS i10_, round(i90, 6) + 0.0 AS i90_, round(i10 - i90, 6) + 0.0 AS idiff_, round(auc, 6) + 0.0 AS auc_ FROM u JOIN f USING (volume_id)"""
+
+
+@query(_ivh_sql("t AS (SELECT vec_id AS volume_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"), nudge=True)
+def run_ivh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runner's volume histogram of raw values."""
+    return _run_features(spark, sf_dir, [], "ivh", IVH, {"ivh_use_continuous": True})
+
+
+@query(_ivh_sql(f"{_VOX}, {_FBN}, t AS (SELECT volume_id, CAST(g AS DOUBLE) AS v FROM fbn)", dense=True), nudge=True)
+def run_ivh_of_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runner's volume histogram of bins."""
+    return _run_features(spark, sf_dir, [{"step": "discretise", "params": {"method": "FBN", "n_bins": 8}}], "ivh", IVH)
+
+
 # --- lattice -------------------------------------------------------------------------------------------------
 
 _PAIRS = f"pairs AS (SELECT a.volume_id, a.g AS i, b.g AS j FROM fbn a, {_offsets(DIRECTIONS)} JOIN fbn b ON b.volume_id = a.volume_id AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz)"
@@ -296,17 +365,25 @@ def _features(spark: SparkSession, sf_dir: str, families: list[str], keys: dict[
 
 
 @query(f"""{_GLCM}, p AS (SELECT volume_id, i, j, n / sum(n) OVER (PARTITION BY volume_id) AS p FROM m), u AS (SELECT volume_id, sum(i * p) AS mu FROM p GROUP BY volume_id),
-v AS (SELECT volume_id, sum((i - mu) ** 2 * p) AS var, any_value(mu) AS mu FROM p JOIN u USING (volume_id) GROUP BY volume_id)
-SELECT volume_id, round(max(p), 6) AS joint_maximum, round(any_value(mu), 6) AS joint_average, round(any_value(var), 6) AS joint_variance, round(-sum(p * log2(p)), 6) AS joint_entropy,
- round(sum(p * p), 6) AS energy, round(sum((i - j) ** 2 * p), 6) AS contrast, round(sum(abs(i - j) * p), 6) AS dissimilarity, round(sum(p / (1 + abs(i - j))), 6) AS inverse_difference,
- round(sum(p / (1 + (i - j) ** 2)), 6) AS inverse_difference_moment, round(sum((i - mu) * (j - mu) * p) / any_value(var), 6) + 0.0 AS correlation, round(sum(i * j * p), 6) AS autocorrelation,
- round(sum((i + j - 2 * mu) ** 3 * p), 6) + 0.0 AS cluster_shade, round(sum((i + j - 2 * mu) ** 4 * p), 6) AS cluster_prominence FROM p JOIN v USING (volume_id) GROUP BY volume_id""", nudge=True)
+l AS (SELECT volume_id, max(g) - min(g) + 1 AS levels FROM fbn GROUP BY volume_id),
+v AS (SELECT p.volume_id, sum((i - mu) ** 2 * p) AS var, any_value(mu) AS mu, any_value(levels) AS levels FROM p JOIN u USING (volume_id) JOIN l USING (volume_id) GROUP BY p.volume_id),
+d AS (SELECT volume_id, abs(i - j) AS k, sum(p) AS p FROM p GROUP BY ALL), dm AS (SELECT volume_id, sum(k * p) AS mean, -sum(p * log2(p)) AS entropy FROM d GROUP BY volume_id), dv AS (SELECT volume_id, sum((k - mean) ** 2 * p) AS var FROM d JOIN dm USING (volume_id) GROUP BY volume_id),
+s AS (SELECT volume_id, i + j AS k, sum(p) AS p FROM p GROUP BY ALL), sm AS (SELECT volume_id, sum(k * p) AS mean, -sum(p * log2(p)) AS entropy FROM s GROUP BY volume_id), sv AS (SELECT volume_id, sum((k - mean) ** 2 * p) AS var FROM s JOIN sm USING (volume_id) GROUP BY volume_id),
+x AS (SELECT volume_id, i, sum(p) AS p FROM p GROUP BY ALL), hx AS (SELECT volume_id, -sum(p * log2(p)) AS h FROM x GROUP BY volume_id),
+h1 AS (SELECT p.volume_id, -sum(p.p * log2(a.p * b.p)) AS h FROM p JOIN x a ON a.volume_id = p.volume_id AND a.i = p.i JOIN x b ON b.volume_id = p.volume_id AND b.i = p.j GROUP BY p.volume_id),
+h2 AS (SELECT a.volume_id, -sum(a.p * b.p * log2(a.p * b.p)) AS h FROM x a JOIN x b ON a.volume_id = b.volume_id GROUP BY a.volume_id),
+w AS (SELECT volume_id, max(p) AS joint_maximum, any_value(mu) AS joint_average, any_value(var) AS joint_variance, -sum(p * log2(p)) AS joint_entropy,
+ sum(p * p) AS energy, sum((i - j) ** 2 * p) AS contrast, sum(abs(i - j) * p) AS dissimilarity, sum(p / (1 + abs(i - j))) AS inverse_difference, sum(p / (1 + abs(i - j) / levels)) AS normalised_inverse_difference,
+ sum(p / (1 + (i - j) ** 2)) AS inverse_difference_moment, sum(p / (1 + (i - j) ** 2 / levels ** 2)) AS normalised_inverse_difference_moment, sum(p / (i - j) ** 2) FILTER (i <> j) AS inverse_variance,
+ sum((i - mu) * (j - mu) * p) / any_value(var) AS correlation, sum(i * j * p) AS autocorrelation, sum((i + j - 2 * mu) ** 2 * p) AS cluster_tendency,
+ sum((i + j - 2 * mu) ** 3 * p) AS cluster_shade, sum((i + j - 2 * mu) ** 4 * p) AS cluster_prominence FROM p JOIN v USING (volume_id) GROUP BY volume_id)
+SELECT w.volume_id, {", ".join(f"round(w.{c}, 6) + 0.0 AS {c}" for c in ("joint_maximum", "joint_average", "joint_variance", "joint_entropy", "energy", "contrast", "dissimilarity", "inverse_difference", "normalised_inverse_difference", "inverse_difference_moment", "normalised_inverse_difference_moment", "inverse_variance", "correlation", "autocorrelation", "cluster_tendency", "cluster_shade", "cluster_prominence"))},
+ round(dm.mean, 6) + 0.0 AS difference_average, round(dv.var, 6) + 0.0 AS difference_variance, round(dm.entropy, 6) + 0.0 AS difference_entropy, round(sm.mean, 6) + 0.0 AS sum_average, round(sv.var, 6) + 0.0 AS sum_variance, round(sm.entropy, 6) + 0.0 AS sum_entropy,
+ round((joint_entropy - h1.h) / hx.h, 6) + 0.0 AS information_correlation_1, round(sqrt(1 - exp(-2 * (h2.h - joint_entropy))), 6) + 0.0 AS information_correlation_2
+FROM w JOIN dm USING (volume_id) JOIN dv USING (volume_id) JOIN sm USING (volume_id) JOIN sv USING (volume_id) JOIN hx USING (volume_id) JOIN h1 USING (volume_id) JOIN h2 USING (volume_id)""", nudge=True)
 def glcm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _features(spark, sf_dir, ["glcm"], {
-        "joint_maximum_GYBY": "joint_maximum", "joint_average_60VM": "joint_average", "joint_variance_UR99": "joint_variance", "joint_entropy_TU9B": "joint_entropy", "angular_second_moment_8ZQL": "energy",
-        "contrast_ACUI": "contrast", "dissimilarity_8S9J": "dissimilarity", "inverse_difference_IB1Z": "inverse_difference", "inverse_difference_moment_WF0Z": "inverse_difference_moment",
-        "correlation_NI2N": "correlation", "autocorrelation_QWB0": "autocorrelation", "cluster_shade_7NFM": "cluster_shade", "cluster_prominence_AE86": "cluster_prominence",
-    })
+    """All 25 features."""
+    return _features(spark, sf_dir, ["glcm"], {k: "energy" if k.startswith("angular") else k.rsplit("_", 1)[0] for k in catalogue.GLCM})
 
 
 def _emphasis_sql(matrix: str, voxels: str) -> str:
@@ -392,15 +469,18 @@ def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.resample(voxels(embedding_volumes(spark, sf_dir)), (4, 4, 4), (1.0,) * 3, (0.5,) * 3, "nearest").select("volume_id", "x", "y", "z", (F.col("v") + 0.0).alias("v"))
 
 
-@query()
+_CUBIC = f"(WITH {', '.join([_VOX, filter_sql.grid(), *filter_sql.cubic_ctes('vox', 'out')])} SELECT volume_id, v FROM out)"
+
+
+@query(_volume_statistics_sql(_CUBIC), nudge=True)
 def resample_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intensity features after cubic resampling; splines have no form in SQL."""
-    c = Config([{"step": "resample", "params": {"new_spacing": [0.8, 0.8, 0.8], "interpolation": "cubic"}}, {"step": "extract_features", "params": {"families": ["intensity"]}}])
-    return run.run(embedding_volumes(spark, sf_dir), {"cubic": c})
+    """Intensity features after cubic resampling to 0.8."""
+    return _run_features(spark, sf_dir, [{"step": "resample", "params": {"new_spacing": [0.8, 0.8, 0.8], "interpolation": "cubic"}}], "intensity", INTENSITY)
 
 
-@query(f"""WITH {_VOX}, g AS (SELECT DISTINCT volume_id, a.range AS x, b.range AS y, c.range AS z FROM vox, range(4) a, range(4) b, range(4) c)
-SELECT g.volume_id, CAST(g.x AS INT) AS x, CAST(g.y AS INT) AS y, CAST(g.z AS INT) AS z, coalesce(v, -1.0) AS v FROM g LEFT JOIN vox ON vox.volume_id = g.volume_id AND vox.x + 2 = g.x AND vox.y - 1 = g.y AND vox.z = g.z""")
+@query(f"""WITH {_VOX}, i AS (SELECT vec_id AS volume_id FROM embeddings), g AS (SELECT volume_id, a.range AS x, b.range AS y, c.range AS z FROM i, range(4) a, range(4) b, range(4) c),
+moved AS (SELECT volume_id, x + 2 AS x, y - 1 AS y, z, v FROM vox)
+SELECT g.volume_id, CAST(g.x AS INT) AS x, CAST(g.y AS INT) AS y, CAST(g.z AS INT) AS z, coalesce(v, -1.0) AS v FROM g LEFT JOIN moved ON moved.volume_id = g.volume_id AND moved.x = g.x AND moved.y = g.y AND moved.z = g.z""")
 def reposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.reposition(voxels(embedding_volumes(spark, sf_dir)), (2.0, -1.0, 0.0), (1.0,) * 3, (4, 4, 4), (0.0,) * 3, -1.0)
 
@@ -470,18 +550,27 @@ def filter_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filtered(spark, sf_dir, {"type": "wavelet", "wavelet": "haar", "decomposition": "LLH", "boundary": "zero"})
 
 
-for _name, _params in {
-    "filter_log": {"type": "log", "sigma_mm": 1.0}, "filter_laws_energy": {"type": "laws", "kernel": "L5E5E5", "rotation_invariant": True, "compute_energy": True},
-    "filter_gabor": {"type": "gabor", "sigma_mm": 1.0, "lambda_mm": 2.0, "rotation_invariant": True, "delta_theta": 0.7853981633974483, "average_over_planes": True},
-    "filter_wavelet_rotated": {"type": "wavelet", "wavelet": "coif1", "level": 2, "rotation_invariant": True}, "filter_simoncelli": {"type": "simoncelli"}, "filter_riesz": {"type": "riesz", "order": [1, 0, 0]},
-    "filter_riesz_log": {"type": "riesz", "variant": "log", "sigma_mm": 1.0}, "filter_riesz_simoncelli": {"type": "riesz", "variant": "simoncelli"},
-}.items():
+def _with(*ctes: list[str]) -> str:
+    return f"WITH {', '.join([_VOX, filter_sql.grid(), *sum(ctes, [])])} {filter_sql.result('out')}"
+
+
+for _name, _params, _sql in (
+    ("filter_log", {"type": "log", "sigma_mm": 1.0}, _with(filter_sql.log_ctes("vox", "out", "mirror"))),
+    ("filter_laws_energy", {"type": "laws", "kernel": "L5E5E5", "rotation_invariant": True, "compute_energy": True}, filter_sql.laws_energy_sql(_VOX)),
+    ("filter_gabor", {"type": "gabor", "sigma_mm": 1.0, "lambda_mm": 2.0, "rotation_invariant": True, "delta_theta": 0.7853981633974483, "average_over_planes": True}, filter_sql.gabor_sql(_VOX)),
+    ("filter_wavelet_rotated", {"type": "wavelet", "wavelet": "coif1", "level": 2, "rotation_invariant": True}, filter_sql.wavelet_rotated_sql(_VOX, LOW_PASS["coif1"])),
+    ("filter_simoncelli", {"type": "simoncelli"}, _with(filter_sql.simoncelli_ctes("vox", "out"))),
+    ("filter_riesz", {"type": "riesz", "order": [1, 0, 0]}, _with(filter_sql.riesz_ctes("vox", "out"))),
+    ("filter_riesz_third", {"type": "riesz", "order": [1, 1, 1]}, _with(filter_sql.riesz_ctes("vox", "out", (1, 1, 1)))),
+    ("filter_riesz_log", {"type": "riesz", "variant": "log", "sigma_mm": 1.0}, _with(filter_sql.log_ctes("vox", "mid", "zero"), filter_sql.riesz_ctes("mid", "out"))),
+    ("filter_riesz_simoncelli", {"type": "riesz", "variant": "simoncelli"}, _with(filter_sql.simoncelli_ctes("vox", "mid"), filter_sql.riesz_ctes("mid", "out"))),
+):
 
     def _one(spark: SparkSession, sf_dir: str, params: dict = _params) -> DataFrame:
         return _filtered(spark, sf_dir, params)
 
     _one.__name__ = _name
-    query()(_one)
+    query(_sql)(_one)
 
 
 # --- configurations, results ---------------------------------------------------------------------------------
