@@ -5,7 +5,6 @@ Within a volume, states after equal step prefixes and equal (family, signature)
 
 from __future__ import annotations
 
-import itertools
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -264,23 +263,37 @@ def run(volumes: DataFrame, configs: dict[str, Config], memo: bool = True) -> Da
     return spread(volumes.select("volume_id", "nx", "ny", "nz", "spacing", "origin", "data", *masks)).mapInArrow(kernel, OUT)
 
 
-def matrices(volumes: DataFrame, method: str = "FBN", n_bins: int | None = 8, bin_width: float | None = None) -> DataFrame:
-    """volume_id, family, i, j, n: the sparse texture matrices of whole volumes (NGTDM: j is 0, n counts voxels)."""
+def matrices(volumes: DataFrame, method: str = "FBN", n_bins: int | None = 8, bin_width: float | None = None, families: tuple[str, ...] = catalogue.TEXTURE) -> DataFrame:
+    """volume_id, family, i, j, n: the sparse texture matrices of whole volumes (NGTDM: j is 0, n counts voxels).
+
+    Only what the asked families need is computed: zones serve GLSZM and GLDZM, neighbourhoods NGTDM and NGLDM.
+    """
+    if unknown := set(families) - set(catalogue.TEXTURE):
+        raise ValueError(f"no texture matrices {sorted(unknown)}")
+
+    def of(g: np.ndarray, roi: np.ndarray) -> Iterator[tuple[str, tuple]]:
+        if "glcm" in families:
+            yield "glcm", texture.glcm(g, roi)
+        if "glrlm" in families:
+            yield "glrlm", texture.glrlm(g, roi)
+        if {"glszm", "gldzm"} & set(families):
+            yield from zip(("glszm", "gldzm"), texture.glszm_gldzm(g, roi, roi), strict=True)
+        if {"ngtdm", "ngldm"} & set(families):
+            tone, dependence = texture.neighbourhood(g, roi)
+            yield "ngldm", dependence
+            yield "ngtdm", (tone[0], np.zeros(len(tone[0]), int), tone[1])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, shapes = b.column(0).to_pylist(), zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)
-            flat = b.column(4)
-            out = []
-            for i, (key, shape) in enumerate(zip(ids, shapes, strict=True)):
-                x = flat[i].values.to_numpy(zero_copy_only=False).reshape(shape).astype(float)
+            for r in range(b.num_rows):
+                key, shape = b.column(0)[r].as_py(), tuple(b.column(k)[r].as_py() for k in (1, 2, 3))
+                x = b.column(4)[r].values.to_numpy(zero_copy_only=False).reshape(shape).astype(float)
                 roi = np.ones(shape, bool)
-                g = bins_of(x, roi, method, n_bins, bin_width)
-                size, distance = texture.glszm_gldzm(g, roi, roi)
-                tone, dependence = texture.neighbourhood(g, roi)
-                for family, (a, c, n) in {"glcm": texture.glcm(g, roi), "glrlm": texture.glrlm(g, roi), "glszm": size, "gldzm": distance, "ngldm": dependence, "ngtdm": (tone[0], np.zeros(len(tone[0]), int), tone[1])}.items():
-                    out += zip(itertools.repeat(key), itertools.repeat(family), a.tolist(), c.tolist(), n.tolist())
-            k, f, a, c, n = zip(*out, strict=True) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(f, pa.string()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["volume_id", "family", "i", "j", "n"])
+                for family, (a, c, n) in of(bins_of(x, roi, method, n_bins, bin_width), roi):
+                    if family in families:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(a), key), pa.int64()), pa.array([family] * len(a), pa.string()), *(pa.array(np.asarray(v), pa.int64()) for v in (a, c, n))],
+                            names=["volume_id", "family", "i", "j", "n"],
+                        )
 
     return spread(volumes.select("volume_id", "nx", "ny", "nz", "data")).mapInArrow(kernel, "volume_id long, family string, i long, j long, n long")
