@@ -1,7 +1,8 @@
 """First-order, histogram and volume-histogram features of groups of values, in grouped SQL.
 
-For regions of any size: groups may hold billions of values, since all is partial aggregation over one shuffle of
-sums or bin counts. Percentiles are exact over value counts.
+For regions of any size: all is partial aggregation over shuffles of sums, bin counts or value counts. Percentiles and
+volume histograms are exact over value counts, which are ranked in cells of a group's values: cells are cut at
+quantiles of all values, so that a group that holds most of them is many cells and many tasks.
 """
 
 from __future__ import annotations
@@ -11,24 +12,60 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _quantile(q: float, at: str = "v") -> Column:
-    """Exact linear percentile over (value, frequency) rows."""
-    return F.percentile(F.col(at), q, F.col("n"))
-
-
 def value_counts(values: DataFrame, by: list[str], v: str = "v") -> DataFrame:
     """by, v, n: the only shuffle that grows with the input, and it is combined before it."""
     return values.select(*by, F.col(v).cast("double").alias("v")).groupBy(*by, "v").agg(F.count("*").alias("n"))
 
 
+def ranked(values: DataFrame, by: list[str], v: str = "v") -> DataFrame:
+    """by, v, n, upto, all, lo, hi, pv, pn: every distinct value of a group with its count, the number of values up to it,
+    the group's size and ends, and the value before it with its count (null for the first).
+
+    Nothing is gathered for a whole group but one row for each of its cells, whose number is bounded.
+    """
+    c = value_counts(values, by, v).filter("v is not null")
+    parts = 4 * int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = c.agg(F.percentile_approx("v", [k / parts for k in range(1, parts)], 10_000).alias("q")).first()["q"] or []
+    cuts = sorted({x for x in cuts if x == x})
+    table = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
+    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length(), -1, -1)])
+    below = lambda acc, k: (acc + k <= len(cuts)) & (F.get(table, acc + k - 1) < F.col("v"))
+    cell = F.aggregate(steps, F.lit(0), lambda acc, k: F.when(below(acc, k), acc + k).otherwise(acc)) if cuts else F.lit(0)
+    c = c.withColumn("_cell", cell)
+    group = W.partitionBy(*by)
+    cells = c.groupBy(*by, "_cell").agg(F.sum("n").alias("_m"), F.min("v").alias("_low"), F.max("v").alias("_top"), F.max_by("n", "v").alias("_top_n"))
+    order = group.orderBy("_cell")
+    cells = cells.select(
+        *[F.col(k).alias(f"_{k}") for k in by], F.col("_cell").alias("__cell"), F.sum("_m").over(group).alias("all"), F.min("_low").over(group).alias("lo"), F.max("_top").over(group).alias("hi"),
+        (F.sum("_m").over(order) - F.col("_m")).alias("_before"), F.lag("_top").over(order).alias("_pv"), F.lag("_top_n").over(order).alias("_pn"),
+    )
+    within = W.partitionBy(*by, "_cell").orderBy("v")
+    c = c.select("*", F.sum("n").over(within).alias("_upto"), F.lag("v").over(within).alias("_lv"), F.lag("n").over(within).alias("_ln"))
+    got = c.join(cells, _same(by, "_") & (F.col("_cell") == F.col("__cell")))
+    return got.select(
+        *by, "v", "n", (F.col("_before") + F.col("_upto")).alias("upto"), "all", "lo", "hi",
+        F.when(F.col("_ln").isNull(), F.col("_pv")).otherwise(F.col("_lv")).alias("pv"), F.coalesce("_ln", "_pn").alias("pn"),
+    )
+
+
+def _quantile(q: float) -> Column:
+    """Exact linear percentile of ranked values."""
+    at = (F.col("all") - 1) * F.lit(q)
+    value = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))
+    low, high = value(F.floor(at)), value(F.ceil(at))
+    part = F.max(at - F.floor(at))
+    return low + (high - low) * part
+
+
 def first_order(values: DataFrame, by: list[str], v: str = "v") -> DataFrame:
     """One row for each group with the statistics of functions.intensity.statistics, null where they are undefined."""
-    c = value_counts(values, by, v)
+    c = ranked(values, by, v)
     x, n = F.col("v"), F.col("n")
     q = c.groupBy(*by).agg(
         F.sum("n").alias("count"), F.try_divide(F.sum(x * n), F.sum("n")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum(x * x * n).alias("energy"),
         *[_quantile(p / 100).alias(f"p{p}") for p in (10, 25, 50, 75, 90)],
     )
+    c = value_counts(values, by, v)
     key = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]
     cond = key[0]
     for k in key[1:]:
@@ -90,12 +127,8 @@ def histogram(bins: DataFrame, by: list[str], g: str = "g") -> DataFrame:
 
 def ivh(values: DataFrame, by: list[str], v: str = "v") -> DataFrame:
     """Volume histogram of raw values: volume fractions at 10 and 90 % of the range, intensities at 10 and 90 % of the volume, area."""
-    w, up = W.partitionBy(*by), W.partitionBy(*by).orderBy("v")
-    c = value_counts(values, by, v).select(
-        "*", F.sum("n").over(w).alias("_all"), F.sum("n").over(up).alias("_upto"), F.min("v").over(w).alias("_lo"), F.max("v").over(w).alias("_hi")
-    )
-    c = c.select("*", (F.col("_all") - F.col("_upto") + F.col("n")).alias("_held"))  # count of values >= v
-    c = c.select("*", F.lag("v").over(up).alias("_pv"), F.lag("_held").over(up).alias("_ph"))
+    c = ranked(values, by, v).select("*", (F.col("all") - F.col("upto") + F.col("n")).alias("_held"))  # count of values >= v
+    c = c.select(*by, "v", "n", F.col("all").alias("_all"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "_held", F.col("pv").alias("_pv"), (F.col("_held") + F.col("pn")).alias("_ph"))
     at = lambda f: F.sum(F.when(F.col("v") >= F.col("_lo") + f * (F.col("_hi") - F.col("_lo")), F.col("n")).otherwise(0)) / F.max("_all")
     inten = lambda f: F.coalesce(F.min(F.when(F.col("_held") <= F.floor(f * F.col("_all")), F.col("v"))), F.max("v"))
     got = c.groupBy(*by).agg(
