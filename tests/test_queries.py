@@ -118,6 +118,97 @@ def test_reports(spark, tmp_path):
     assert summary(read_reports(spark, str(tmp_path))).first().num_measurements == 3
 
 
+def test_report_fields(spark, tmp_path):
+    from voxframe.sources.structured import combined, read_reports, report_log
+
+    name = lambda t: element(0x40, 0xA043, "SQ", item(element(8, 0x104, "LO", t)))
+    kind = lambda t: element(0x40, 0xA040, "CS", t)
+    code = lambda what, means: item(kind("CODE"), name(what), element(0x40, 0xA168, "SQ", item(element(8, 0x104, "LO", means))))
+    value = element(0x40, 0xA300, "SQ", item(element(0x40, 0xA30A, "DS", "4")))
+    num = item(kind("NUM"), name("Volume"), value, element(0x40, 0xA730, "SQ", code("Derivation", "Mean")))
+    text = item(kind("TEXT"), name("Tracking Identifier"), element(0x40, 0xA160, "LT", "lesion-1"))
+    group = item(kind("CONTAINER"), name("Measurement Group"))
+    raw = HEAD + element(8, 0x16, "UI", "1.2.840.10008.5.1.4.1.1.88.33") + element(8, 0x18, "UI", "7.8") + element(0x40, 0xA730, "SQ", group + num + code("Finding Site", "Liver") + text)
+    (tmp_path / "a.dcm").write_bytes(raw)
+    (tmp_path / "broken.dcm").write_bytes(raw[:150])
+    items = read_reports(spark, str(tmp_path))
+    r = items.filter("status = 'ok'").first()
+    assert (r.group_id, r.finding_type, r.finding_site, r.derivation, r.tracking_id, r.value) == ("Measurement Group", "Measurement Group", "Liver", "Mean", "lesion-1", 4.0)
+    assert combined(items).count() == 1 and {x.num_measurements for x in report_log(items).collect()} <= {0, 1}
+
+
+def test_phases_and_damaged_files(spark, tmp_path):
+    from voxframe.operators import metadata
+    from voxframe.sources.structured import load_volumes
+    from voxframe.sources.volumes import read_dicom, read_headers
+
+    for k in (1, 2, 3):
+        for phase in (1, 2):
+            extra = element(0x20, 0x100, "IS", str(phase))
+            raw = ct(k).replace(element(8, 0x18, "UI", f"9.{k}"), element(8, 0x18, "UI", f"9.{k}.{phase}"))
+            (tmp_path / f"{k}_{phase}.dcm").write_bytes(raw[: raw.index(element(0x20, 0x32, "DS", f"1\\2\\{k * 2.5}"))] + extra + raw[raw.index(element(0x20, 0x32, "DS", f"1\\2\\{k * 2.5}")) :])
+    (tmp_path / "damaged.dcm").write_bytes(ct(4)[:140] + b"\xff" * 7)
+    assert [read_dicom(spark, str(tmp_path), dataset_index=i).first().nz for i in (0, 1)] == [3, 3]
+    assert load_volumes(spark, str(tmp_path), 1).count() == 1
+    with pytest.raises(Exception, match="out of range"):
+        read_dicom(spark, str(tmp_path), dataset_index=2).collect()
+    head = read_headers(spark, str(tmp_path))
+    assert head.count() == 7 and head.filter("size(tags) > 0").count() >= 6
+    levels = metadata.database(head.filter("tags['SeriesInstanceUID'] is not null"))
+    assert levels["series"].count() == 2 and metadata.database(head.filter("tags['SeriesInstanceUID'] is not null"), split_multiseries=False)["series"].count() == 1
+
+
+def test_segments_on_a_reference(spark, tmp_path):
+    from voxframe.operators import geometry
+    from voxframe.sources.structured import load_volumes, read_segments
+    from voxframe.sources.volumes import voxels
+
+    us = lambda g, e, v: element(g, e, "US", struct.pack("<H", v))
+    frame = lambda seg, index, z: item(
+        element(0x62, 0xA, "SQ", item(us(0x62, 0xB, seg))), element(0x20, 0x9111, "SQ", item(element(0x20, 0x9157, "UL", struct.pack("<2I", *index)))), element(0x20, 0x9113, "SQ", item(element(0x20, 0x32, "DS", f"1\\0\\{z}")))
+    )
+    masks = np.zeros((4, 2, 3), np.uint8)  # two segments of two slices of 2 x 3
+    masks[0, 0, 0] = masks[1, 1, 2] = masks[2, 0, 1] = 1
+    bits = np.packbits(masks.reshape(-1), bitorder="little").tobytes()
+    shared = element(0x5200, 0x9229, "SQ", item(element(0x28, 0x9110, "SQ", item(element(0x28, 0x30, "DS", "1\\1"), element(0x18, 0x50, "DS", "9"))), element(0x20, 0x9116, "SQ", item(element(0x20, 0x37, "DS", "1\\0\\0\\0\\1\\0")))))
+    frames = element(0x5200, 0x9230, "SQ", frame(1, (1, 1), 2) + frame(1, (1, 2), 4) + frame(2, (2, 1), 2) + frame(2, (2, 2), 4))
+    known = element(0x62, 2, "SQ", item(us(0x62, 4, 1), element(0x62, 5, "LO", "Liver")) + item(us(0x62, 4, 2), element(0x62, 5, "LO", "Lesion")))
+    raw = HEAD + element(8, 0x16, "UI", "1.2.840.10008.5.1.4.1.1.66.4") + element(0x28, 8, "IS", "4") + us(0x28, 0x10, 2) + us(0x28, 0x11, 3) + us(0x28, 0x100, 1) + us(0x28, 0x103, 0) + known + shared + frames + element(0x7FE0, 0x10, "OW", bits)
+    (tmp_path / "seg.dcm").write_bytes(raw)
+    rows = {r.segment: r for r in read_segments(spark, str(tmp_path)).collect()}
+    assert {k: r.label for k, r in rows.items()} == {1: "Liver", 2: "Lesion"} and all(r.status == "ok" for r in rows.values())
+    assert rows[1].spacing == [1.0, 1.0, 2.0] and rows[1].origin == [1.0, 0.0, 2.0] and (rows[1].nx, rows[1].ny, rows[1].nz) == (3, 2, 2)
+    assert np.argwhere(np.array(rows[1].mask).reshape(3, 2, 2)).tolist() == [[0, 0, 0], [2, 1, 1]] and np.argwhere(np.array(rows[2].mask).reshape(3, 2, 2)).tolist() == [[1, 0, 0]]
+    v = load_volumes(spark, str(tmp_path))
+    ref = v.select("volume_id", *(x for x in ("nx", "ny", "nz")), "spacing", "direction").selectExpr("volume_id", "5 as nx", "2 as ny", "3 as nz", "spacing", "array(0D, 0D, 0D) as origin", "direction")
+    laid = geometry.on_reference(voxels(v), v, ref).filter("v > 0").collect()
+    assert sorted((r.volume_id[-1], r.x, r.y, r.z, r.turned) for r in laid) == [("1", 1, 0, 1, False), ("1", 3, 1, 2, False), ("2", 2, 0, 1, False)]
+
+
+def test_rules_and_files_of_configurations(tmp_path):
+    import warnings
+
+    from voxframe.plans import config
+    from voxframe.plans.config import Config, Configs, Rules, deduplication, described
+
+    got = deduplication(Configs().resolve(["all_standard"]), "1.0.0")
+    assert got.stats["reused_families"] > 0 and abs(got.stats["cache_hit_rate"] - got.stats["reused_families"] / len(got.entries)) < 1e-12
+    none = Rules("none", {})
+    assert deduplication(Configs().resolve(["all_standard"]), none).stats["reused_families"] == 0
+    assert Rules.from_dict(Rules.of("1.0.0").to_dict()) == Rules.of("1.0.0") and deduplication({}).stats == {}
+    with pytest.raises(ValueError, match="no rules"):
+        Rules.of("9")
+    own = Configs(load_standard=False).add("a", [{"step": "binarize_mask", "params": {"mask_values": (2, 4)}}])
+    for name in ("c.json", "c.yaml"):
+        own.save(str(tmp_path / name))
+        assert Configs.load(str(tmp_path / name)).get("a").steps[0]["params"]["mask_values"] == (2, 4)
+    assert Configs.from_dict({"configs": {"old": [{"step": "round_intensities"}]}}).get("old") == Config([{"step": "round_intensities"}])
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        config.migrated({"version": 99, "configs": {}})
+    assert said and len(described({"x": Config([{"step": "filter", "params": {"type": "mean", "support": 3}}, {"step": "extract_features", "params": {"families": ["ivh"]}}])})) == 7
+
+
 def test_results_files(spark, tmp_path):
     from voxframe.operators import results
 

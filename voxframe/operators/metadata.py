@@ -11,7 +11,8 @@ PHASE_TAGS = ("NominalPercentageOfCardiacPhase", "TemporalPositionIdentifier", "
 
 
 def instances(headers: DataFrame) -> DataFrame:
-    """The flat instance table of (file_path, tags): the last file of a SOP instance counts."""
+    """The flat instance table of (file_path, tags): the last file of a SOP instance counts. Files without tags are left out."""
+    headers = headers.filter(F.size("tags") > 0)
     tag = lambda k: F.col("tags").getItem(k)
     nums = lambda k: F.transform(F.split(tag(k), r"\\"), lambda x: x.try_cast("double"))
     d = headers.select(
@@ -121,9 +122,12 @@ def measurements(items: DataFrame, text: str, document: str, group: str = "group
     return flat.select(document, group, F.coalesce(F.nullif("measurement_name", F.lit("")), F.lit("Unknown")).alias("measurement_name"), F.col("raw").try_cast("double").alias("value"), F.lit("1").alias("unit"))
 
 
-def database(headers: DataFrame) -> dict[str, DataFrame]:
-    """The four levels of a folder's headers: patients, studies, series, instances."""
+def database(headers: DataFrame, split_multiseries: bool = True) -> dict[str, DataFrame]:
+    """The four levels of a folder's headers: patients, studies, series, instances. Phases of a series are series of their own unless told."""
     inst = instances(headers)
+    if split_multiseries:
+        split = split_phases(inst)
+        inst = split.withColumn("series_uid", F.col("phase_uid")).select(*inst.columns)
     return {"patients": patients(inst), "studies": studies(inst), "series": series(inst), "instances": inst}
 
 

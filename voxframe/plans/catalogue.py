@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from voxframe.functions.intensity import HISTOGRAM, INTENSITY, IVH
@@ -43,10 +45,13 @@ def expand(families: list[str], spatial: bool = False, local: bool = False) -> l
     return list(dict.fromkeys(out))
 
 
+def parts(key: str) -> tuple[str, str]:
+    """The plain name of a feature and its published code, which some keys follow by a number."""
+    m = re.search(r"_([A-Z0-9]{3,4})(?:_\d+)?$", key)
+    return (key[: m.start()], m[1]) if m else (key, "")
+
+
 def describe(spark: SparkSession) -> DataFrame:
     """ord, family, feature_name, code of every feature."""
     rows = [(f, k) for f, keys in FAMILIES.items() for k in keys]
-    import re
-
-    code = lambda k: re.search(r"_([A-Z0-9]{3,4})(?:_\d+)?$", k)[1]
-    return spark.createDataFrame([(i, f, k, code(k)) for i, (f, k) in enumerate(rows)], "ord int, family string, feature_name string, code string")
+    return spark.createDataFrame([(i, f, k, parts(k)[1]) for i, (f, k) in enumerate(rows)], "ord int, family string, feature_name string, code string")

@@ -17,7 +17,7 @@ from voxframe.functions import filters, intensity, morphology, texture
 from voxframe.functions.spline import resampled
 from voxframe.operators.steps import SENTINELS
 from voxframe.plans import catalogue
-from voxframe.plans.config import Config, signature
+from voxframe.plans.config import Config, Rules, signature
 
 OUT = "subject_id string, config string, family string, feature_name string, value double, error string"
 
@@ -183,7 +183,7 @@ def source_state(data: np.ndarray, morph: np.ndarray | None, inten: np.ndarray |
     return State(data, data, morph, inten, valid, tuple(spacing), tuple(origin), generated)
 
 
-def run_volume(data: np.ndarray, morph: np.ndarray | None, inten: np.ndarray | None, spacing: tuple, origin: tuple, configs: dict[str, Config], memo: bool = True) -> Iterator[tuple[str, str, str, float, str | None]]:
+def run_volume(data: np.ndarray, morph: np.ndarray | None, inten: np.ndarray | None, spacing: tuple, origin: tuple, configs: dict[str, Config], memo: bool = True, rules: Rules | None = None) -> Iterator[tuple[str, str, str, float, str | None]]:
     """(config, family, feature, value, error) for every expected feature; NaN where there is none."""
     states: dict[str, State | Exception] = {}
     results: dict[str, dict[str, float] | Exception] = {}
@@ -199,11 +199,11 @@ def run_volume(data: np.ndarray, morph: np.ndarray | None, inten: np.ndarray | N
                     if f in done:
                         continue
                     done.add(f)
-                    sign = signature(c, f) + ("" if memo else name)
+                    sign = signature(c, f, rules) + ("" if memo else name)
                     if sign not in results:
                         together = {f: sign}
                         if f in catalogue.TEXTURE:
-                            together = {x: signature(c, x) + ("" if memo else name) for x in wanted if x in catalogue.TEXTURE}
+                            together = {x: signature(c, x, rules) + ("" if memo else name) for x in wanted if x in catalogue.TEXTURE}
                             together = {x: k for x, k in together.items() if k not in results}
                         try:
                             if isinstance(state, Exception):
@@ -238,9 +238,11 @@ def spread(volumes: DataFrame) -> DataFrame:
     return volumes.repartition(4 * cores) if volumes.rdd.getNumPartitions() < cores else volumes
 
 
-def run(volumes: DataFrame, configs: dict[str, Config], memo: bool = True) -> DataFrame:
+def run(volumes: DataFrame, configs: dict[str, Config], memo: bool = True, rules: Rules | None = None) -> DataFrame:
     """Long features of all volumes (optional mask arrays `morph`, `intensity`) under all configurations.
 
+    memo and rules say whether and by which rules equal results are computed once; plans.config.deduplication tells what that saves.
+
     The column set is complete: a feature without a value is NaN, with the error that caused it.
     """
     masks = [c for c in ("morph", "intensity") if c in volumes.columns]
@@ -254,7 +256,7 @@ def run(volumes: DataFrame, configs: dict[str, Config], memo: bool = True) -> Da
                 array = lambda c, r=r, shape=shape: r[c].values.to_numpy(zero_copy_only=False).reshape(shape)
                 morph = array("morph").astype(np.uint8) if "morph" in r and r["morph"].is_valid else None
                 inten = array("intensity").astype(np.uint8) if "intensity" in r and r["intensity"].is_valid else None
-                rows = list(run_volume(array("data").astype(float), morph, inten, tuple(r["spacing"].as_py()), tuple(r["origin"].as_py()), configs, memo))
+                rows = list(run_volume(array("data").astype(float), morph, inten, tuple(r["spacing"].as_py()), tuple(r["origin"].as_py()), configs, memo, rules))
                 if rows:
                     c, f, k, v, e = zip(*rows, strict=True)
                     key = str(r["volume_id"].as_py())

@@ -17,7 +17,7 @@ from voxframe.functions.intensity import HISTOGRAM, INTENSITY, IVH
 from voxframe.functions.texture import DIRECTIONS, NAMES, NEIGHBOURS
 from voxframe.operators import geometry, lattice, metadata, results, stats, steps
 from voxframe.plans import catalogue, run
-from voxframe.plans.config import Config, Configs, plan
+from voxframe.plans.config import DESCRIBED, GROUPS, NEED_BINS, Config, Configs, described, plan
 from voxframe.sources.volumes import embedding_volumes, voxels
 from voxframe.streaming.ingest import windowed
 
@@ -531,9 +531,62 @@ for _c, _r in (("max", "max(v)"), ("min", "min(v)"), ("first", "arg_min(v, o)"),
     query(_merge_sql(_r))(_merge(_c))
 
 
-@query("SELECT vec_id AS volume_id, true AS same FROM embeddings")
+_SEVERAL = f"WITH {_VOX}, s AS (SELECT volume_id // 4 AS case_id, volume_id AS o, dense_rank() OVER (PARTITION BY volume_id // 4 ORDER BY volume_id) AS k, x, y, z, CASE WHEN v > 0.05 THEN v ELSE 0 END AS v FROM vox)"
+
+
+def _several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels(embedding_volumes(spark, sf_dir)).select(F.expr("volume_id div 4").alias("case_id"), "volume_id", "x", "y", "z", F.when(F.col("v") > 0.05, F.col("v")).otherwise(0.0).alias("v"))
+
+
+@query(f"{_SEVERAL} SELECT case_id, x, y, z, CAST(min(k) AS DOUBLE) AS v, count(*) AS sources FROM s WHERE v <> 0 GROUP BY ALL")
+def merge_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.merge(_several(spark, sf_dir), "case_id", "volume_id", "first", relabel=True)
+
+
+@query(f"{_SEVERAL} SELECT case_id, x, y, z, CASE WHEN max(k) IN (2, 4) THEN 1.0 ELSE 0.0 END AS v, count(*) AS sources FROM s WHERE v <> 0 GROUP BY ALL")
+def merge_binarize_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.merge(_several(spark, sf_dir), "case_id", "volume_id", "max", binarize=[2, 4], relabel=True)
+
+
+@query(f"{_SEVERAL} SELECT case_id, x, y, z, CASE WHEN max(v) BETWEEN 0.1 AND 0.2 THEN 1.0 ELSE 0.0 END AS v, count(*) AS sources FROM s WHERE v <> 0 GROUP BY ALL")
+def merge_binarize_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.merge(_several(spark, sf_dir), "case_id", "volume_id", "max", binarize=(0.1, 0.2))
+
+
+def _mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes of two spacings and of several origins."""
+    k = F.col("volume_id")
+    spacing = F.when(k % 2 == 0, F.array(*[F.lit(1.0)] * 3)).otherwise(F.array(F.lit(2.0), F.lit(1.0), F.lit(2.0)))
+    origin = F.array((k % 3 * 1.0).cast("double"), (-(k % 2) * 1.0).cast("double"), F.lit(0.0))
+    return embedding_volumes(spark, sf_dir).drop("data").withColumn("spacing", spacing).withColumn("origin", origin)
+
+
+@query(f"""WITH {_VOX}, h AS (SELECT * FROM (VALUES (0, 0, 0.5), (0, 1, 0.5), (1, 2, 0.5), (1, 3, 0.5)) t(o, i, f)), u AS (SELECT * FROM (VALUES (0, 0, 1.0), (1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)) t(o, i, f)),
+w AS (SELECT 0 AS odd, 'x' AS axis, * FROM h UNION ALL SELECT 0, 'y', * FROM h UNION ALL SELECT 0, 'z', * FROM h UNION ALL SELECT 1, 'x', * FROM u UNION ALL SELECT 1, 'y', * FROM h UNION ALL SELECT 1, 'z', * FROM u)
+SELECT volume_id, a.o AS x, b.o AS y, c.o AS z, round(sum(v * a.f * b.f * c.f), 6) + 0.0 AS v FROM vox JOIN w a ON a.axis = 'x' AND a.odd = volume_id % 2 AND a.i = x JOIN w b ON b.axis = 'y' AND b.odd = volume_id % 2 AND b.i = y JOIN w c ON c.axis = 'z' AND c.odd = volume_id % 2 AND c.i = z GROUP BY ALL""")
+def resample_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To 2 mm, from isotropic volumes and from ones that are coarse along two axes."""
+    return rounded(geometry.resample_each(voxels(embedding_volumes(spark, sf_dir)), _mixed_headers(spark, sf_dir), (2.0,) * 3))
+
+
+@query(f"""WITH {_VOX}, i AS (SELECT vec_id AS volume_id, 4 + vec_id % 2 AS n FROM embeddings), g AS (SELECT volume_id, a.range AS x, b.range AS y, c.range AS z FROM i, range(5) a, range(4) b, range(3) c WHERE a.range < n),
+moved AS (SELECT volume_id, x + volume_id % 3 AS x, y - volume_id % 2 AS y, z, v FROM vox)
+SELECT g.volume_id, CAST(g.x AS INT) AS x, CAST(g.y AS INT) AS y, CAST(g.z AS INT) AS z, coalesce(v, -1.0) AS v, g.volume_id % 5 = 0 AS turned FROM g LEFT JOIN moved ON moved.volume_id = g.volume_id AND moved.x = g.x AND moved.y = g.y AND moved.z = g.z""")
+def reposition_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every volume on its own reference grid, whose shape and origin vary; some grids are turned."""
+    k = F.col("volume_id")
+    head = _mixed_headers(spark, sf_dir).withColumn("spacing", F.array(*[F.lit(1.0)] * 3))
+    eye = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    turned = [0.0, 1.0, 0.0, -1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    ref = head.select("volume_id", (4 + k % 2).cast("int").alias("nx"), F.lit(4).alias("ny"), F.lit(3).alias("nz"), "spacing", F.array(*[F.lit(0.0)] * 3).alias("origin"), F.when(k % 5 == 0, F.array(*map(F.lit, turned))).otherwise(F.array(*map(F.lit, eye))).alias("direction"))
+    return geometry.on_reference(voxels(embedding_volumes(spark, sf_dir)), head, ref, -1.0)
+
+
+@query("WITH h AS (SELECT vec_id AS k, CASE WHEN vec_id % 7 = 3 THEN 1.1 ELSE 1.0 END AS s, CASE WHEN vec_id % 5 = 4 THEN 0.5 ELSE 0.0 END AS o FROM embeddings), f AS (SELECT s AS fs, o AS fo FROM h ORDER BY k LIMIT 1) SELECT k AS volume_id, s = fs AND o = fo AS same FROM h, f")
 def same_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.same_geometry(embedding_volumes(spark, sf_dir).drop("data"))
+    k = F.col("volume_id")
+    head = embedding_volumes(spark, sf_dir).drop("data").withColumn("spacing", F.array(F.lit(1.0), F.lit(1.0), F.when(k % 7 == 3, 1.1).otherwise(1.0)))
+    return geometry.same_geometry(head.withColumn("origin", F.array(F.when(k % 5 == 4, 0.5).otherwise(0.0), F.lit(0.0), F.lit(0.0))))
 
 
 def _filtered(spark: SparkSession, sf_dir: str, params: dict) -> DataFrame:
@@ -610,6 +663,19 @@ def feature_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.describe(spark).drop("code")
 
 
+_FEATURES = "(VALUES " + ", ".join(f"('{f}', '{k}')" for f, ks in catalogue.FAMILIES.items() if f not in ("spatial_intensity", "local_intensity") for k in ks) + ") t(family, feature_key)"
+_GROUP = "CASE " + " ".join(f"WHEN family = '{f}' THEN '{g}'" for f, g in GROUPS.items()) + " END"
+
+
+@query(f"""SELECT config, feature_key, regexp_replace(feature_key, '_[A-Z0-9]{{3,4}}(_[0-9]+)?$', '') AS feature_name, regexp_extract(feature_key, '_([A-Z0-9]{{3,4}})(_[0-9]+)?$', 1) AS ibsi_code, family, {_GROUP} AS family_group,
+ family IN ({", ".join(f"'{f}'" for f in sorted(NEED_BINS))}) AS requires_discretisation, true AS is_discretised, upper(split_part(config, '_', 2)) AS discretisation_method, CAST(split_part(config, '_', 3) AS DOUBLE) AS discretisation_param,
+ true AS is_resampled, '(0.5, 0.5, 0.5)' AS resampling_spacing, 'linear' AS interpolation, false AS is_filtered, CAST(NULL AS VARCHAR) AS filter_type, CAST(NULL AS VARCHAR) AS filter_params
+FROM {_FEATURES}, (VALUES ('standard_fbn_8'), ('standard_fbn_16'), ('standard_fbn_32'), ('standard_fbs_8'), ('standard_fbs_16'), ('standard_fbs_32')) c(config)""")
+def describe_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature of the standard configurations, with its names, family and preprocessing."""
+    return spark.createDataFrame(described(Configs().resolve(["all_standard"])), DESCRIBED)
+
+
 @query()
 def standard_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every feature of every volume under the six standard configurations."""

@@ -232,11 +232,14 @@ def segments(raw: bytes, wanted: list[int] | None = None) -> dict[int, np.ndarra
     frames = slice_array(tags)
     groups = tags.get("PerFrameFunctionalGroupsSequence") or []
     of = [int(g["SegmentIdentificationSequence"][0]["ReferencedSegmentNumber"]) for g in groups]
+    # Of several segments the first index tells the slice; where it tells the segment instead, the last one does.
+    first = [(g.get("FrameContentSequence") or [{}])[0].get("DimensionIndexValues") for g in groups]
+    stack = all(isinstance(x, list) and len(x) > 1 for x in first) and [int(x[0]) for x in first] == of and len(set(of)) < len(of)
     at = []
     for i, g in enumerate(groups):
         index = (g.get("FrameContentSequence") or [{}])[0].get("DimensionIndexValues")
         index = index if isinstance(index, list) else [index] if index else [i + 1]
-        at.append(int(index[-1]) - 1)
+        at.append(int(index[-1] if stack else index[0]) - 1)
     known = sorted(set(of))
     for n in wanted or []:
         if n not in known:
@@ -249,9 +252,26 @@ def segments(raw: bytes, wanted: list[int] | None = None) -> dict[int, np.ndarra
     return out
 
 
+def seg_geometry(tags: dict) -> dict:
+    """Spacing, origin and direction of a segmentation object, from its shared and per-frame groups."""
+    shared = (tags.get("SharedFunctionalGroupsSequence") or [{}])[0]
+    measures = (shared.get("PixelMeasuresSequence") or [{}])[0]
+    rows = numbers(measures.get("PixelSpacing")) or [1.0, 1.0]
+    spacing = [rows[1], rows[0], (numbers(measures.get("SliceThickness")) or [1.0])[0] or 1.0]
+    way = numbers((shared.get("PlaneOrientationSequence") or [{}])[0].get("ImageOrientationPatient"))
+    direction = np.column_stack([way[:3], way[3:6], np.cross(way[:3], way[3:6])]).reshape(-1).tolist() if way else None
+    place = [numbers((g.get("PlanePositionSequence") or [{}])[0].get("ImagePositionPatient")) for g in tags.get("PerFrameFunctionalGroupsSequence") or []]
+    origin = place[0] if place and place[0] else [0.0, 0.0, 0.0]
+    place = [p for p in place if p]
+    if len(place) > 1:
+        gap = float(np.median(np.linalg.norm(np.diff(np.array(place), axis=0), axis=1)))
+        spacing[2] = gap if gap > 0 else spacing[2]
+    return {"spacing": spacing, "origin": origin, "direction": direction}
+
+
 def _row(key: str, v: dict) -> pa.RecordBatch:
     x = np.ascontiguousarray(v["data"], float)
-    cols = [[key], *[[n] for n in x.shape], [list(map(float, v["spacing"]))], [list(map(float, v["origin"]))], [list(map(float, v["direction"]))], [v["modality"]]]
+    cols = [[key], *[[n] for n in x.shape], [list(map(float, v["spacing"]))], [list(map(float, v["origin"]))], [list(map(float, v["direction"])) if v["direction"] is not None else None], [v["modality"]]]
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.float64())] * 3, pa.string()]
     data = pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(x.reshape(-1)))
     return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), data], names=[p.split()[0] for p in SCHEMA.split(", ")])
@@ -269,30 +289,44 @@ def read_nifti(spark: SparkSession, path: str, dataset_index: int = 0) -> DataFr
     return files.mapInArrow(parse, SCHEMA)
 
 
-def read_dicom(spark: SparkSession, path: str, rescale: bool = True) -> DataFrame:
-    """One row for each series below a path; the files of a series, and no more, meet in one task."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").filter(F.substring("content", 129, 4) == F.lit(b"DICM"))
+def read_dicom(spark: SparkSession, path: str, rescale: bool = True, dataset_index: int = 0) -> DataFrame:
+    """One row for each series below a path: the volume of its phase number dataset_index, counted from 0.
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [parse_dicom(raw, pixels=False).get("SeriesInstanceUID", "") for raw in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(1)], names=["series", "content"])
+    Phases are told apart by headers alone (operators.metadata.split_phases); then the files of a phase, and no more,
+    meet in one task. Files that aren't readable are left out, as read_headers says; reports and segmentations are no
+    images. A series with fewer phases is an error.
+    """
+    from voxframe.operators import metadata
+
+    split = metadata.split_phases(metadata.instances(read_headers(spark, path).filter("status = 'ok'").filter(~F.coalesce(F.col("tags")["SOPClassUID"], F.lit("")).rlike(r"^1\.2\.840\.10008\.5\.1\.4\.1\.1\.(66\.4|88\.)"))))
+    most = split.groupBy("series_uid").agg(F.max("phase").alias("phases"))
+    few = F.raise_error(F.concat(F.lit(f"dataset index {dataset_index} is out of range: the series has phases "), F.col("phases").cast("string")))
+    kept = most.select("series_uid", F.when(F.col("phases") > dataset_index, F.lit(dataset_index + 1)).otherwise(few.cast("int")).alias("_phase"))
+    wanted = split.join(kept, "series_uid").filter(F.col("phase") == F.col("_phase")).select("series_uid", F.col("file_path").alias("_path"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").filter(F.substring("content", 129, 4) == F.lit(b"DICM"))
 
     def build(table: pa.Table) -> pa.Table:
         key = table.column("series")[0].as_py()
         return pa.Table.from_batches([_row(key, series_volume(table.column("content").to_pylist(), rescale))])
 
-    return files.mapInArrow(keyed, "series string, content binary").groupBy("series").applyInArrow(build, SCHEMA)
+    return files.join(wanted, F.col("path") == F.col("_path")).select(F.col("series_uid").alias("series"), "content").groupBy("series").applyInArrow(build, SCHEMA)
 
 
 def read_headers(spark: SparkSession, path: str, private: bool = False) -> DataFrame:
-    """file_path and a map of tags of each DICOM file below a path, without pixels."""
+    """file_path, a map of tags, and a status of each DICOM file below a path, without pixels. A damaged file has no tags, and its status says why."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").filter(F.substring("content", 129, 4) == F.lit(b"DICM"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tags = [parse_dicom(raw, pixels=False, private=private) for raw in b.column(1).to_pylist()]
-            flat = [[(k, str(v)) for k, v in t.items() if not isinstance(v, (list, bytes))] for t in tags]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat, pa.map_(pa.string(), pa.string()))], names=["file_path", "tags"])
-
-    return files.mapInArrow(parse, "file_path string, tags map<string,string>")
+            flat, status = [], []
+            for raw in b.column(1).to_pylist():
+                try:
+                    tags = parse_dicom(raw, pixels=False, private=private)
+                    flat.append([(k, str(v)) for k, v in tags.items() if not isinstance(v, (list, bytes))])
+                    status.append("ok")
+                except Exception as e:  # one file's error leaves the others
+                    flat.append([])
+                    status.append(f"{type(e).__name__}: {e}"[:200])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat, pa.map_(pa.string(), pa.string())), pa.array(status)], names=["file_path", "tags", "status"])
+
+    return files.mapInArrow(parse, "file_path string, tags map<string,string>, status string")
