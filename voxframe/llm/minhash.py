@@ -30,11 +30,11 @@ SPACE = 1 << 20
 BANDS, ROWS = 40, 7
 SEED = 20220204
 #: Clusters of at most so many members are resolved by one task; larger ones over all.
-CLUSTER_ROWS = 256
+CLUSTER_ROWS = 512
 #: Nor may the sets of one task's cluster hold more shingles than this.
 CLUSTER_SHINGLES = 1_000_000
-#: In large clusters, rounds of pivots end when at most so many pairs for each row of a bucket are open, or after so many rounds without a link.
-OPEN_PAIRS, IDLE_ROUNDS = 4, 3
+#: In large clusters, rounds of pivots end when at most so many pairs for each row of a bucket are open, or a round has closed less than half of them.
+OPEN_PAIRS = 4
 #: A pivot's set is copied so many times, as one pivot may meet all others.
 SALTS = 16
 #: Hashed words that a worker remembers during a task.
@@ -265,12 +265,13 @@ def _wide_clusters(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
     Every round takes one pivot for each band bucket that still holds several components, and confirms the links
     of the bucket's other members to it on full sets: one pair for each row. What a round links is one component
-    from then on. When few pairs are open, or rounds find no links any more, the open pairs are confirmed too.
+    from then on. When few pairs are open, or rounds close few more, the open pairs are confirmed too: those of members
+    that share a bucket and aren't linked yet.
     """
     rows = staged(members.select("v", "n", F.explode("bands").alias("band")), "near-buckets")
     total = rows.count()
     roots = staged(members.select("v", F.col("v").alias("root")).distinct(), "near-roots")
-    tried, k, idle = None, 0, 0
+    tried, k, before = None, 0, None
 
     def confirmed(pairs: DataFrame, salts: int) -> DataFrame:
         """Of the distinct pairs (a, b) those that are linked, on full sets."""
@@ -295,7 +296,8 @@ def _wide_clusters(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
         left = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2).alias("n")).first()["n"] or 0
         if not left:
             return roots
-        last = left <= OPEN_PAIRS * total or idle >= IDLE_ROUNDS
+        last = left <= OPEN_PAIRS * total or (before is not None and 2 * left > before)
+        before = left
         if last:
             other = own.select(F.col("band").alias("_band"), F.col("v").alias("b"), F.col("n").alias("nb"), F.col("root").alias("_root"))
             open_ = own.join(mixed.select(F.col("_band").alias("_b")), F.col("band") == F.col("_b"), "left_semi")
@@ -304,8 +306,7 @@ def _wide_clusters(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
             pairs = own.join(mixed, F.col("band") == F.col("_band")).filter("root <> _root").select("a", F.col("v").alias("b"), "na", F.col("n").alias("nb"))
         pairs = staged(fresh_pairs(pairs), f"near-pairs-{k}")
         links = staged(confirmed(pairs, 1 if last else SALTS), f"near-links-{k}")
-        idle = 0 if links.limit(1).count() else idle + 1
-        if not idle:
+        if links.limit(1).count():
             to = lambda df, c: df.join(roots.select(F.col("v").alias("_v"), F.col("root").alias(f"_{c}")), F.col(c) == F.col("_v")).drop("_v", c).withColumnRenamed(f"_{c}", c)  # noqa: B023, E731
             up = components(to(to(links, "a"), "b"), f"near-wide-{k}").select(F.col("v").alias("_v"), F.col("root").alias("_up"))
             roots = staged(roots.join(up, F.col("root") == F.col("_v"), "left").select("v", F.coalesce("_up", "root").alias("root")), f"near-roots-{k}")
