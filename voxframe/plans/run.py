@@ -121,8 +121,22 @@ def apply_step(s: State, step: str, p: dict) -> State:
     raise ValueError(f"no step {step}")
 
 
+def cropped(s: State) -> State:
+    """The state within the box of its masks: what lies outside counts for no family but the local peaks."""
+    own = np.argwhere((s.morph > 0) | (s.inten > 0))
+    if not len(own):
+        return s
+    box = tuple(slice(a, b + 1) for a, b in zip(own.min(0), own.max(0), strict=True))
+    if all(k.start == 0 and k.stop == n for k, n in zip(box, s.image.shape, strict=True)):
+        return s
+    origin = tuple(o + k.start * t for o, k, t in zip(s.origin, box, s.spacing, strict=True))
+    return replace(s, image=s.image[box], raw=s.raw[box], morph=s.morph[box], inten=s.inten[box], valid=None if s.valid is None else s.valid[box], origin=origin)
+
+
 def compute_families(s: State, families: list[str], p: dict) -> dict[str, dict[str, float]]:
     """Features by family; texture families that are asked for together share their neighbourhoods, zones and distances."""
+    if families[0] != "local_intensity":
+        s = cropped(s)
     if families[0] not in catalogue.TEXTURE:
         return {families[0]: compute_family(s, families[0], p)}
     roi = s.inten == 1
@@ -265,6 +279,44 @@ def run(volumes: DataFrame, configs: dict[str, Config], memo: bool = True, rules
     return spread(volumes.select("volume_id", "nx", "ny", "nz", "spacing", "origin", "data", *masks)).mapInArrow(kernel, OUT)
 
 
+def _voxel_rows(volumes: DataFrame, of, kind: pa.DataType, name: str) -> DataFrame:  # noqa: ANN001
+    """volume_id, x, y, z and one value of the voxels that of(array, spacing) marks, of volumes of any shape."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                shape = tuple(b.column(k)[r].as_py() for k in (1, 2, 3))
+                x = b.column(5)[r].values.to_numpy(zero_copy_only=False).reshape(shape).astype(float)
+                mark, value = of(x, tuple(b.column(4)[r].as_py()))
+                at = np.argwhere(mark).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b.column(0)[r].as_py()] * len(at), volume_kind), *(pa.array(at[:, k]) for k in range(3)), pa.array(value[mark], kind)], names=["volume_id", "x", "y", "z", name]
+                )
+
+    id_type = volumes.schema["volume_id"].dataType.simpleString()
+    volume_kind = pa.string() if id_type == "string" else pa.int64()
+    return spread(volumes.select("volume_id", "nx", "ny", "nz", "spacing", "data")).mapInArrow(kernel, f"volume_id {id_type}, x int, y int, z int, {name} {'double' if kind == pa.float64() else 'int'}")
+
+
+def filtered(volumes: DataFrame, params: dict) -> DataFrame:
+    """volume_id, x, y, z, v of volumes of any shape after a filter step."""
+
+    def of(x: np.ndarray, spacing: tuple) -> tuple[np.ndarray, np.ndarray]:
+        return np.ones(x.shape, bool), filters.apply_filter(x, spacing, params)
+
+    return _voxel_rows(volumes, of, pa.float64(), "v")
+
+
+def largest_components(volumes: DataFrame, above: float = 0.0) -> DataFrame:
+    """volume_id, x, y, z, kept of the voxels in the largest 6-connected part of those above a value."""
+
+    def of(x: np.ndarray, spacing: tuple) -> tuple[np.ndarray, np.ndarray]:
+        got = largest_component((x > above).astype(int)) > 0
+        return got, got.astype(np.int32)
+
+    return _voxel_rows(volumes, of, pa.int32(), "kept")
+
+
 def matrices(volumes: DataFrame, method: str = "FBN", n_bins: int | None = 8, bin_width: float | None = None, families: tuple[str, ...] = catalogue.TEXTURE) -> DataFrame:
     """volume_id, family, i, j, n: the sparse texture matrices of whole volumes (NGTDM: j is 0, n counts voxels).
 

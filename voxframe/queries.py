@@ -145,19 +145,8 @@ c AS (SELECT volume_id, id, min(root) AS root FROM r GROUP BY ALL), s AS (SELECT
 b AS (SELECT volume_id, root FROM (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY n DESC, root) AS k FROM s) WHERE k = 1)
 SELECT volume_id, id AS voxel FROM c JOIN b USING (volume_id, root)""")
 def keep_largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
-    import pyarrow as pa
-
-    def kernel(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            ids, out = [], []
-            for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at = np.flatnonzero(run.largest_component((np.array(x).reshape(4, 4, 4) > 0).astype(int)))
-                ids += [key] * len(at)
-                out += at.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int32())], names=["volume_id", "voxel"])
-
-    return run.spread(embedding_volumes(spark, sf_dir).select("volume_id", "data")).mapInArrow(kernel, "volume_id long, voxel int")
+    got = run.largest_components(embedding_volumes(spark, sf_dir))
+    return got.select("volume_id", (F.col("x") * 16 + F.col("y") * 4 + F.col("z")).alias("voxel"))
 
 
 @query(f"WITH {_VOX} SELECT volume_id, x, y, z, CAST(trunc((greatest(least(v, 0.2), -0.2) - -0.2) / 0.4 * 255) AS INT) AS grey FROM vox")
@@ -590,21 +579,7 @@ def same_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _filtered(spark: SparkSession, sf_dir: str, params: dict) -> DataFrame:
-    """volume_id, x, y, z, v of filtered volumes."""
-    import numpy as np
-    import pyarrow as pa
-
-    from voxframe.functions.filters import apply_filter
-
-    def kernel(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            out = [apply_filter(np.array(x, float).reshape(4, 4, 4), (1.0, 1.0, 1.0), params).reshape(-1) for x in b.column(1).to_pylist()]
-            at = np.arange(64)
-            cols = [np.repeat(ids, 64), *(np.tile(k, len(ids)).astype(np.int32) for k in (at // 16, at // 4 % 4, at % 4)), np.concatenate(out)] if ids else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["volume_id", "x", "y", "z", "v"])
-
-    return rounded(run.spread(embedding_volumes(spark, sf_dir).select("volume_id", "data")).mapInArrow(kernel, "volume_id long, x int, y int, z int, v double"))
+    return rounded(run.filtered(embedding_volumes(spark, sf_dir), params))
 
 
 def _stencil_sql(taps: list[list[tuple[int, float]]]) -> str:
