@@ -61,11 +61,83 @@ def model(spark):
 @pytest.mark.parametrize("text", ["1d10t", "i d i o t", "idiooot", "m0r0n", "tr@sh", "$cum", "p-a-t-h-e-t-i-c", "st*pid", "(lown", "D1SGUST1NG"])
 def test_restored(model, text):
     chars, weights, coef = model
-    total, top, n = toxicity.weigh("the and of that with " * 8 + text, chars, weights, {}, {})
+    total, top, n = toxicity.Scale(chars, weights).weigh("the and of that with " * 8 + text)
     z = (toxicity._inputs(np.array([total]), np.array([top]), np.array([n * 1.0])) @ coef)[0]
     assert 1 / (1 + np.exp(-z)) >= toxicity.THRESHOLD
 
 
+def test_viterbi_against_all_paths():
+    """The cheapest of all ways through the lattice, written out, costs what Viterbi's result costs."""
+    rng = np.random.default_rng(7)
+    lm = toxicity.log_model(rng.integers(0, 9, toxicity.N**3).astype(float) * (rng.random(toxicity.N**3) < 0.02))
+
+    def cheapest(token):
+        ways = [(0.0, 0, 0, "", "")]
+        for c in token:
+            arcs, nothing = toxicity.arcs_of(c)
+            nxt = []
+            for cost, a, b, last, out in ways:
+                nxt += [(cost + price - lm[a, b, k], b, k, c, out + toxicity.LETTERS[k - 1]) for k, price in arcs]
+                if nothing is not None:
+                    nxt.append((cost + nothing, a, b, last, out))
+                    nxt.append((cost + toxicity.PART - lm[a, b, 0], 0, 0, "", out + " ") if b else (cost, 0, 0, "", out))
+                if last == c:
+                    nxt.append((cost + toxicity.AGAIN, a, b, last, out))
+            ways = nxt
+        return min((cost - (lm[a, b, 0] if b else 0.0), out.strip()) for cost, a, b, _, out in ways)
+
+    for token in ["1d10t", "st*pid", "a.b-c", "i d i o t", "iidd", "9ggq", "aa4a", "", ".", "y o u", "l1!|", "x-__y"]:
+        cost, out = cheapest(token)
+        got = toxicity.restore(token, lm)
+        assert got == out, (token, cost)
+
+
+def test_long_tokens_are_decoded_whole(model):
+    chars, weights, _ = model
+    token = ".".join(["thing"] * 4000) + ".1d10t"
+    assert toxicity.restore(token, chars).endswith(" idiot")
+    assert toxicity.Scale(chars, weights).weigh(token)[1] > toxicity.STRONG
+
+
+def test_obfuscated_held_out_documents(model, spark):
+    """Clean held-out documents with three obfuscated toxic words each: the decoder finds them, and without it they pass."""
+    import random
+
+    chars, weights, coef = model
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("toxic = 0"), "doc_id").limit(900).collect()
+    clean = [r.text for r in docs if zlib.crc32(str(r.doc_id).encode()) % 3 == 1 and 200 < len(r.text) < 3000][:150]
+    rng = random.Random(3)
+    bad = sorted({f[:-1] for f, w in weights.items() if f.endswith("$") and w > 6.5})
+    looks = {"a": "4@", "e": "3", "i": "1!", "o": "0", "s": "5$", "t": "7", "b": "8", "l": "1|"}
+
+    def swap(w):
+        at = [i for i, c in enumerate(w) if c in looks]
+        some = set(rng.sample(at, max(1, len(at) * 2 // 3)))
+        return "".join(rng.choice(looks[c]) if i in some else c for i, c in enumerate(w))
+
+    ways = {"look-alikes": swap, "spaces": " ".join, "fillers": lambda w: rng.choice(".-_").join(w), "repeats": lambda w: "".join(c * rng.choice((1, 2, 3)) for c in w), "both": lambda w: " ".join(swap(w)), "joined": lambda w: f"thing.{swap(w)}.and"}
+
+    class Blind(toxicity.Scale):
+        def token(self, token):
+            return max((self.weights.get(f, 0.0) for w in toxicity._PARTS.findall(token) for f in toxicity.features_of(w)), default=0.0)
+
+    def share(scale, texts):
+        got = np.array([scale.weigh(t) for t in texts], float)
+        return float((1 / (1 + np.exp(-np.clip(toxicity._inputs(*got.T) @ coef, -30, 30))) >= toxicity.THRESHOLD).mean())
+
+    seeing, blind = toxicity.Scale(chars, weights), Blind(chars, weights)
+    assert len(bad) >= 5 and share(seeing, clean) <= 0.01
+    for name, way in ways.items():
+        texts = []
+        for t in clean:
+            w = t.split()
+            for _ in range(3):
+                w.insert(rng.randrange(len(w) + 1), way(rng.choice(bad)))
+            texts.append(" ".join(w))
+        assert share(seeing, texts) > 0.9, name
+        assert share(blind, texts) < 0.7, name
+
+
 def test_trigrams_against_brute_force():
     texts = ["The idiot, été!", "", "a b"]
     got = toxicity.trigram_counts(texts)
@@ -307,22 +379,33 @@ def test_packing_against_brute_force(frequent, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, "hot" if i % 3 == 0 else f"s{rng.integers(6)}", int(rng.integers(40)) if i % 4 else 1, int(rng.integers(1, 90))) for i in range(300)]
     got = packing.pack(rows, 100)
-    bins = []
+    bins, clock, want = [], 0, []
     for n, i in sorted(((r[3], i) for i, r in enumerate(rows)), key=lambda x: (-x[0], x[1])):
-        fits = [(100 - b["n"], k) for k, b in enumerate(bins) if b["n"] + n <= 100 and rows[i][1] not in b["s"] and rows[i][2] not in b["c"]]
+        clock += 1
+        fits = [(100 - b["n"], b["since"], k) for k, b in enumerate(bins) if b["n"] + n <= 100 and rows[i][1] not in b["s"] and rows[i][2] not in b["c"]]
         if not fits:
             bins.append({"n": 0, "s": set(), "c": set()})
-            fits = [(100, len(bins) - 1)]
-        b = bins[min(fits)[1]]
+            fits = [(100, 0, len(bins) - 1)]
+        k = min(fits)[2]
+        b = bins[k]
+        want.append((i, n, k, b["n"]))
         b["n"] += n
+        b["since"] = clock
         b["s"].add(rows[i][1])
         b["c"].add(rows[i][2])
-    mine = collections.defaultdict(list)
-    for i, _, _, n, b, _ in got:
-        mine[b].append((rows[i][1], rows[i][2], n))
-    for held in mine.values():
-        assert len({s for s, _, _ in held}) == len({c for _, c, _ in held}) == len(held) and sum(n for *_, n in held) <= 100
-    assert abs(len(mine) - len(bins)) <= 2
+    assert [(i, n, b, at) for i, _, _, n, b, at in got] == want
+
+
+def test_packing_counts_the_encoders_tokens(spark, odd_docs):
+    from pyspark.sql import functions as F
+
+    sizes = sentencepieces.encoding_digests(odd_docs).select(F.col("doc_id").alias("_id"), "n_tokens").distinct()
+    docs = odd_docs.filter("doc_id is not null").join(sizes, F.col("doc_id") == F.col("_id")).drop("_id")
+    got = packing.best_fit_packing(docs, tokens="n_tokens").groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    want = collections.Counter()
+    for r in docs.select("doc_id", "n_tokens").collect():
+        want[r.doc_id] += r.n_tokens + 1
+    assert {r.doc_id: r.n for r in got} == want
 
 
 # --- pages ---------------------------------------------------------------------------------------------------------

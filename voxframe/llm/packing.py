@@ -2,8 +2,8 @@
 
 A bin holds no two pieces of one source and no two of one duplicate cluster; both are bits of its bitmaps. Open
 bins are ordered by residual, and the successor search starts at the piece's length and goes on to the next
-larger residual until the tightest bin without a conflict is found. Documents longer than a bin are cut at its
-size, so no token is dropped.
+larger residual until the tightest bin without a conflict is found; of equally tight ones, the one that has had its
+residual longest. Documents longer than a bin are cut at its size, so no token is dropped.
 
 Packing runs in shares of the documents that are dealt by hash, so neither a large source nor a large cluster
 lands in one task, and a task's memory is bounded.
@@ -136,18 +136,19 @@ def _share_rows(capacity: int):
     return run
 
 
-def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, share_rows: int = SHARE_ROWS) -> DataFrame:
+def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, share_rows: int = SHARE_ROWS, tokens: str | None = None) -> DataFrame:
     """One row for each piece of each row of docs: doc_id, piece, start, n_tokens, bin_id, bin_offset.
 
-    Tokens are words and one end mark, so null and empty texts take one token; duplicate clusters are texts that
-    are equal; a null source conflicts with none; equal rows are packed apart, as they share a cluster; an empty
+    `tokens` names a column of docs with each document's number of tokens, such as n_tokens of the encoder's digests;
+    one end mark is added to it, and null counts as none. Without it tokens are words and one end mark, so null and
+    empty texts take one token. Duplicate clusters are texts that are equal; a null source conflicts with none; equal rows are packed apart, as they share a cluster; an empty
     table gives an empty result; other columns are not looked at. Texts are read but don't move.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     small = docs.select(
         "doc_id", "source",
         F.when(text != "", F.xxhash64(text)).alias("cluster"),
-        (F.size(words_column(text)) + 1).cast("long").alias("tokens"),
+        ((F.coalesce(F.col(f"`{tokens}`"), F.lit(0)) if tokens else F.size(words_column(text))) + 1).cast("long").alias("tokens"),
         F.xxhash64("doc_id", text).alias("dealt"),
     )
     shares = max(1, -(-docs.count() // share_rows))

@@ -35,7 +35,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåçèéêëìíîïñòóôöõ
 N = len(LETTERS) + 1
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 #: Costs of the channel, in natural logarithms: a letter as it is, a look-alike, a filler or a space within a word or between two, one more of a repeated letter.
-KEEP, SWAP, DROP, SPACED, PART, AGAIN = 0.0, 1.0, 0.2, 0.3, 2.0, 0.7
+KEEP, SWAP, DROP, SPACED, PART, AGAIN = 0.0, 1.0, 0.2, 0.3, 4.0, 0.7
 
 #: The classifier is fitted on at most so many labelled documents, those of the smallest hashes.
 SAMPLE = 20_000
