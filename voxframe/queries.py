@@ -18,7 +18,7 @@ from voxframe.functions.texture import DIRECTIONS, NAMES, NEIGHBOURS
 from voxframe.operators import geometry, lattice, metadata, results, stats, steps
 from voxframe.plans import catalogue, run
 from voxframe.plans.config import DESCRIBED, GROUPS, NEED_BINS, Config, Configs, described, plan
-from voxframe.sources.volumes import embedding_volumes, voxels
+from voxframe.sources.volumes import embedding_volumes, grouped_volumes, voxels
 from voxframe.streaming.ingest import windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -375,6 +375,45 @@ def glcm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(spark, sf_dir, ["glcm"], {k: "energy" if k.startswith("angular") else k.rsplit("_", 1)[0] for k in catalogue.GLCM})
 
 
+# Volumes of different shapes, of 2 x 1 x 1 mm, with holes in their masks: the line items of each supplier.
+_MIX = """raw AS (SELECT l_suppkey AS volume_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE), CASE WHEN l_quantity > 10 THEN 1 ELSE 0 END) - 1 AS r, count(*) OVER (PARTITION BY l_suppkey) AS n, CAST(l_extendedprice AS DOUBLE) AS v, CASE WHEN l_quantity > 10 THEN 1 ELSE 0 END AS m FROM lineitem),
+cut AS (SELECT * FROM raw WHERE r < n // 25 * 25 AND m = 1), vox AS (SELECT CAST(volume_id AS BIGINT) AS volume_id, CAST(r // 25 AS INT) AS x, CAST(r // 5 % 5 AS INT) AS y, CAST(r % 5 AS INT) AS z, v, m FROM cut)"""
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_volumes(table(spark, sf_dir, "lineitem"), "l_suppkey", ["l_orderkey", "l_linenumber"], "l_extendedprice", "l_quantity > 10")
+
+
+def _mixed_features(spark: SparkSession, sf_dir: str, family: str, names: dict[str, str], first: list[dict] | None = None) -> DataFrame:
+    long = run.run(_mixed(spark, sf_dir), {"c": Config([*(first or []), {"step": "extract_features", "params": {"families": [family]}}])})
+    got = long.groupBy(F.col("subject_id").cast("long").alias("volume_id")).agg(*[F.max(F.when(F.col("feature_name") == n, F.col("value"))).alias(k) for k, n in names.items()])
+    return got.select("volume_id", *[(F.round(F.col(k) + NUDGE, 6) + 0.0).alias(k) for k in names])
+
+
+_PLAIN = {k: v for k, v in INTENSITY.items() if k not in ("var", "energy")}
+_MIXED_STATISTICS = _volume_statistics_sql(f"(WITH {_MIX} SELECT volume_id, v FROM vox)")
+
+
+@query(f"SELECT volume_id, {', '.join(f'{k}_ AS {k}_of' for k in _PLAIN)} FROM ({_MIXED_STATISTICS})", nudge=True)
+def mixed_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed_features(spark, sf_dir, "intensity", {f"{k}_of": v for k, v in _PLAIN.items()})
+
+
+@query(ORACLE_SQL["glcm_features"].replace(_VOX, _MIX))
+def mixed_glcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 25 co-occurrence features within irregular masks."""
+    names = {"energy" if k.startswith("angular") else k.rsplit("_", 1)[0]: k for k in catalogue.GLCM}
+    return _mixed_features(spark, sf_dir, "glcm", names, [{"step": "discretise", "params": {"method": "FBN", "n_bins": 8}}])
+
+
+@query(f"""WITH {_MIX}, a AS (SELECT volume_id, count(*) AS n, avg(v) AS mean, var_pop(v) * count(*) AS d FROM vox GROUP BY volume_id),
+p AS (SELECT l.volume_id, 1 / sqrt(4 * (l.x - r.x) ** 2 + (l.y - r.y) ** 2 + (l.z - r.z) ** 2) AS w, l.v AS a, r.v AS b FROM vox l JOIN vox r ON l.volume_id = r.volume_id AND (l.x, l.y, l.z) <> (r.x, r.y, r.z))
+SELECT p.volume_id, round(any_value(n) / sum(w) * sum(w * (p.a - mean) * (p.b - mean)) / any_value(d), 6) + 0.0 AS morans_i, round((any_value(n) - 1) / (2 * sum(w)) * sum(w * (p.a - p.b) ** 2) / any_value(d), 6) + 0.0 AS gearys_c
+FROM p JOIN a USING (volume_id) GROUP BY p.volume_id""", nudge=True)
+def mixed_spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed_features(spark, sf_dir, "spatial_intensity", {"morans_i": "morans_i_index_N365", "gearys_c": "gearys_c_measure_NPT7"})
+
+
 def _emphasis_sql(matrix: str, voxels: str) -> str:
     short = ["short", "long", "gln", "glnn", "sn", "snn", "share", "glv", "sv", "entropy", "low", "high", "short_low", "short_high", "long_low", "long_high"]
     return f"""{matrix}, tot AS (SELECT volume_id, sum(n) AS t FROM mat GROUP BY volume_id), p AS (SELECT volume_id, i, j, n, n / t AS p, t FROM mat JOIN tot USING (volume_id)),

@@ -27,6 +27,20 @@ def embedding_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def grouped_volumes(rows: DataFrame, by: str, order: list[str], value: str, inside: str, plane: tuple[int, int] = (5, 5), spacing: tuple[float, ...] = (2.0, 1.0, 1.0)) -> DataFrame:
+    """The values of each group, in order, as a volume of as many whole planes as they fill: groups give different shapes.
+
+    `inside` is the condition for a voxel to lie in the masks, so those are irregular.
+    """
+    size = plane[0] * plane[1]
+    listed = rows.groupBy(F.col(by).cast("long").alias("volume_id")).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v"), F.expr(inside).cast("int").alias("_m")))).alias("_l"))
+    nx = F.floor(F.size("_l") / size).cast("int")
+    kept = listed.select("volume_id", nx.alias("nx"), F.slice("_l", 1, nx * size).alias("_l")).filter("nx > 0")
+    mask = F.transform("_l", lambda e: e["_m"])
+    three = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    return kept.select("volume_id", "nx", F.lit(plane[0]).alias("ny"), F.lit(plane[1]).alias("nz"), three(spacing).alias("spacing"), three((0, 0, 0)).alias("origin"), F.transform("_l", lambda e: e["_v"]).alias("data"), mask.alias("morph"), mask.alias("intensity"))
+
+
 def voxels(volumes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """volume_id, x, y, z, v, morph_mask, intensity_mask; masks are 1 unless the volumes carry mask arrays."""
     at = F.col("_at")
