@@ -85,3 +85,25 @@ def test_pages_of_unclosed_tags_take_linear_time():
     seconds(1000)
     small, large = seconds(5_000), seconds(50_000)
     assert large < 30 * small
+
+
+def test_hot_keys_join_like_others(spark):
+    from pyspark.sql import functions as F
+
+    from voxframe.llm.common import hot_join
+
+    left = spark.range(6000).select(F.when(F.col("id") < 3500, 7).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("v"))
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("first"))
+    got = hot_join(left, right, ["k"], "n")
+    assert got.exceptAll(left.join(right, ["k"])).count() == 0 and got.count() == 6000
+
+
+def test_scratch_frees_what_is_not_kept(spark):
+    import os
+
+    from voxframe.llm.common import scratch, staged
+
+    with scratch(spark) as keep:
+        gone = staged(spark.range(3), "test-gone")
+        kept = keep(staged(spark.range(4), "test-kept"))
+    assert kept.count() == 4 and not os.path.exists(gone._staged_at.removeprefix("file://"))
