@@ -30,9 +30,9 @@ SPACE = 1 << 20
 BANDS, ROWS = 40, 7
 SEED = 20220204
 #: Clusters of at most so many members are resolved by one task; larger ones over all.
-CLUSTER_ROWS = 512
+CLUSTER_ROWS = 4000
 #: Nor may the sets of one task's cluster hold more shingles than this.
-CLUSTER_SHINGLES = 1_000_000
+CLUSTER_SHINGLES = 4_000_000
 #: In large clusters, rounds of pivots end when at most so many pairs for each row of a bucket are open, or a round has closed less than half of them.
 OPEN_PAIRS = 4
 #: A pivot's set is copied so many times, as one pivot may meet all others.
