@@ -107,3 +107,66 @@ def test_scratch_frees_what_is_not_kept(spark):
         gone = staged(spark.range(3), "test-gone")
         kept = keep(staged(spark.range(4), "test-kept"))
     assert kept.count() == 4 and not os.path.exists(gone._staged_at.removeprefix("file://"))
+
+
+def test_kept_tables_go_with_the_outer_scratch(spark):
+    import os
+
+    from voxframe.llm.common import scratch, staged
+
+    with scratch(spark):
+        with scratch(spark) as keep:
+            inner = keep(staged(spark.range(3), "test-inner"))
+        assert inner.count() == 3
+    assert not os.path.exists(inner._staged_at.removeprefix("file://"))
+
+
+def test_filter_of_keys_loses_none(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from voxframe.llm import common
+
+    df = spark.range(-3000, 3000).select(F.when(F.col("id") != 5, F.col("id")).alias("id"), F.lit("x").alias("at"), F.lit("y").alias("bits"), F.lit("z").alias("block"))
+    for many, bits in ((0, None), (1, None), (2500, None), (2500, 1)):
+        if bits:
+            monkeypatch.setattr(common, "FILTER_BITS", bits)
+        keys = spark.range(0, 2 * many, 2).select(F.when(F.col("id") != 6, F.col("id")).alias("k"))
+        got = common.likely_in(df, "id", keys)
+        here = {r.id for r in got.collect()}
+        want = {i for i in range(0, min(2 * many, 3000), 2)} - {6}
+        assert got.columns == df.columns and want <= here and None not in here
+        assert len(here - want) < (500 if many < 2500 else 6000 if bits else 1000)
+
+
+def test_few_texts_move_for_passages(spark, monkeypatch):
+    """Where the wanted texts are too many to be broadcast, the others stay where they are, and no table on the way stays."""
+    import glob
+
+    from pyspark.sql import functions as F
+
+    from voxframe.llm.common import shared_folder
+
+    monkeypatch.setattr(substrings, "checked_broadcast", lambda df, **_: df, raising=False)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rng = np.random.default_rng(7)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    p = text(500)
+    # One long text that shares its passage, which differs around it, among many that share none.
+    rows = [(i, text(4000)) for i in range(400)] + [(1000 + i, text(200) + p + text(200)) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("uid", F.xxhash64("doc_id", "text"))
+    jvm, store = spark._jvm, spark._jsc.sc().statusStore()
+
+    def moved():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    docs = docs.localCheckpoint()
+    tables = lambda: set(glob.glob(shared_folder(spark).removeprefix("file://") + "/passages-*"))
+    before, there = moved(), tables()
+    got = {r.doc_id: r.spans for r in substrings.repeated_spans(docs).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert set(got) == {1000, 1001}
+    assert moved() - before < 400 * 4000 / 2
+    assert len(tables() - there) == 1

@@ -22,6 +22,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A side of a join is broadcast only if its counted rows are at most this many, and their counted bytes at most those.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16_000_000
+#: Bits that a filter of keys has for each key, and at most; Spark's bitmaps are blocks of so many bits.
+KEY_BITS, FILTER_BITS, BLOCK_BITS = 16, 8 * BROADCAST_BYTES, 32_768
 #: Arrow batches that go to Python hold at most so many bytes (of one row at least) and rows.
 BATCH_BYTES, BATCH_ROWS = 4_000_000, 2000
 
@@ -87,7 +89,7 @@ def unstage(df: DataFrame) -> None:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Frees at its end the tables that were staged within, but those passed to the function it gives."""
+    """Frees at its end the tables that were staged within, but those passed to the function it gives, which the next outer scratch() has from then on."""
     _NOTED.append([])
     kept: set[str] = set()
 
@@ -101,6 +103,8 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         for path in _NOTED.pop():
             if path not in kept:
                 _drop(spark, path)
+            elif _NOTED:
+                _NOTED[-1].append(path)
 
 
 def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -164,6 +168,21 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str) ->
     return left.join(F.broadcast(hot), keys).unionByName(cold)
 
 
+def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose key is in keys (one column, staged), and few others: about 1 of KEY_BITS where keys are few.
+
+    A bitmap of hashes is broadcast, of at most FILTER_BITS bits; more keys let more other rows pass, but lose none.
+    What a join would drop is thus not shuffled. Rows without a key are in no join, and go.
+    """
+    blocks = max(1, min(KEY_BITS * keys.count(), FILTER_BITS) // BLOCK_BITS)
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks * BLOCK_BITS))
+    b, m, at = fresh("block", df), fresh("bits", df), fresh("slot", df)
+    bits = keys.dropna().select(slot(F.col(keys.columns[0])).alias("at")).groupBy(F.expr(f"at div {BLOCK_BITS}").alias(b)).agg(F.bitmap_construct_agg(F.col("at") % BLOCK_BITS).alias(m))
+    held = F.expr(f"shiftright(cast(conv(hex(substring(`{m}`, cast(`{at}` % {BLOCK_BITS} div 8 as int) + 1, 1)), 16, 10) as int), cast(`{at}` % 8 as int)) % 2 = 1")
+    got = df.filter(F.col(f"`{key}`").isNotNull()).withColumn(at, slot(F.col(f"`{key}`"))).withColumn(b, F.expr(f"`{at}` div {BLOCK_BITS}"))
+    return got.join(F.broadcast(bits), b).filter(held).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def fresh(name: str, *dfs: DataFrame) -> str:
     """A column name that none of the tables has."""
     taken = {c.lower() for df in dfs for c in df.columns}

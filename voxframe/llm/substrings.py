@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from voxframe.llm.common import checked_broadcast, fresh, hot_join, in_batches, shuffle_partitions, staged, words_of
+from voxframe.llm.common import fresh, hot_join, in_batches, likely_in, scratch, shuffle_partitions, staged, unstage, words_of
 
 MIN_BYTES = 400
 #: Symbols of an anchor, in bytes and in words.
@@ -318,15 +318,22 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "non
     """uid, doc_id, spans of the rows of docs (doc_id, text, uid) that lose bytes; spans (a, b) may overlap.
 
     keep "none": every place of a string that starts twice goes. keep "first": all but its first place, by
-    doc_id and position, goes. With `words`, min_bytes counts words, and spans are those of words.
+    doc_id and position, goes. With `words`, min_bytes counts words, and spans are those of words. The result is
+    staged; the tables on the way to it are freed.
     """
+    with scratch(docs.sparkSession) as keep_table:
+        return keep_table(staged(_find_spans(docs, min_bytes, keep, words), "passages-found-spans"))
+
+
+def _find_spans(docs: DataFrame, min_bytes: int, keep: str, words: bool) -> DataFrame:
     spark = docs.sparkSession
     least = 2 * min_bytes - 1 if words else min_bytes
     runs = docs.filter(F.octet_length("text") >= least).select("uid", "doc_id", "text")
-    runs = staged(in_batches(runs, _run_rows(min_bytes, words), "v long, s long, uid long, doc_id long, lo long, starts long, twice boolean", _WORDS.clear), "passages-runs")
+    every = staged(in_batches(runs, _run_rows(min_bytes, words), "v long, s long, uid long, doc_id long, lo long, starts long, twice boolean", _WORDS.clear), "passages-runs")
     # Most anchors come once: from here on only runs count whose anchor comes again, in another run or twice in its own.
-    again = runs.groupBy("v").agg(F.count("*").alias("all"), F.max("twice").alias("any")).filter("all > 1 or any").select("v", "all")
-    runs = staged(hot_join(runs, staged(again, "passages-again"), ["v"], "all").drop("all"), "passages-shared")
+    again = every.groupBy("v").agg(F.count("*").alias("all"), F.max("twice").alias("any")).filter("all > 1 or any").select("v", "all")
+    runs = staged(hot_join(every, staged(again, "passages-again"), ["v"], "all").drop("all"), "passages-shared")
+    unstage(every)
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid", "lo")
     same = runs.groupBy("v", "s").agg(F.count("*").alias("n"), F.min(place).alias("at"), F.max("starts").alias("starts"), F.max("twice").alias("twice"))
     same = staged(same, "passages-digests")
@@ -337,7 +344,8 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "non
         F.collect_list(F.struct("v", "s", F.col("at.doc_id").alias("doc_id"), F.col("at.lo").alias("lo"), "starts", (F.col("size") > GROUP_BYTES).alias("wide"))).alias("wanted")
     )
     want = staged(want, "passages-want")
-    hit = docs.join(checked_broadcast(want, size=64 * F.size("wanted")), (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    # One plan at any size: of the texts, little more than the wanted ones move.
+    hit = likely_in(docs.select("uid", "doc_id", "text"), "uid", want.select("_uid")).join(want, (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     schema = "v long, s long, doc_id long, lo long, piece binary, wide boolean"
     pieces = in_batches(hit.select("text", "wanted"), _cut_pieces(min_bytes, words), schema, _WORDS.clear)
     any_wide = same.filter(F.col("size") > GROUP_BYTES).filter("mixed").limit(1).count() > 0
