@@ -170,3 +170,23 @@ def test_few_texts_move_for_passages(spark, monkeypatch):
     assert set(got) == {1000, 1001}
     assert moved() - before < 400 * 4000 / 2
     assert len(tables() - there) == 1
+
+
+def test_words_hash_alike_wherever_they_stand():
+    from voxframe.llm.common import words_of
+
+    rng = np.random.default_rng(8)
+    some = ["a", "b", "aa", "ab", "ba", "é", "\x00", "\x00\x00", "\u00a0", "x" * 63, "x" * 64, "x" * 65, "y" * 5000, *(str(i) for i in range(3000))]
+    morse = "a"
+    while len(morse) < 4096:  # of this and its mirror image, polynomials of 64 bits are equal
+        morse += morse.translate({97: "b", 98: "a"})
+    some += [morse, morse.translate({97: "b", 98: "a"})]
+    text = "".join(w + rng.choice(list(" \t\n\x0b\x0c\r")) * int(rng.integers(1, 3)) for w in rng.choice(some, 20_000))
+    one = {}
+    for w, h in zip(words_of(text), substrings.symbols(substrings.word_codes([text])[0], True).tolist(), strict=True):
+        assert one.setdefault(w, h) == h
+    assert len(set(one.values())) == len(one) > 2900
+    texts = ["", text, " \n", morse, some[-1], "a\n", "b a", text]
+    apart = [substrings.word_codes([t])[0] for t in texts]
+    assert substrings.word_codes(texts) == apart and apart[0] == apart[2] == b"" and apart[3] != apart[4]
+    assert substrings.word_codes([]) == [] and all(len(c) == substrings.WORD_BYTES * len(words_of(t)) for t, c in zip(texts, apart, strict=True))

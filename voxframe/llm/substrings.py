@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from voxframe.llm.common import fresh, hot_join, in_batches, likely_in, scratch, shuffle_partitions, staged, unstage, words_of
+from voxframe.llm.common import fresh, hot_join, in_batches, likely_in, scratch, shuffle_partitions, staged, unstage
 
 MIN_BYTES = 400
 #: Symbols of an anchor, in bytes and in words.
@@ -39,31 +39,50 @@ WORD_BYTES = 8
 GROUP_BYTES = 1_500_000
 #: Pieces are compared about so many bytes at a time.
 CHUNK_BYTES = 1_000_000
-
-#: Hashed words that a worker remembers during a task.
-CACHE = 50_000
+#: Words from so many bytes on are hashed one by one: polynomials of 64 bits have clashes that can be written down, all far longer.
+LONG_WORD = 64
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_WORDS: dict[str, bytes] = {}
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def text_bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def word_bytes(text: str) -> bytes:
-    """The words of a text, each as WORD_BYTES of its hash."""
-    out = []
-    for w in words_of(text):
-        h = _WORDS.get(w)
-        if h is None:
-            if len(_WORDS) >= CACHE:  # bounds the memory of a worker; hashes don't depend on it
-                _WORDS.clear()
-            h = _WORDS[w] = hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=WORD_BYTES).digest()
-        out.append(h)
-    return b"".join(out)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9)
+        return h ^ (h >> _U(29))
+
+
+_BYTE = _mixed((np.arange(256, dtype=_U) + _U(1)) * _U(0xD6E8FEB86659FD93))
+
+
+def word_codes(texts: list[str]) -> list[bytes]:
+    """The words of each text, each as WORD_BYTES of its hash; the words of all texts at once, byte by byte."""
+    raws = [text_bytes(t) for t in texts]
+    raw = b"\n".join(raws)
+    data = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]])))
+    first, size = edge[::2], edge[1::2] - edge[::2]
+    h = size.astype(_U)
+    with np.errstate(over="ignore"):
+        live, k = np.flatnonzero(size < LONG_WORD), 0
+        while len(live := live[size[live] > k]):
+            h[live] = h[live] * _U(_BASE) + _BYTE[data[first[live] + k]]
+            k += 1
+    h = _mixed(h)
+    for i in np.flatnonzero(size >= LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(raw[first[i] : first[i] + size[i]], digest_size=WORD_BYTES).digest(), "little")
+    ends = np.searchsorted(first, np.cumsum([len(r) + 1 for r in raws])).tolist()
+    return [h[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def byte_codes(texts: list[str]) -> list[bytes]:
+    return [text_bytes(t) for t in texts]
 
 
 def symbols(raw: bytes, words: bool = False) -> np.ndarray:
@@ -88,8 +107,7 @@ def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
             n = len(data) - 2 * size + 1
             h = h[:n] * _U(pow(_BASE, size, 1 << 64)) + h[size : size + n]
             size *= 2
-        out = (out ^ (out >> _U(31))) * _U(0xBF58476D1CE4E5B9)
-        return out ^ (out >> _U(29))
+        return _mixed(out)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -113,6 +131,9 @@ def runs_of(data: np.ndarray, least: int = MIN_BYTES, gram: int = GRAM) -> tuple
     low = sliding_min(grams, least - gram + 1)
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     starts = np.diff(np.append(first, len(low)))
+    key = np.sort(grams)
+    if not (key[1:] == key[:-1]).any():  # as in most texts; sorting values costs a fifth of ranking them
+        return low[first].view(np.int64), first, starts, np.zeros(len(first), bool)
     # Places of the anchor within a run: those of equal hashes between its first and its last gram, counted by ranks.
     order = np.argsort(grams, kind="stable")
     key = grams[order]
@@ -126,13 +147,12 @@ def runs_of(data: np.ndarray, least: int = MIN_BYTES, gram: int = GRAM) -> tuple
 
 def _run_rows(least: int, words: bool):
     names = ["v", "s", "uid", "doc_id", "lo", "starts", "twice"]
-    code, width, gram = (word_bytes, WORD_BYTES, WORD_GRAM) if words else (text_bytes, 1, GRAM)
+    codes, width, gram = (word_codes, WORD_BYTES, WORD_GRAM) if words else (byte_codes, 1, GRAM)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, s, u, d, lo, n, w = [], [], [], [], [], [], []
-            for uid, doc, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = code(text)
+            for uid, doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), codes(b.column(2).to_pylist()), strict=True):
                 anchors, first, starts, twice = runs_of(symbols(raw, words), least, gram)
                 v.append(anchors)
                 lo.append(first)
@@ -263,13 +283,12 @@ def _compare_rows(min_bytes: int, words: bool):
 
 
 def _cut_pieces(min_bytes: int, words: bool):
-    code, width = (word_bytes, WORD_BYTES) if words else (text_bytes, 1)
+    codes, width = (word_codes, WORD_BYTES) if words else (byte_codes, 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, s, doc, lo, piece, wide = [], [], [], [], [], []
-            for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = code(text)
+            for raw, wanted in zip(codes(b.column(0).to_pylist()), b.column(1).to_pylist(), strict=True):
                 for x in wanted:
                     v.append(x["v"])
                     s.append(x["s"])
@@ -329,7 +348,7 @@ def _find_spans(docs: DataFrame, min_bytes: int, keep: str, words: bool) -> Data
     spark = docs.sparkSession
     least = 2 * min_bytes - 1 if words else min_bytes
     runs = docs.filter(F.octet_length("text") >= least).select("uid", "doc_id", "text")
-    every = staged(in_batches(runs, _run_rows(min_bytes, words), "v long, s long, uid long, doc_id long, lo long, starts long, twice boolean", _WORDS.clear), "passages-runs")
+    every = staged(in_batches(runs, _run_rows(min_bytes, words), "v long, s long, uid long, doc_id long, lo long, starts long, twice boolean"), "passages-runs")
     # Most anchors come once: from here on only runs count whose anchor comes again, in another run or twice in its own.
     again = every.groupBy("v").agg(F.count("*").alias("all"), F.max("twice").alias("any")).filter("all > 1 or any").select("v", "all")
     runs = staged(hot_join(every, staged(again, "passages-again"), ["v"], "all").drop("all"), "passages-shared")
@@ -347,7 +366,7 @@ def _find_spans(docs: DataFrame, min_bytes: int, keep: str, words: bool) -> Data
     # One plan at any size: of the texts, little more than the wanted ones move.
     hit = likely_in(docs.select("uid", "doc_id", "text"), "uid", want.select("_uid")).join(want, (F.col("uid") == F.col("_uid")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     schema = "v long, s long, doc_id long, lo long, piece binary, wide boolean"
-    pieces = in_batches(hit.select("text", "wanted"), _cut_pieces(min_bytes, words), schema, _WORDS.clear)
+    pieces = in_batches(hit.select("text", "wanted"), _cut_pieces(min_bytes, words), schema)
     any_wide = same.filter(F.col("size") > GROUP_BYTES).filter("mixed").limit(1).count() > 0
     if any_wide:
         pieces = staged(pieces, "passages-pieces")
