@@ -1,6 +1,7 @@
 """Runs configurations over volumes: one Arrow pass, one row in for each volume, long feature rows out, no shuffle.
 
-Within a volume, states after equal step prefixes and equal (family, signature) results are computed once.
+Within a volume, states after equal step prefixes and equal (family, signature) results are computed once. Small volumes
+go through the steps side by side, so that kernels which take many regions at once get them.
 """
 
 from __future__ import annotations
@@ -197,12 +198,37 @@ def source_state(data: np.ndarray, morph: np.ndarray | None, inten: np.ndarray |
     return State(data, data, morph, inten, valid, tuple(spacing), tuple(origin), generated)
 
 
-def run_volume(data: np.ndarray, morph: np.ndarray | None, inten: np.ndarray | None, spacing: tuple, origin: tuple, configs: dict[str, Config], memo: bool = True, rules: Rules | None = None) -> Iterator[tuple[str, str, str, float, str | None]]:
-    """(config, family, feature, value, error) for every expected feature; NaN where there is none."""
-    states: dict[str, State | Exception] = {}
-    results: dict[str, dict[str, float] | Exception] = {}
+def families_of_many(states: list[State], families: list[str], p: dict) -> list[dict[str, dict[str, float]] | Exception]:
+    """compute_families of every state; what fails for one leaves the others."""
+    if families == ["morphology"] and len(states) > 1:
+        try:
+            own = [cropped(s) for s in states]
+            return [{"morphology": got} for got in morphology.many_features([(s.morph, s.spacing, s.origin, s.raw, s.inten) for s in own])]
+        except Exception:  # noqa: S110  # one of them; each alone tells which
+            pass
+    if families[0] in catalogue.TEXTURE and len(states) > 1:
+        try:
+            own = [cropped(s) for s in states]
+            level = [s.image if s.n_bins else bins_of(s.image, s.inten == 1, "FBN", 32) for s in own]
+            each = texture.many_features([(g, s.inten > 0, s.n_bins or 32, s.morph > 0) for g, s in zip(level, own, strict=True)], tuple(families), p.get("ngldm_alpha", 0))
+            return [{f: {k: got[k] for k in catalogue.FAMILIES[f] if k in got} for f in families} for got in each]
+        except Exception:  # noqa: S110
+            pass
+    out: list[dict[str, dict[str, float]] | Exception] = []
+    for s in states:
+        try:
+            out.append(compute_families(s, families, p))
+        except Exception as e:
+            out.append(e)
+    return out
+
+
+def run_volumes(volumes: list[tuple], configs: dict[str, Config], memo: bool = True, rules: Rules | None = None) -> Iterator[tuple[str, str, list[dict[str, float] | Exception]]]:
+    """(config, family, the features of each volume or what kept it from them) of volumes (data, morph, inten, spacing, origin)."""
+    states: dict[str, list[State | Exception]] = {}
+    results: dict[str, list[dict[str, float] | Exception]] = {}
     for name, c in configs.items():
-        state: State | Exception = EmptyRegion("not begun")
+        now: list[State | Exception] = [EmptyRegion("not begun")] * len(volumes)
         key = json.dumps([c.source_mode, c.sentinel_value])
         done: set[str] = set()
         for step in [{"step": ""}, *c.steps]:
@@ -219,37 +245,68 @@ def run_volume(data: np.ndarray, morph: np.ndarray | None, inten: np.ndarray | N
                         if f in catalogue.TEXTURE:
                             together = {x: signature(c, x, rules) + ("" if memo else name) for x in wanted if x in catalogue.TEXTURE}
                             together = {x: k for x, k in together.items() if k not in results}
-                        try:
-                            if isinstance(state, Exception):
-                                raise state
-                            results |= {together[x]: got for x, got in compute_families(state, list(together), p).items()}
-                        except Exception as e:  # one family's failure leaves the others
-                            results |= dict.fromkeys(together.values(), e)
-                    got = results[sign]
-                    bad = isinstance(got, Exception)
-                    for k in catalogue.FAMILIES[f]:
-                        yield name, f, k, float("nan") if bad else got.get(k, float("nan")), f"{type(got).__name__}: {got}"[:200] if bad else None
+                        good = [k for k, s in enumerate(now) if not isinstance(s, Exception)]
+                        got = dict(zip(good, families_of_many([now[k] for k in good], list(together), p), strict=True))
+                        each = [got.get(k, s) for k, s in enumerate(now)]
+                        results |= {k: [g if isinstance(g, Exception) else g[x] for g in each] for x, k in together.items()}
+                    yield name, f, results[sign]
                 continue
             key += json.dumps(step, sort_keys=True, default=list)
             if key not in states or not memo:
-                try:
-                    if step["step"]:
-                        if isinstance(state, Exception):
-                            raise state
-                        states[key] = apply_step(state, step["step"], p)
-                    else:
-                        states[key] = source_state(data, morph, inten, spacing, origin, c)
-                    if not (states[key].inten == 1).any() or not (states[key].morph == 1).any():
-                        raise EmptyRegion("no voxel is left in the mask")
-                except Exception as e:
-                    states[key] = e
-            state = states[key]
+                after: list[State | Exception] = []
+                for s, v in zip(now, volumes, strict=True):
+                    try:
+                        if step["step"]:
+                            if isinstance(s, Exception):
+                                raise s
+                            new = apply_step(s, step["step"], p)
+                        else:
+                            new = source_state(*v, c)
+                        if not (new.inten == 1).any() or not (new.morph == 1).any():
+                            raise EmptyRegion("no voxel is left in the mask")
+                        after.append(new)
+                    except Exception as e:
+                        after.append(e)
+                states[key] = after
+            now = states[key]
+
+
+def run_volume(data: np.ndarray, morph: np.ndarray | None, inten: np.ndarray | None, spacing: tuple, origin: tuple, configs: dict[str, Config], memo: bool = True, rules: Rules | None = None) -> Iterator[tuple[str, str, str, float, str | None]]:
+    """(config, family, feature, value, error) for every expected feature; NaN where there is none."""
+    for name, f, (got,) in run_volumes([(data, morph, inten, spacing, origin)], configs, memo, rules):
+        bad = isinstance(got, Exception)
+        for k in catalogue.FAMILIES[f]:
+            yield name, f, k, float("nan") if bad else got.get(k, float("nan")), failure(got)
+
+
+def failure(got: dict[str, float] | Exception) -> str | None:
+    return f"{type(got).__name__}: {got}"[:200] if isinstance(got, Exception) else None
 
 
 def spread(volumes: DataFrame) -> DataFrame:
-    """Few large files would leave cores idle: volumes cost far more to compute than to move."""
+    """Volumes cost far more to compute than to move, and how a file's rows fall to its splits can't be told beforehand:
+
+    all rows of one large file's only row group are read by one task, however many splits it has. So they are dealt out.
+    """
     cores = volumes.sparkSession.sparkContext.defaultParallelism
-    return volumes.repartition(4 * cores) if volumes.rdd.getNumPartitions() < cores else volumes
+    return volumes.repartition(max(4 * cores, volumes.rdd.getNumPartitions()))
+
+
+#: Volumes that a task works on side by side: at most so many, and so many voxels unless one alone has more.
+SIDE_BY_SIDE, SIDE_BY_SIDE_VOXELS = 256, 16384
+
+
+def chunks(b: pa.RecordBatch, at: int = 1) -> Iterator[range]:
+    """Rows of a batch to be worked on together; the columns from `at` on are nx, ny, nz."""
+    size = [int(np.prod(n)) for n in zip(*(b.column(at + k).to_pylist() for k in range(3)), strict=True)]
+    begin = total = 0
+    for k, n in enumerate(size):
+        if k > begin and (total + n > SIDE_BY_SIDE_VOXELS or k - begin >= SIDE_BY_SIDE):
+            yield range(begin, k)
+            begin, total = k, 0
+        total += n
+    if size:
+        yield range(begin, len(size))
 
 
 def run(volumes: DataFrame, configs: dict[str, Config], memo: bool = True, rules: Rules | None = None) -> DataFrame:
@@ -263,18 +320,30 @@ def run(volumes: DataFrame, configs: dict[str, Config], memo: bool = True, rules
     names = [p.split()[0] for p in OUT.split(", ")]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels: list[pa.Array] = []  # config, family and feature of a volume's rows: the same for all volumes
         for b in batches:
-            for i in range(b.num_rows):
-                r = {k: b.column(j)[i] for j, k in enumerate(b.schema.names)}
-                shape = tuple(r[k].as_py() for k in ("nx", "ny", "nz"))
-                array = lambda c, r=r, shape=shape: r[c].values.to_numpy(zero_copy_only=False).reshape(shape)
-                morph = array("morph").astype(np.uint8) if "morph" in r and r["morph"].is_valid else None
-                inten = array("intensity").astype(np.uint8) if "intensity" in r and r["intensity"].is_valid else None
-                rows = list(run_volume(array("data").astype(float), morph, inten, tuple(r["spacing"].as_py()), tuple(r["origin"].as_py()), configs, memo, rules))
-                if rows:
-                    c, f, k, v, e = zip(*rows, strict=True)
-                    key = str(r["volume_id"].as_py())
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows)), pa.array(c), pa.array(f), pa.array(k), pa.array(v, pa.float64()), pa.array(e, pa.string())], names=names)
+            for rows in chunks(b):
+                many, keys = [], []
+                for i in rows:
+                    r = {k: b.column(j)[i] for j, k in enumerate(b.schema.names)}
+                    shape = tuple(r[k].as_py() for k in ("nx", "ny", "nz"))
+                    array = lambda c, r=r, shape=shape: r[c].values.to_numpy(zero_copy_only=False).reshape(shape)
+                    mask = lambda c, r=r, array=array: array(c).astype(np.uint8) if c in r and r[c].is_valid else None
+                    many.append((array("data").astype(float), mask("morph"), mask("intensity"), tuple(r["spacing"].as_py()), tuple(r["origin"].as_py())))
+                    keys.append(str(r["volume_id"].as_py()))
+                got = list(run_volumes(many, configs, memo, rules))
+                if not got:
+                    continue
+                if not labels:
+                    labels = [pa.array(x) for x in zip(*((c, f, k) for c, f, _ in got for k in catalogue.FAMILIES[f]), strict=True)]
+                nan = float("nan")
+                value = np.concatenate([[[nan] * len(catalogue.FAMILIES[f]) if isinstance(g, Exception) else [g.get(k, nan) for k in catalogue.FAMILIES[f]] for g in each] for _, f, each in got], 1)
+                n = value.shape[1]
+                error = pa.nulls(value.size, pa.string())
+                if any(isinstance(g, Exception) for _, _, each in got for g in each):
+                    error = pa.array([failure(each[v]) for v in range(len(many)) for _, f, each in got for _ in catalogue.FAMILIES[f]], pa.string())
+                every = pa.array(np.tile(np.arange(n), len(many)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys).take(pa.array(np.repeat(np.arange(len(many)), n))), *(x.take(every) for x in labels), pa.array(value.ravel()), error], names=names)
 
     return spread(volumes.select("volume_id", "nx", "ny", "nz", "spacing", "origin", "data", *masks)).mapInArrow(kernel, OUT)
 
