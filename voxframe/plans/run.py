@@ -349,18 +349,23 @@ def run(volumes: DataFrame, configs: dict[str, Config], memo: bool = True, rules
 
 
 def _voxel_rows(volumes: DataFrame, of, kind: pa.DataType, name: str) -> DataFrame:  # noqa: ANN001
-    """volume_id, x, y, z and one value of the voxels that of(array, spacing) marks, of volumes of any shape."""
+    """volume_id, x, y, z and one value of the voxels that of(arrays, spacing) marks, of volumes of any shape.
+
+    Arrays of one shape and spacing come stacked.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in range(b.num_rows):
-                shape = tuple(b.column(k)[r].as_py() for k in (1, 2, 3))
-                x = b.column(5)[r].values.to_numpy(zero_copy_only=False).reshape(shape).astype(float)
-                mark, value = of(x, tuple(b.column(4)[r].as_py()))
-                at = np.argwhere(mark).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(0)[r].as_py()] * len(at), volume_kind), *(pa.array(at[:, k]) for k in range(3)), pa.array(value[mark], kind)], names=["volume_id", "x", "y", "z", name]
-                )
+            for rows in chunks(b):
+                alike: dict[tuple, list[int]] = {}
+                for r in rows:
+                    alike.setdefault((tuple(b.column(k)[r].as_py() for k in (1, 2, 3)), tuple(b.column(4)[r].as_py())), []).append(r)
+                for (shape, spacing), own in alike.items():
+                    x = np.stack([b.column(5)[r].values.to_numpy(zero_copy_only=False).reshape(shape) for r in own]).astype(float)
+                    mark, value = of(x, spacing)
+                    at = np.argwhere(mark).astype(np.int32)
+                    ids = b.column(0).take(pa.array(own)).cast(volume_kind).take(pa.array(at[:, 0]))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(at[:, k]) for k in (1, 2, 3)), pa.array(value[mark], kind)], names=["volume_id", "x", "y", "z", name])
 
     id_type = volumes.schema["volume_id"].dataType.simpleString()
     volume_kind = pa.string() if id_type == "string" else pa.int64()
@@ -380,7 +385,7 @@ def largest_components(volumes: DataFrame, above: float = 0.0) -> DataFrame:
     """volume_id, x, y, z, kept of the voxels in the largest 6-connected part of those above a value."""
 
     def of(x: np.ndarray, spacing: tuple) -> tuple[np.ndarray, np.ndarray]:
-        got = largest_component((x > above).astype(int)) > 0
+        got = np.stack([largest_component(v) for v in (x > above).astype(int)]) > 0
         return got, got.astype(np.int32)
 
     return _voxel_rows(volumes, of, pa.int32(), "kept")
