@@ -35,6 +35,8 @@ def _axis(n: int, m: int, s: float, t: float, order: int) -> list[tuple[int, int
 def resample(voxels: DataFrame, shape: tuple[int, int, int], spacing: tuple[float, ...], new_spacing: tuple[float, ...], interpolation: str = "linear", threshold: float | None = None) -> DataFrame:
     """volume_id, x, y, z, v on the new grid; three joins with the axes' weights, each bounded by a volume's edge.
 
+    A nearest place takes the value of one voxel, so nothing is summed, and no row is moved.
+
     With source_valid, values are averaged over valid voxels only, and are null where their weight is below 0.01.
     """
     order = {"nearest": 0, "linear": 1}[interpolation]
@@ -46,6 +48,9 @@ def resample(voxels: DataFrame, shape: tuple[int, int, int], spacing: tuple[floa
     for a, axis in enumerate("xyz"):
         table = spark.createDataFrame(_axis(shape[a], m[a], spacing[a], new_spacing[a], order), f"_o int, _i int, _f double")
         rest = [c for c in "xyz" if c != axis]
+        if not order:
+            out = out.join(F.broadcast(table), F.col(axis) == F.col("_i")).select(KEY, *rest, F.col("_o").alias(axis), "v", "_w")
+            continue
         out = out.join(F.broadcast(table), F.col(axis) == F.col("_i")).groupBy(KEY, *rest, F.col("_o").alias(axis)).agg(
             F.sum(F.col("v") * F.col("_f")).alias("v"), F.sum(F.col("_w") * F.col("_f")).alias("_w")
         )
@@ -83,7 +88,11 @@ def resample_each(voxels: DataFrame, headers: DataFrame, new_spacing: tuple[floa
         table = at.select("_id", "_o", F.col(f"n{axis}").alias("_n"), F.explode(taps).alias("t")).filter("t.f > 0")
         table = table.select("_id", "_o", F.least(F.greatest(F.col("t.i"), F.lit(0)), F.col("_n") - 1).cast("int").alias("_i"), F.col("t.f").alias("_f"))
         rest = [c for c in "xyz" if c != axis]
-        out = out.join(table, (F.col(KEY) == F.col("_id")) & (F.col(axis) == F.col("_i"))).groupBy(KEY, *rest, F.col("_o").alias(axis)).agg(F.sum(F.col("v") * F.col("_f")).alias("v"))
+        out = out.join(table, (F.col(KEY) == F.col("_id")) & (F.col(axis) == F.col("_i")))
+        if order:
+            out = out.groupBy(KEY, *rest, F.col("_o").alias(axis)).agg(F.sum(F.col("v") * F.col("_f")).alias("v"))
+        else:  # one voxel for each place
+            out = out.select(KEY, *rest, F.col("_o").alias(axis), (F.col("v") * F.col("_f")).alias("v"))
     return out.select(KEY, "x", "y", "z", "v")
 
 
